@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, packing, quality, secrets, url_filter
+from . import ann, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, url_filter
 from .common import read
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(read(spark, sf_dir, "documents"), target)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
@@ -49,6 +54,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality.score_quality(docs, read(spark, sf_dir, "labels")).drop("text", "source", "lang")
