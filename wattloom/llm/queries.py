@@ -63,8 +63,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, read(spark, sf_dir, "labels")).drop("text", "source", "lang")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "pipeline") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
