@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted size allows it, else as it is (Spark then shuffles both sides)."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def shielded(df: DataFrame, *need: str):
+    """(df with all columns but `need` renamed, restore): no column of the caller can clash with a name used inside.
+
+    restore(out, *new) gives the caller's columns, less those that bear a new one's name, and the new ones."""
+    names = df.columns
+    inner = {c: c if c in need else f"_in{i}" for i, c in enumerate(names)}
+
+    def restore(out: DataFrame, *new: str) -> DataFrame:
+        return out.select(*[F.col(inner[c]).alias(c) for c in names if c not in new], *new)
+
+    return df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names]), restore
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts: what a worker holds as Python objects at once stays small, whatever the batch size."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of results that are stored and no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored, words
+from .common import shielded, sized, stored, words
 
 #: Fixed by the query's contract: words of a window.
 WIDTH = 10
@@ -45,10 +45,10 @@ def frequencies(docs: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataF
     return tokens_of(docs).join(sized(terms, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def rare_pairs(items: DataFrame, tf: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item, ws, a, b): for each window that can occur at all, the places in the item of its two rarest words.
+def rare_pairs(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR) -> DataFrame:
+    """(item, ws, a, b): for each window that can match, the places in the item of its two rarest words that occur.
 
-    a = b for windows of one word; ties go to the earlier place."""
+    Windows with more than width - near words that never occur can't. a = b if one word is left; ties go to the earlier."""
     key = F.xxhash64("ws")
     placed = items.select("item", key.alias("k"), F.size("ws").alias("n"), F.posexplode("ws").alias("place", "term"))
     placed = placed.join(tf, "term", "left").select("item", "k", "n", "place", F.coalesce("tf", F.lit(0)).alias("tf"))
@@ -56,7 +56,8 @@ def rare_pairs(items: DataFrame, tf: DataFrame, width: int = WIDTH) -> DataFrame
     last = F.least(F.col("place"), F.greatest(F.col("n") - width, F.lit(0)))
     inside = placed.select("item", "k", "place", "tf", F.explode(F.sequence(first, last)).alias("w"))
     each = inside.groupBy("item", "k", "w").agg(F.array_sort(F.collect_list(F.struct("tf", "place"))).alias("r"))
-    each = each.where(F.col("r")[0]["tf"] > 0)  # collect_list: at most `width` rows a group
+    each = each.withColumn("all", F.size("r")).withColumn("r", F.filter("r", lambda x: x["tf"] > 0))  # at most `width` rows a group
+    each = each.where((F.size("r") > 0) & (F.size("r") >= F.col("all") - (width - near)))
     two = F.when(F.size("r") > 1, F.col("r")[1]["place"]).otherwise(F.col("r")[0]["place"])
     pairs = each.select("item", "k", F.col("r")[0]["place"].alias("a"), two.alias("b")).distinct()
     return items.withColumn("k", key).join(pairs, ["item", "k"]).select("item", "ws", "a", "b")
@@ -83,11 +84,12 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, near: int = NEAR, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """docs with the columns n_words, hits and near: array<struct<item, start, end>>, end exclusive, in words."""
+    docs, restore = shielded(docs, "doc_id", "text")
     names = docs.columns
     items = stored(items_of(benchmark), "bench-items")
     terms = items.select(F.explode("ws").alias("term")).distinct()
     tf = stored(frequencies(docs, terms, broadcast_rows), "bench-frequencies")
-    pairs = stored(rare_pairs(items, tf, width), "bench-windows")
+    pairs = stored(rare_pairs(items, tf, width, near), "bench-windows")
     anchors = pairs.select(F.explode(F.array(F.element_at("ws", F.col("a") + 1), F.element_at("ws", F.col("b") + 1))).alias("term")).distinct()
     index = stored(postings(docs, anchors, broadcast_rows), "positional-index")
     found = diagonals(index, pairs, broadcast_rows)
@@ -113,11 +115,12 @@ def find_leaks(
     close = F.when(F.col("_cands").isNotNull(), F.array_distinct(F.flatten(F.transform("_cands", windows)))).otherwise(none)
     out = out.select(*names, F.size("_ws").cast("long").alias("n_words"), close.alias("_close"))
     plain = lambda x: F.struct(x["item"].alias("item"), x["start"].alias("start"), x["end"].alias("end"))
-    return out.select(
+    out = out.select(
         *names, "n_words",
         F.transform(F.filter("_close", lambda x: x["same"] == width), plain).alias("hits"),
         F.transform(F.filter("_close", lambda x: x["same"] < width), plain).alias("near"),
     )
+    return restore(out, "n_words", "hits", "near")
 
 
 def hit_words(hits: Column) -> Column:
@@ -132,4 +135,5 @@ def item_list(hits: Column) -> Column:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without any exact hit, with their columns."""
-    return find_leaks(docs, benchmark, **options).where(F.size("hits") == 0).select(*docs.columns)
+    docs, restore = shielded(docs, "doc_id", "text")
+    return restore(find_leaks(docs, benchmark, **options).where(F.size("hits") == 0))

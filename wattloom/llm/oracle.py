@@ -1,3 +1,41 @@
-"""DuckDB SQL for the queries that SQL can express on the same columns."""
+"""DuckDB SQL for the queries whose contract SQL can express in full."""
 
-SQL: dict[str, str] = {}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Operator 6: windows of ten item words found in document windows by equality.
+_LEAKS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+ i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM benchmark),
+ iw AS (SELECT item, least(10, len(ws)) AS w, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s, ws FROM i WHERE len(ws) > 0),
+ win AS (SELECT DISTINCT item, w, list_slice(ws, s, s + w - 1) AS g FROM iw),
+ widths AS (SELECT DISTINCT w FROM win),
+ dw AS (SELECT doc_id, w, unnest(range(1, len(ws) - w + 2)) AS s, ws FROM d, widths WHERE len(ws) >= w),
+ dg AS (SELECT doc_id, w, s, list_slice(ws, s, s + w - 1) AS g FROM dw),
+ hit AS (SELECT doc_id, s, dg.w, item FROM dg JOIN win ON dg.w = win.w AND dg.g = win.g),
+ pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + w)) AS p FROM hit) GROUP BY 1),
+ its AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS h FROM hit GROUP BY 1)"""
+
+_SQL_LEAKS = f"{_LEAKS} SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"
+
+#: Operator 2: matches and the text between them, by rule; starts are running sums of their lengths.
+def _secrets() -> str:
+    from .secrets import BASE_RULES, RULES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS rank, {quoted(r.kind)} AS kind, string_split_regex(t, {quoted(r.regex)}) AS gaps, regexp_extract_all(t, {quoted(r.regex)}) AS found, regexp_extract_all(t, {quoted(r.regex)}, {r.group}) AS vals, {max(1, r.least)} AS least FROM d WHERE regexp_matches(t, {quoted(r.regex)})"
+        for i, r in enumerate(RULES)
+    )
+    text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    base = f"rank < {len(BASE_RULES)}"
+    n = ", ".join(f"count_if(kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({each}),
+ u AS (SELECT doc_id, rank, kind, least, unnest(list_slice(gaps, 1, len(found))) AS gap, unnest(found) AS hit, unnest(vals) AS val, unnest(range(1, len(found) + 1)) AS i FROM m),
+ p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop0 FROM u),
+ s AS (SELECT doc_id, rank, kind, CAST(stop0 - length(hit) AS BIGINT) AS start, CAST(stop0 AS BIGINT) AS stop FROM p WHERE length(val) >= least),
+ a AS (SELECT doc_id, {n}, {text} AS spans, {text.replace('start, rank)', f'start, rank) FILTER ({base})')} AS base FROM s GROUP BY doc_id)
+ SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+SQL: dict[str, str] = {"op2_secret_scan": _secrets(), "op6_decontamination": _SQL_LEAKS}

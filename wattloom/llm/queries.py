@@ -42,11 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
     items = decontaminate.item_list(F.col("hits"))
-    found = found.select("doc_id", "n_words", "hits", items.alias("items"), decontaminate.item_list(F.col("near")).alias("near_items"))
+    found = found.select("doc_id", "n_words", "hits", items.alias("items"))
     return found.select(
         "doc_id", "n_words", decontaminate.hit_words(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
-        F.size(F.array_except("near_items", "items")).cast("long").alias("n_near_items"),
     )
 
 

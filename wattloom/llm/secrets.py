@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import shielded, sized, stored
 
 try:
     import re._constants as _c
@@ -196,6 +196,7 @@ def find_secrets(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """docs with the column secrets: array<struct<start, end, rank, kind>> sorted by start, then rule order."""
+    docs, restore = shielded(docs, "doc_id", "text")
     names = docs.columns
     indexed = [r for r in rules if trigram_query(r.regex)]
     found = stored(candidates(postings(docs, rules), rules), "secret-candidates")
@@ -207,7 +208,7 @@ def find_secrets(
         spans = spans_of(text, rule, order)
         each.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(none) if rule in indexed else spans)
     merged = F.concat(*each)
-    return out.select(*names, F.when(F.size(merged) > 0, F.array_sort(merged)).otherwise(none).alias("secrets"))
+    return restore(out.select(*names, F.when(F.size(merged) > 0, F.array_sort(merged)).otherwise(none).alias("secrets")), "secrets")
 
 
 def joined(spans: Column) -> Column:
@@ -218,6 +219,7 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     """docs with every span of text replaced by mark (overlapping spans as one) and n_chars kept right, if present."""
     names = docs.columns
+    docs, restore = shielded(docs, "doc_id", "text", "n_chars")
     found = find_secrets(docs, **options)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
 
@@ -234,4 +236,4 @@ def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     out = found.withColumn("text", new)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return restore(out)

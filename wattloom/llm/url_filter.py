@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, stored
+from .common import ascii_lower, shielded, sized, stored
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,11 @@ def _counted(pages: DataFrame, label: Column | None, rules: tuple[UrlRule, ...])
 def filter_urls(
     pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, label: Column | None = None, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """pages with host, path, rule, verdict, template and purity. label: "block"/"allow"/null, by default the rules'."""
+    """pages with host, path, rule, verdict, template and purity. label: "block"/"allow"/null, by default the rules'.
+
+    label is a column of pages named `label`, or an expression over url. Of columns of pages with the new names the new
+    ones stay."""
+    pages, restore = shielded(pages, "url", "label")
     names = pages.columns
     base = _counted(pages, label, rules)
     # distinct raw paths with their counts: all later steps are on this far smaller table
@@ -131,7 +135,8 @@ def filter_urls(
     ), "url-nodes")
     out = base.join(sized(judged, broadcast_rows), (F.col("_host") == F.col("_h")) & (F.col("_segs") == F.col("_s")), "left")
     learnt = F.when(F.col("purity") >= REJECT_AT, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(
+    out = out.select(
         *names, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
         F.coalesce("_verdict", learnt).alias("verdict"), F.col("template"), F.round("purity", 9).alias("purity"),
     )
+    return restore(out, "host", "path", "rule", "verdict", "template", "purity")
