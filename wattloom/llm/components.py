@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import stored
 
 
-def components(edges: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): each node of edges(a, b) with the smallest node of its component.
 
-    Every round hangs each node on its smallest neighbour, follows that pointer twice and contracts the edges; what a
-    round leaves is stored. The rounds needed grow with the logarithm of the longest chain."""
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    Every round hangs each node on its smallest neighbour and contracts the edges along these pointers; what a round
+    leaves is stored, and the pointers of all rounds are composed at the end. Stars are gone after one round, chains
+    after a number that grows with the logarithm of their length."""
     left = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = None
-    while left.limit(1).count():
-        up = both(left).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        up = stored(up, "pointers")
-        jump = up.alias("x").join(sized(up, broadcast_rows).alias("y"), F.col("x.up") == F.col("y.node"), "left")
-        jump = stored(jump.select(F.col("x.node").alias("node"), F.coalesce("y.up", "x.up").alias("up")), "pointers")
-        near = sized(jump, broadcast_rows)
-        moved = left.join(near, left["a"] == near["node"]).select(F.col("up").alias("a"), "b")
-        moved = moved.join(near, moved["b"] == near["node"]).select("a", F.col("up").alias("b"))
-        left = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = jump.select("node", F.col("up").alias("comp"))
-        else:
-            new = near.select(F.col("node").alias("_n"), "up")
-            labels = stored(labels.join(new, labels["comp"] == new["_n"], "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
-    if labels is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return labels
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        rounds.append(stored(up, "pointers"))
+        x = rounds[-1].select(F.col("node").alias("a"), F.col("up").alias("ua"))
+        y = rounds[-1].select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        moved = left.join(x, "a").join(y, "b").where("ua <> ub")
+        left = stored(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+    labels = rounds[0].select("node", F.col("up").alias("comp"))
+    for up in rounds[1:]:
+        step = up.select(F.col("node").alias("_n"), "up")
+        labels = labels.join(step, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return stored(labels, "labels")

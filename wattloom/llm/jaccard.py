@@ -15,9 +15,9 @@ Two sets with similarity of 3/4 or more differ in at most D = (|A| + |B|) / 7 sh
   its first |A| - ceil(3/4 |A|) + 1 shingles, of which any similar set shares one.
 * Verify: exact intersection of the hashed sets.
 
-Only components are asked for, so a bucket of classes with equal keys gives a star of pairs, not all pairs. Where a bucket
-still holds several components after verification, two more stars with other centres follow, then every pair across
-components: no link that could join two components stays untested, and none is emitted for a component twice over.
+Only components are asked for, so a bucket of classes with equal keys gives a star of pairs, not all pairs, and of
+these each class is verified with the nearest looking leader first, twice. Where a bucket still holds several components
+after that, every pair across components is tested: no link that could join two components stays untested.
 
 Nulls: null or empty text (also only white space) has an empty set, and its component is its own doc_id. A null doc_id
 takes part, but is never the smallest of a component that has others. Repeated rows are copies. Extra columns are not
@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small, stored
+from .common import release, shielded, sized, slices, stored
 from .components import components
 
 #: Words of a shingle; at least this similarity (as a fraction NUM / DEN).
@@ -43,7 +42,7 @@ WIDTH, NUM, DEN = 5, 3, 4
 BITS = 512
 #: A shingle is frequent if it is in at least this many classes and this share of them. The list is bounded by mean set
 #: size / HOT_SHARE, whatever the corpus. Only the order of keys depends on it, never the result.
-HOT_LEAST, HOT_SHARE = 40, 0.0005
+HOT_LEAST, HOT_SHARE, HOT_BITS = 40, 0.0005, 24
 #: Pairs that one task verifies against the same centre.
 STAR = 500
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -55,37 +54,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+#: Random 64-bit values of bytes (A-Z like a-z), powers of an odd base and of its inverse: rolling hashes of words.
+_rng = np.random.default_rng(7)
+_BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9FB21C651E98DF25
+_POWERS: list[np.ndarray] = []
 
 
-_HASHES = _WordHash()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        both = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words (what blanks and \\t\\n\\v\\f\\r separate), A-Z lower-cased, in order."""
+    x = np.frombuffer(raw, np.uint8)
+    gap = np.empty(len(x) + 2, bool)
+    gap[0] = gap[-1] = True
+    np.take(_BLANK, x, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, back = _powers(len(x) + 1)
+    total = np.empty(len(x) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[x] * power[: len(x)], out=total[1:])
+    return mix((total[end] - total[start]) * back[start])
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a whole text."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower() changes A-Z only
-    n = len(ws)
+    h = word_hashes(text.encode("utf-8", "surrogatepass")) if text else ()
+    n = len(h)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, n)
     k = min(WIDTH, n)
     out = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        out = (out ^ h[i : n - k + 1 + i]) * _K
+        out += h[i : n - k + 1 + i]
+        out *= _K
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def class_of(s: np.ndarray) -> int:
-    """Signed 64-bit id of a set."""
-    both = mix(s + _K)
-    x = np.bitwise_xor.reduce(s) ^ mix(np.array([both.sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
-    return int(np.int64(x))
+    """Signed 64-bit id of a set: of the XOR and the sum of its hashes and its size."""
+    total = s.sum(dtype=np.uint64)
+    two = mix(np.array([total + np.uint64(len(s))]))
+    return int(mix(two ^ np.bitwise_xor.reduce(s)).view(np.int64)[0])
 
 
 def parity(s: np.ndarray) -> list[int]:
@@ -93,27 +115,37 @@ def parity(s: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def hot_table(hot: np.ndarray) -> np.ndarray:
+    """Flags by the highest bits of a shingle: whether a frequent one has them."""
+    table = np.zeros(1 << HOT_BITS, bool)
+    table[hot >> np.uint64(64 - HOT_BITS)] = True
+    return table
+
+
 def keys_of(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The set's join keys, for its own size band and, if a partner may be there, the next."""
+    """The sorted set's join keys, for its own size band and, if a partner may be there, the next. hot: hot_table()."""
     n = len(s)
     most = n * DEN // NUM
     differ = (n + most) // 7
     band = (n.bit_length() - 1) // 2
-    common = np.isin(s, hot, assume_unique=True) if len(hot) else np.zeros(n, bool)
+    late = hot[s >> np.uint64(64 - HOT_BITS)]
+    top, one = np.uint64(63), np.uint64(1)
     out = []
     for k in (band, band + 1) if most >= 4 ** (band + 1) else (band,):
         cells = np.uint64(max(8, 4 ** (k + 1) // 2))
-        cell = (s >> np.uint64(24)) % cells
-        order = np.argsort(cell, kind="stable")
-        c = cell[order]
-        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        folded = np.bitwise_xor.reduceat(s[order], starts)
-        key = mix(folded + c[starts] * _K + np.uint64(k + 1))
-        late = np.logical_and.reduceat(common[order], starts)
-        out.append(key[np.lexsort((key, late))[: differ + 1]])
-        if len(key) <= differ:
+        cell = ((s >> np.uint64(32)) * cells) >> np.uint64(32)  # ascends with s
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        folded = np.bitwise_xor.reduceat(s, starts)
+        key = mix(folded + cell[starts] * _K + np.uint64(k + 1)) >> one
+        key |= np.logical_and.reduceat(late, starts).astype(np.uint64) << top  # frequent ones last
+        if len(key) > differ + 1:
+            key = np.partition(key, differ)[: differ + 1]
+        out.append(key)
+        if len(starts) <= differ:
             prefix = n - -(-n * NUM // DEN) + 1
-            out.append(mix(s[np.lexsort((s, common))[:prefix]] * _M1 + np.uint64(k + 77)))
+            ranked = mix(s * _M1 + np.uint64(k + 77)) >> one
+            ranked |= late.astype(np.uint64) << top
+            out.append(np.sort(ranked)[:prefix])
     return np.concatenate(out)
 
 
@@ -125,13 +157,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def frequent() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        s = np.concatenate(held)
+        bucket = (s >> np.uint64(43)).astype(np.int64)
+        s = s[np.bincount(bucket, minlength=1 << 21)[bucket] >= 3]
+        values, counts = np.unique(s, return_counts=True)
         keep = counts >= 3
         v, c = values[keep].view(np.int64), counts[keep]
         none = [None] * len(v)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, v, none, c), kinds)], names)
 
-    for b in batches:
+    for b in slices(batches):
         n, cls, bits = [], [], []
         for text in b.column("text").to_pylist():
             s = shingle_set(text)
@@ -144,7 +179,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(s)
         rows = (b.column("doc_id").cast(pa.int64()), n, cls, bits, [None] * len(n))
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds)], names)
-        if size > 3_000_000:
+        if size > 1_000_000:
             yield frequent()
             held, size = [], 0
     if held:
@@ -213,7 +248,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, cls, roles): (leader, salt, cls, items) for each role of a row whose text has that class."""
-    for b in batches:
+    for b in slices(batches):
         out: list[tuple] = []
         for text, cls, roles in zip(b.column("text").to_pylist(), b.column("cls").to_pylist(), b.column("roles").to_pylist()):
             s = shingle_set(text)
@@ -240,21 +275,21 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([leader] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
 
-def _close(pairs: DataFrame, classes: DataFrame, broadcast_rows: int) -> DataFrame:
-    """pairs(a, b) whose sizes and parity sketches allow a link."""
-    own = sized(classes.select("cls", "n", "bits"), broadcast_rows)
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs(a, b) whose sizes and parity sketches allow a link, with the sketches' distance and the size of b."""
     for side in "ab":
-        one = own.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        one = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = pairs.join(one, side)
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.where((DEN * least >= NUM * most) & (apart * 7 <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+    pairs = pairs.withColumn("apart", apart).where((DEN * least >= NUM * most) & (F.col("apart") * 7 <= F.col("n_a") + F.col("n_b")))
+    return pairs.select("a", "b", "apart", F.col("n_b").alias("n"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_rows: int) -> DataFrame:
     """Those of pairs(a, b) that link, by exact intersection."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
-    out = pairs.join(sized(salts, broadcast_rows), "a")
+    out = pairs.join(salts, "a")
     mine = out.select(F.col("b").alias("cls"), F.struct(F.col("a").alias("leader"), F.pmod(F.hash("b"), F.col("salts")).alias("salt")).alias("role"))
     lead = salts.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("leader"))
     roles = mine.unionByName(lead.select("cls", F.struct("leader", "salt").alias("role"))).groupBy("cls").agg(F.collect_set("role").alias("roles"))
@@ -264,6 +299,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
     return sets.groupBy("leader", "salt").applyInArrow(_linked, "a long, b long")
 
 
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, items: int, broadcast_rows: int) -> DataFrame:
+    """_verified() in parts, stored one by one: each moves about half as many hashes as all sets hold (items), at most."""
+    spark = docs.sparkSession
+    moved = pairs.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-2 * moved // max(items, 1)))
+    out = None
+    for i in range(parts):
+        part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == i)
+        done = stored(_verified(part, docs, classes, broadcast_rows), "links")
+        out = done if out is None else out.unionByName(done)
+        release(spark)
+    return out
+
+
 def link_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -277,17 +326,18 @@ def link_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     least = max(HOT_LEAST, int(HOT_SHARE * classes.count()))
     hot = rows.where("df IS NOT NULL").groupBy("cls").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
     hot = np.sort(hot.select("cls").toPandas()["cls"].to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(hot)
+    shared = spark.sparkContext.broadcast(hot)  # the list, not the table made of it
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        table = hot_table(shared.value)
+        for b in slices(batches):
             keys, ids, held = [], [], 0
             for text in b.column("text").to_pylist():
                 s = shingle_set(text)
                 if len(s) and (cls := class_of(s)) not in seen:
                     seen.add(cls)
-                    keys.append(keys_of(s, shared.value))
+                    keys.append(keys_of(s, table))
                     ids.append((cls, len(keys[-1])))
                     held += len(keys[-1])
                     if held > 200_000:
@@ -296,38 +346,50 @@ def link_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
             if keys:
                 yield _flat(keys, ids)
 
-    flat = docs.mapInArrow(keyed, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls")
-    buckets = stored(flat.mapInArrow(_stars, "bucket long, leader long, cls long").distinct(), "buckets")
-
-    tested = stored(buckets.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    links = stored(_verified(_close(tested, classes, broadcast_rows), docs, classes, broadcast_rows), "links")
-    labels = components(links, broadcast_rows)
-    for turn in (1, 2, 3):
-        comp = sized(labels.select(F.col("node").alias("_n"), "comp"), broadcast_rows)
-        now = buckets.select("bucket", "cls").distinct().join(comp, F.col("cls") == F.col("_n"), "left")
-        now = now.select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        now = stored(now.join(mixed, "bucket"), "mixed")
-        if not now.limit(1).count():
-            break
-        if turn < 3:
-            centre = now.groupBy("bucket").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64(F.col("cls"), F.lit(turn))).alias("c"))
-            new = now.join(centre, "bucket").where("comp <> c.comp").select(F.col("c.cls").alias("a"), F.col("cls").alias("b"))
-        else:
-            x, y = now.alias("x"), now.alias("y")
-            new = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.comp <> y.comp AND x.cls < y.cls")
-            new = new.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = stored(_close(new, classes, broadcast_rows), "pairs")
-        if new.limit(1).count():
-            tested = tested.unionByName(new)
-            links = stored(links.unionByName(_verified(new, docs, classes, broadcast_rows)), "links")
-            labels = components(links, broadcast_rows)
-
-    comp = sized(labels.select(F.col("node").alias("_n"), "comp"), broadcast_rows)
+    buckets = stored(
+        docs.mapInArrow(keyed, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls")
+        .mapInArrow(_stars, "bucket long, leader long, cls long").distinct(), "buckets",
+    )
+    release(spark)
+
+    def across(df: DataFrame, *columns: str) -> DataFrame:
+        """df with <column>_comp for each column of classes."""
+        for c in columns:
+            own = labels.select(F.col("node").alias(f"_{c}"), F.col("comp").alias(f"{c}_comp"))
+            df = df.join(own, F.col(c) == F.col(f"_{c}"), "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c)).drop(f"_{c}")
+        return df
+
+    stars = stored(_close(buckets.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), classes), "pairs")
+    items = classes.agg(F.sum("n")).first()[0] or 0
+    tested = stars.select("a", "b").limit(0)
+    links, labels = tested, tested.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    for _ in (1, 2):  # each class with the leader that looks nearest, of those it is not joined to
+        left = across(stars.join(tested, ["a", "b"], "left_anti"), "a", "b").where("a_comp <> b_comp")
+        best = left.groupBy("b").agg(F.min_by(F.struct("a", "n"), F.struct("apart", "a")).alias("p"))
+        best = stored(best.select("p.a", "b", "p.n"), "pairs")
+        tested = tested.unionByName(best.select("a", "b"))
+        links = links.unionByName(_links(best, docs, classes, items, broadcast_rows))
+        labels = components(links)
+        release(spark)
+    # every pair that shares a bucket across components and is not tested yet
+    now = across(buckets.select("bucket", "cls").distinct(), "cls")
+    mixed = now.groupBy("bucket").agg(F.min("cls_comp").alias("lo"), F.max("cls_comp").alias("hi")).where("lo <> hi").select("bucket")
+    now = stored(now.join(mixed, "bucket"), "mixed")
+    if now.limit(1).count():
+        x, y = now.alias("x"), now.alias("y")
+        new = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.cls_comp <> y.cls_comp AND x.cls < y.cls")
+        new = new.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        new = stored(_close(new, classes), "pairs")
+        release(spark)
+        links = links.unionByName(_links(new, docs, classes, items, broadcast_rows))
+        labels = components(links)
+        release(spark)
+
+    comp = labels.select(F.col("node").alias("_n"), "comp")
     out = members.join(comp, F.col("cls") == F.col("_n"), "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     first = out.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k"))
-    first = sized(first.where("k > 1").select(F.col("comp").alias("_c"), "first"), broadcast_rows)
+    first = first.where("k > 1").select(F.col("comp").alias("_c"), "first")
     out = out.join(first, F.col("comp") == F.col("_c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
@@ -339,6 +401,7 @@ def _flat(keys: list[np.ndarray], ids: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def keep_one(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """docs without those whose component has a smaller doc_id, and one row of each doc_id that is repeated."""
+    docs, restore = shielded(docs, "doc_id", "text")
     groups = stored(link_groups(docs, broadcast_rows), "groups")
     gone = sized(groups.where("doc_id > component_id").select("doc_id").distinct(), broadcast_rows)
     out = docs.join(gone, "doc_id", "left_anti")
@@ -346,4 +409,4 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
         twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
         twice = sized(twice, broadcast_rows)
         out = out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+    return restore(out)
