@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, shielded, sized, slices, stored
@@ -39,7 +39,7 @@ from .components import components
 #: Words of a shingle; at least this similarity (as a fraction NUM / DEN).
 WIDTH, NUM, DEN = 5, 3, 4
 #: Bits of the parity sketch.
-BITS = 512
+BITS = 2048
 #: A shingle is frequent if it is in at least this many classes and this share of them. The list is bounded by mean set
 #: size / HOT_SHARE, whatever the corpus. Only the order of keys depends on it, never the result.
 HOT_LEAST, HOT_SHARE, HOT_BITS = 40, 0.0005, 24
@@ -275,15 +275,23 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([leader] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two parity sketches."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+
+
+def _possible(n_a: Column, n_b: Column, apart: Column) -> Column:
+    """Whether sizes and sketches allow a link."""
+    return (DEN * F.least(n_a, n_b) >= NUM * F.greatest(n_a, n_b)) & (apart * 7 <= n_a + n_b)
+
+
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs(a, b) whose sizes and parity sketches allow a link, with the sketches' distance and the size of b."""
     for side in "ab":
         one = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = pairs.join(one, side)
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = pairs.withColumn("apart", apart).where((DEN * least >= NUM * most) & (F.col("apart") * 7 <= F.col("n_a") + F.col("n_b")))
-    return pairs.select("a", "b", "apart", F.col("n_b").alias("n"))
+    pairs = pairs.withColumn("apart", _apart(F.col("bits_a"), F.col("bits_b")))
+    return pairs.where(_possible(F.col("n_a"), F.col("n_b"), F.col("apart"))).select("a", "b", "apart", F.col("n_b").alias("n"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -376,11 +384,14 @@ def link_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     mixed = now.groupBy("bucket").agg(F.min("cls_comp").alias("lo"), F.max("cls_comp").alias("hi")).where("lo <> hi").select("bucket")
     now = stored(now.join(mixed, "bucket"), "mixed")
     if now.limit(1).count():
+        now = now.join(classes.select("cls", "n", "bits"), "cls")
         x, y = now.alias("x"), now.alias("y")
-        new = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.cls_comp <> y.cls_comp AND x.cls < y.cls")
-        new = new.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        apart = _apart(F.col("x.bits"), F.col("y.bits"))
+        both = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls_comp") != F.col("y.cls_comp")) & (F.col("x.cls") < F.col("y.cls"))
+        new = x.join(y, both & _possible(F.col("x.n"), F.col("y.n"), apart))
+        new = new.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("y.n").alias("n")).distinct()
         new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        new = stored(_close(new, classes), "pairs")
+        new = stored(new, "pairs")
         release(spark)
         links = links.unionByName(_links(new, docs, classes, items, broadcast_rows))
         labels = components(links)
