@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import UPPER, LOWER, WORD, WORD_BYTES
+from .common import LOWER, UPPER, WORD, WORD_BYTES, slices
 
 #: Fixed by the query's contract: phrase and label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -174,7 +174,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): SCHEMA; places are label:start:end in code points. No shuffle."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [scan(t) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import slices, stored
 
 #: Fixed by the query's contract: tokens of a sequence and the id that ends a document.
 LENGTH, END = 2048, 1
@@ -103,7 +103,7 @@ def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LE
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path(name))
         copies: dict[bytes, list[tuple]] = {}  # a copy within a task is encoded once
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""

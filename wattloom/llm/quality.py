@@ -21,12 +21,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized
+from .common import shielded, sized
 
 #: Bound of the labelled rows that the document classifier is fitted on.
 MAX_LABELLED = 20_000
@@ -126,9 +126,9 @@ def site_posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
     return hosts, paths, rate
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _features(texts: pd.Series) -> pd.Series:
-    return texts.map(features)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _features(texts: pa.Array) -> pa.Array:
+    return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict | None:
@@ -147,14 +147,18 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 def score_quality(
     docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep_at: float = KEEP_AT
 ) -> DataFrame:
-    """docs with the columns doc_logit, host_rate, path_rate, probability and keep; no row moves or goes."""
+    """docs with the columns doc_logit, host_rate, path_rate, probability and keep; no row moves or goes.
+
+    Of columns of docs with these names the new ones stay."""
+    docs, restore = shielded(docs, "doc_id", "text", "source", "lang")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, max_labelled))
 
-    @F.pandas_udf("double")
-    def logit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def logit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series([_logit(shared.value, t) for t in texts], dtype="float64")
+            yield pa.array([_logit(shared.value, t.as_py()) for t in texts], pa.float64())
+            pa.default_memory_pool().release_unused()
 
     hosts, paths, rate = site_posteriors(docs, labels)
     paths = sized(paths.select("_host", "_path", "path_rate"))
@@ -173,9 +177,10 @@ def score_quality(
         *names, "doc_logit", host.alias("host_rate"), path.alias("path_rate"),
         (1 / (1 + F.exp(-(F.col("doc_logit") + site)))).alias("probability"),
     )
-    return out.withColumn("keep", F.col("probability") >= keep_at)
+    return restore(out.withColumn("keep", F.col("probability") >= keep_at), "doc_logit", "host_rate", "path_rate", "probability", "keep")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    return score_quality(docs, labels, **options).where("keep").select(*docs.columns)
+    docs, restore = shielded(docs, "doc_id", "text", "source", "lang")
+    return restore(score_quality(docs, labels, **options).where("keep"))

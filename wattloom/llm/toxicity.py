@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_list
+from .common import slices, word_list
 
 MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 1500, 2000, 24
 WINDOW, STRIDE = 32, 24
@@ -335,7 +335,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, predict_at: float = PREDI
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in slices(batches, 2048):
             scores = scorer.scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
