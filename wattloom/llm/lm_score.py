@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, word_list
+from .common import sized, slices, word_list
 
-VOCABULARY, BUCKETS = 1 << 16, 1 << 21
+VOCABULARY, BUCKETS = 1 << 16, 1 << 20
 #: Pseudo-counts of the lower-order distribution.
 SHRINK, UNIFORM = 4.0, 0.5
 
@@ -85,7 +85,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    for b in batches:
+    for b in slices(batches):
         for text in b.column("text").to_pylist():
             held.update(word_list(text))
             if len(held) > 300_000:
@@ -106,15 +106,15 @@ def fit(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bucket
     """The matched models over all of docs(doc_id, text)."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 1).toPandas()
-    words = {bytes(w): i + 1 for i, w in enumerate(top["word"])}
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 1).select("word").toArrow()
+    words = {w: i + 1 for i, w in enumerate(top.column("word").to_pylist())}
     size = len(words) + 1
     shared = spark.sparkContext.broadcast(words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         pairs, singles, starts = np.zeros((2, buckets), np.int64), np.zeros((2, size), np.int64), [0, 0]
-        for b in batches:
+        for b in slices(batches):
             for kind in (0, 1):
                 rows = [t for t, f in zip(b.column("text").to_pylist(), b.column("target").to_pylist()) if f == kind]
                 ids: list[int] = []
@@ -130,23 +130,22 @@ def fit(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bucket
                         _add(pairs[kind], singles[kind], before, ids, size, buckets)
                         ids, before = [], []
                 _add(pairs[kind], singles[kind], before, ids, size, buckets)
-        for name, (a, b) in (("pair", pairs), ("word", singles), ("start", np.array(starts)[:, None])):
-            there = np.flatnonzero(a + b)
-            for i in range(0, len(there), 100_000):
-                at = there[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at)), pa.array(at), pa.array(a[at] + b[at]), pa.array(b[at])], ["kind", "at", "n_background", "n_target"]
-                )
-
-    sums = flagged(docs, target).select("text", "target").mapInArrow(counted, "kind string, at long, n_background long, n_target long")
-    sums = sums.groupBy("kind", "at").agg(F.sum("n_background").alias("b"), F.sum("n_target").alias("t")).toPandas()
-    pairs, singles = np.zeros((2, buckets), np.float32), np.zeros((2, size))
-    for name, table in (("pair", pairs), ("word", singles)):
-        own = sums[sums["kind"] == name]
-        table[0, own["at"]], table[1, own["at"]] = own["b"], own["t"]
-    start = sums[sums["kind"] == "start"]
-    model = Models(words, size, buckets, singles, pairs)
-    model.starts = (float(start["b"].sum()), float(start["t"].sum()))
+        # one key space: pair buckets, then the start, then words
+        both = np.concatenate([pairs, np.array(starts)[:, None], singles], axis=1)
+        total = both.sum(0)
+        there = np.flatnonzero(total)
+        for i in range(0, len(there), 100_000):
+            at = there[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(both[1][at])], ["at", "b", "t"])
+
+    sums = flagged(docs, target).select("text", "target").mapInArrow(counted, "at int, b long, t long")
+    sums = sums.groupBy("at").agg(F.sum("b").cast("double").alias("b"), F.sum("t").cast("double").alias("t")).toArrow()
+    full = np.zeros((2, buckets + 1 + size))
+    at = sums.column("at").to_numpy()
+    full[0, at], full[1, at] = sums.column("b").to_numpy(), sums.column("t").to_numpy()
+    del sums
+    model = Models(words, size, buckets, full[:, buckets + 1 :].copy(), full[:, :buckets].astype(np.float32))
+    model.starts = (float(full[0, buckets]), float(full[1, buckets]))
     return model
 
 
@@ -165,7 +164,7 @@ def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **op
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, t in zip(b.column("text").to_pylist(), b.column("target").to_pylist()):
                 tokens = word_list(text)
