@@ -287,6 +287,49 @@ def test_lm_score(spark, docs, labels):
     assert lm_score.score(docs.limit(0), target).count() == 0 and lm_score.score(docs, target.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("limits", [{}, {"vocabulary": 3, "buckets": 5}, {"vocabulary": 0, "buckets": 0}])
+def test_lm_score_keeps_all_words(spark, limits):
+    """More words and bigrams than are broadcast, each count exact, at the production setting too."""
+    import random
+
+    rng = random.Random(8)
+    n = 70_000 if not limits else 300
+    lists = [[f"w{i}" for i in range(a, a + n // 10)] * 2 for a in range(0, n, n // 10)]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(lists + lists)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(n)}" for _ in range(9))) for i in range(20)] + [(None, "w1 w2"), (None, "w1 w2"), (7, None)]
+    target = {1, 3, 100, 101}
+    pair, single, start = ({}, {}), ({}, {}), [0, 0]
+    for i, t in rows:
+        ws = brute.words(t)
+        for m in (0, 1)[: 1 + (i in target)]:
+            start[m] += bool(ws)
+            for v, w in zip([None, *ws], ws):
+                pair[m][v, w] = pair[m].get((v, w), 0) + 1
+                single[m][w] = single[m].get(w, 0) + 1
+    size = len(single[0]) + 1
+    want = []
+    for i, t in rows:
+        ws, both = brute.words(t), []
+        for m, minus in ((1, i in target), (0, 1)):
+            total, h = sum(single[m].values()) - minus * len(ws), 0.0
+            own_pair, own, own_before = {}, {}, {}
+            for v, w in zip([None, *ws], ws):
+                own_pair[v, w], own[w], own_before[v] = own_pair.get((v, w), 0) + 1, own.get(w, 0) + 1, own_before.get(v, 0) + 1
+            for v, w in zip([None, *ws], ws):
+                p = (single[m].get(w, 0) - minus * own[w] + 0.5) / (total + 0.5 * size)
+                c = pair[m].get((v, w), 0) - minus * own_pair[v, w]
+                k = max((start[m] if v is None else single[m].get(v, 0)) - minus * own_before[v], c)
+                h -= np.log((c + 4 * p) / (k + 4)) / len(ws)
+            both.append(h if ws else None)
+        want.append((i, len(ws), *both))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), **limits).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and (g[2:4] == w[2:] or np.allclose(g[2:4], w[2:], atol=1e-9))
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(1)
     for k in net.p:

@@ -1,11 +1,14 @@
 """Cross-entropy difference of two matched bigram models (operator 1).
 
 The target model counts the documents of a target set (by default those labelled quality 1), the background model all
-documents. Both share one vocabulary, the most frequent ``VOCABULARY`` words of all documents (others are one unknown
-word), one table of ``BUCKETS`` hashed bigrams, and the same smoothing: a bigram's probability is its count shrunk to
-the unigram's, which is shrunk to uniform. Counts are taken over all documents, summed within tasks and then by
-grouped aggregation; only the vocabulary and the hashed tables, whose sizes are these two parameters, reach the driver
-and are broadcast. Hashed bigrams that meet in a bucket share their count.
+documents. Both share one vocabulary, all words of all documents, and the same smoothing: a bigram's probability is its
+count shrunk to the unigram's, which is shrunk to uniform. Words and bigrams are told apart by 64-bit hashes. Counts of
+all of them are summed within tasks and then by grouped aggregation into a table in the shared folder.
+
+The most frequent words and bigrams (about ``VOCABULARY`` and ``BUCKETS``, at most) are broadcast with their counts; all others
+are looked up by a shuffle join, and what is found returns to its document. What occurs once is counted but not stored:
+without the document's own count it is zero. A filter of ``BITS`` bits, broadcast, spares most look-ups that would find
+nothing; once it is full it spares fewer. These numbers decide what is moved, not any result.
 
 Each token's loss is taken under both models without the document's own counts (leave one out), and the score is the
 mean of loss(target) - loss(background) in nats: the lower, the closer to the target.
@@ -17,82 +20,104 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import sized, slices, word_list
+from .common import release, sized, slices, stored, word_list
 
 VOCABULARY, BUCKETS = 1 << 16, 1 << 20
 #: Pseudo-counts of the lower-order distribution.
 SHRINK, UNIFORM = 4.0, 0.5
+#: Key that counts the starts of documents; keys of words are even, those of bigrams odd.
+START = np.uint64(0)
+#: Size of the filter, a power of two.
+BITS = 1 << 28
+#: Keys that a task holds at once.
+HELD = 2_000_000
+#: Finer than powers of two: classes of counts from which the broadcast ones are chosen.
+CLASSES = 8
+
+
+class Hashes(dict):
+    """word -> 64-bit hash, within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) << 1 & 0xFFFFFFFFFFFFFFFF or 2
+        return h
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs."""
+    h = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + y
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(29)
+
+
+@dataclass
+class Tokens:
+    """Tokens of some texts, end to end."""
+
+    counts: np.ndarray  # of each text
+    text: np.ndarray  # of each token
+    word: np.ndarray
+    before: np.ndarray  # the previous word, or START
+    pair: np.ndarray
+
+
+def tokens_of(texts: list[str | None], hashes: Hashes) -> Tokens:
+    lists = [word_list(t) for t in texts]
+    counts = np.array([len(ws) for ws in lists], np.int64)
+    word = np.fromiter((hashes[w] for ws in lists for w in ws), np.uint64, int(counts.sum()))
+    before = np.r_[START, word[:-1]] if len(word) else word
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    return Tokens(counts, np.repeat(np.arange(len(lists)), counts), word, before, mixed(before, word) | np.uint64(1))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+@dataclass
+class Table:
+    """Sorted keys with their counts in both models: background, target."""
+
+    keys: np.ndarray
+    counts: np.ndarray  # 2 x keys
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is here, 2 x keys counts, 0 for others)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros((2, len(keys)))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return here, np.where(here, self.counts[:, at], 0)
+
+
+def table_of(keys: np.ndarray, b: np.ndarray, t: np.ndarray) -> Table:
+    keys, at = np.unique(keys, return_index=True)
+    return Table(keys, np.stack([b[at], t[at]]).astype(np.float64).reshape(2, -1))
 
 
 @dataclass
 class Models:
-    """Counts of both models; row 0 background, row 1 target. Word 0 is unknown; `size` counts words with it."""
-
-    words: dict[bytes, int]
-    size: int
-    buckets: int
-    unigrams: np.ndarray  # 2 x size
-    bigrams: np.ndarray  # 2 x buckets
-    starts: tuple[float, float] = (0.0, 0.0)  # documents with tokens
-
-    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, previous word (size: the start) and bigram bucket of each token."""
-        get = self.words.get
-        ids = np.array([get(t, 0) for t in tokens], np.int64)
-        before = np.r_[self.size, ids[:-1]]
-        return ids, before, bucket_of(before, ids, self.size, self.buckets)
-
-    def losses(self, tokens: list[bytes], own: tuple[int, int]) -> np.ndarray:
-        """2 x tokens negative log probabilities; own: how often the document is in each model's counts."""
-        ids, before, bucket = self.encode(tokens)
-        _, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
-        mine_pair = n[at]
-        _, at, n = np.unique(ids, return_inverse=True, return_counts=True)
-        mine_word = n[at]
-        values, n = np.unique(before, return_counts=True)
-        mine_before = n[np.searchsorted(values, before)]
-        out = np.empty((2, len(ids)))
-        for m in (0, 1):
-            total = self.unigrams[m].sum() - own[m] * len(ids)
-            word = np.maximum(self.unigrams[m][ids] - own[m] * mine_word, 0)
-            p = (word + UNIFORM) / (max(total, 0) + UNIFORM * self.size)
-            context = np.append(self.unigrams[m], self.starts[m])[before]
-            pair = np.maximum(self.bigrams[m][bucket] - own[m] * mine_pair, 0)
-            context = np.maximum(np.maximum(context - own[m] * mine_before, 0), pair)
-            out[m] = -np.log((pair + SHRINK * p) / (context + SHRINK))
-        return out
-
-
-def bucket_of(before: np.ndarray, ids: np.ndarray, size: int, buckets: int) -> np.ndarray:
-    h = (before.astype(np.uint64) * np.uint64(size + 1) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+    """Counts of both models: `hot` those held by every task, `cold` all others above one as (key, b, t)."""
 
-    for b in slices(batches):
-        for text in b.column("text").to_pylist():
-            held.update(word_list(text))
-            if len(held) > 300_000:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+    hot: Table
+    cold: DataFrame
+    left: tuple[bool, bool]  # whether cold has words, bigrams
+    seen: np.ndarray  # filter of cold's keys: 64 bits a block
+    size: int  # words and one unknown
+    totals: tuple[float, float]
+    starts: tuple[float, float]
 
 
 def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -102,83 +127,156 @@ def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", F.col("_id").isNotNull().cast("int").alias("target"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, held, n = Hashes(), ([], []), 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for kind, parts in enumerate(held):
+            if parts:
+                keys, many = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                for i in range(0, len(keys), 100_000):
+                    own = many[i : i + 100_000].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([_signed(keys[i : i + 100_000]), pa.array(own), pa.array(own * kind)], ["key", "b", "t"])
+
+    for b in slices(batches):
+        flags = np.array(b.column("target").to_pylist(), np.int64)
+        own = tokens_of(b.column("text").to_pylist(), hashes)
+        for kind in (0, 1):
+            at = flags[own.text] == kind
+            starts = np.full(int(((own.counts > 0) & (flags == kind)).sum()), START)
+            held[kind].append(np.concatenate([own.word[at], own.pair[at], starts]))
+            n += len(held[kind][-1])
+        if n > HELD:
+            yield from out()
+            n = 0
+    yield from out()
+
+
 def fit(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS) -> Models:
-    """The matched models over all of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 1).select("word").toArrow()
-    words = {w: i + 1 for i, w in enumerate(top.column("word").to_pylist())}
-    size = len(words) + 1
-    shared = spark.sparkContext.broadcast(words)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        pairs, singles, starts = np.zeros((2, buckets), np.int64), np.zeros((2, size), np.int64), [0, 0]
-        for b in slices(batches):
-            for kind in (0, 1):
-                rows = [t for t, f in zip(b.column("text").to_pylist(), b.column("target").to_pylist()) if f == kind]
-                ids: list[int] = []
-                before: list[int] = []
-                for text in rows:
-                    own = [get(t, 0) for t in word_list(text)]
-                    if own:
-                        ids += own
-                        before.append(size)
-                        before += own[:-1]
-                        starts[kind] += 1
-                    if len(ids) > 1_000_000:
-                        _add(pairs[kind], singles[kind], before, ids, size, buckets)
-                        ids, before = [], []
-                _add(pairs[kind], singles[kind], before, ids, size, buckets)
-        # one key space: pair buckets, then the start, then words
-        both = np.concatenate([pairs, np.array(starts)[:, None], singles], axis=1)
-        total = both.sum(0)
-        there = np.flatnonzero(total)
-        for i in range(0, len(there), 100_000):
-            at = there[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(both[1][at])], ["at", "b", "t"])
-
-    sums = flagged(docs, target).select("text", "target").mapInArrow(counted, "at int, b long, t long")
-    sums = sums.groupBy("at").agg(F.sum("b").cast("double").alias("b"), F.sum("t").cast("double").alias("t")).toArrow()
-    full = np.zeros((2, buckets + 1 + size))
-    at = sums.column("at").to_numpy()
-    full[0, at], full[1, at] = sums.column("b").to_numpy(), sums.column("t").to_numpy()
-    del sums
-    model = Models(words, size, buckets, full[:, buckets + 1 :].copy(), full[:, :buckets].astype(np.float32))
-    model.starts = (float(full[0, buckets]), float(full[1, buckets]))
-    return model
-
-
-def _add(pairs: np.ndarray, singles: np.ndarray, before: list[int], ids: list[int], size: int, buckets: int) -> None:
-    if ids:
-        w, v = np.array(ids, np.int64), np.array(before, np.int64)
-        singles += np.bincount(w, minlength=size)
-        at, n = np.unique(bucket_of(v, w, size, buckets), return_counts=True)
-        pairs[at] += n
+    """The matched models over all of docs(doc_id, text); vocabulary and buckets: words and bigrams that are broadcast, at most."""
+    counts = flagged(docs, target).select("text", "target").mapInArrow(_counted, "key long, b long, t long")
+    counts = counts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    kind, once = F.col("key").bitwiseAND(F.lit(1)), Observation()
+    single = (F.col("b") == 1) & (kind == 0) & (F.col("key") != 0)
+    counts = counts.observe(once, F.count_if(single).alias("n"), F.coalesce(F.sum(F.when(single, F.col("t"))), F.lit(0)).alias("t"))
+    counts = stored(counts.where((F.col("b") > 1) | (F.col("key") == 0)), "lm-counts")
+    alone = once.get
+    release(docs.sparkSession)
+    level = F.floor(F.log2("b") * CLASSES).cast("int")
+    sums = counts.where(F.col("key") != 0).groupBy(kind.alias("kind"), level.alias("level"))
+    sums = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sum("t").alias("t")).collect()
+    least, left = [], []
+    for k, room in enumerate((vocabulary, buckets)):
+        levels = sorted(((r["level"], r["n"]) for r in sums if r["kind"] == k), reverse=True)
+        held = np.cumsum([n for _, n in levels])
+        fit_in = int(np.searchsorted(held, room, "right"))
+        least.append(levels[fit_in - 1][0] if fit_in else 1 << 20)
+        left.append(fit_in < len(levels))
+    hot = (F.col("key") == 0) | (level >= F.when(kind == 0, least[0]).otherwise(least[1]))
+    rows = counts.where(hot).toArrow()
+    table = table_of(*(rows.column(c).to_numpy() if c != "key" else rows.column(c).to_numpy().view(np.uint64) for c in ("key", "b", "t")))
+    starts = table.find(np.array([START]))[1][:, 0]
+    words = [r for r in sums if r["kind"] == 0]
+    totals = (float(sum(r["b"] for r in words) + alone["n"]), float(sum(r["t"] for r in words) + alone["t"]))
+    cold = counts.where(~hot)
+    seen = np.zeros(BITS >> 6 if any(left) else 1, np.uint64)
+    if any(left):
+        block, mask = F.expr(f"shiftrightunsigned(key, 1) & {len(seen) - 1}L"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63L as int))")
+        blocks = cold.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
+        seen[blocks.column("block").to_numpy()] = blocks.column("mask").to_numpy().view(np.uint64)
+    return Models(table, cold, tuple(left), seen, sum(r["n"] for r in words) + alone["n"] + 1, totals, tuple(starts.tolist()))
+
+
+def may_hold(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    bits = seen[(keys >> np.uint64(1)) & np.uint64(len(seen) - 1)]
+    return (bits >> (keys >> np.uint64(40) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often a token's key occurs in its text."""
+    _, at, n = np.unique(mixed(text.astype(np.uint64), keys), return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def losses(own: Tokens, flags: np.ndarray, counts: tuple, size: int, totals: tuple) -> np.ndarray:
+    """2 x texts mean negative log probabilities; counts: 2 x tokens of the word, the previous one and the pair."""
+    word, context, pair = counts
+    mine_word, mine_before, mine_pair = (_own(own.text, k) for k in (own.word, own.before, own.pair))
+    out = np.zeros((2, len(own.counts)))
+    for m, minus in enumerate((np.ones(len(flags)), flags)):
+        each = minus[own.text]
+        total = np.maximum(totals[m] - minus * own.counts, 0)[own.text]
+        p = (np.maximum(word[m] - each * mine_word, 0) + UNIFORM) / (total + UNIFORM * size)
+        c = np.maximum(pair[m] - each * mine_pair, 0)
+        n = np.maximum(np.maximum(context[m] - each * mine_before, 0), c)
+        loss = -np.log((c + SHRINK * p) / (n + SHRINK))
+        out[m] = np.bincount(own.text, weights=loss, minlength=len(own.counts)) / np.maximum(own.counts, 1)
+    return out
 
 
 def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **options) -> DataFrame:
     """doc_id, n_tokens, h_target, h_background, score, in_target: one row for each row of docs."""
     models = models or fit(docs, target, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models.hot)
+    filtered = docs.sparkSession.sparkContext.broadcast(models.seen)
+    left, size, totals = models.left, models.size, models.totals
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, doc) of what isn't broadcast."""
+        hashes = Hashes()
         for b in slices(batches):
-            out = []
-            for text, t in zip(b.column("text").to_pylist(), b.column("target").to_pylist()):
-                tokens = word_list(text)
-                if tokens:
-                    background, mine = m.losses(tokens, (1, t)).mean(1).tolist()
-                    out.append((len(tokens), mine, background, mine - background, bool(t)))
-                else:
-                    out.append((0, None, None, 0.0, bool(t)))
-            cols = list(zip(*out)) if out else [()] * 5
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                ["doc_id", "n_tokens", "h_target", "h_background", "score", "in_target"],
-            )
+            own = tokens_of(b.column("text").to_pylist(), hashes)
+            doc = b.column("doc").to_numpy(zero_copy_only=False)
+            for keys, some in zip((own.word, own.pair), left):
+                if some and len(keys):
+                    at = np.flatnonzero(may_hold(filtered.value, keys))
+                    _, first = np.unique(mixed(own.text[at].astype(np.uint64), keys[at]), return_index=True)
+                    at = at[first]
+                    at = at[~shared.value.find(keys[at])[0]]
+                    yield pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(doc[own.text[at]])], ["key", "doc"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by doc, what was found (t is not null: a key and its counts) before the document (b: its flag)."""
+        hashes, none = Hashes(), np.zeros(0, np.int64)
+        held = (none, none, none, none)
+        for batch in slices(batches, 2048):
+            at = np.flatnonzero(batch.column("t").is_valid().to_numpy(zero_copy_only=False))
+            found = batch.select(["doc", "key", "b", "t"]).take(pa.array(at))
+            held = tuple(np.r_[h, c.to_numpy(zero_copy_only=False)] for h, c in zip(held, found.columns))
+            rows = batch.filter(batch.column("t").is_null())
+            hashes_of = mixed(held[0].view(np.uint64), held[1].view(np.uint64))
+            mine = table_of(hashes_of, held[2], held[3])
+            for b in slices(iter([rows]), 256):
+                yield one(b, mine, hashes)
+            last = held[0] == batch.column("doc")[-1].as_py()
+            held = tuple(h[last] for h in held)
+
+    def one(b: pa.RecordBatch, mine: Table, hashes: Hashes) -> pa.RecordBatch:
+        own = tokens_of(b.column("text").to_pylist(), hashes)
+        doc = b.column("doc").to_numpy(zero_copy_only=False).view(np.uint64)
+        flags = b.column("b").to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def counts(keys: np.ndarray) -> np.ndarray:
+            here, out = shared.value.find(keys)
+            return np.where(here, out, mine.find(mixed(doc[own.text], keys))[1])
+
+        background, target_loss = losses(own, flags, (counts(own.word), counts(own.before), counts(own.pair)), size, totals)
+        empty = own.counts == 0
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column("key"), pa.array(own.counts), pa.array(target_loss, mask=empty), pa.array(background, mask=empty),
+                pa.array(np.where(empty, 0.0, target_loss - background)), pa.array(flags == 1),
+            ],
+            ["doc_id", "n_tokens", "h_target", "h_background", "score", "in_target"],
+        )
 
+    rows = flagged(docs, target).withColumn("doc", F.xxhash64("doc_id", "text"))
+    texts = rows.select("doc", F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), F.lit(None).cast("long").alias("t"), "text")
+    if any(left):
+        found = rows.select("doc", "text").mapInArrow(asked, "key long, doc long").join(models.cold, "key")
+        texts = texts.unionByName(found.select("doc", "key", "b", "t", F.lit(None).cast("string").alias("text")))
+        texts = texts.repartition("doc").sortWithinPartitions("doc", F.col("t").asc_nulls_last())
     schema = "doc_id long, n_tokens long, h_target double, h_background double, score double, in_target boolean"
-    return flagged(docs, target).mapInArrow(scored, schema)
+    return texts.mapInArrow(scored, schema)
