@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm import ann, components, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
-from wattloom.llm.queries import op2_secret_scan, op3_license_scan, op6_decontamination, op7_jaccard_join
+from wattloom.llm.queries import op2_secret_scan, op3_license_scan, op6_decontamination, op6_proximity, op7_jaccard_join
 
 from . import brute
 
@@ -104,6 +104,41 @@ def test_proximity(spark, benchmark):
     assert not row["hits"] and {h["item"] for h in row["near"]} == {"0"}
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_proximity_with_common_differences(spark, benchmark, limit):
+    """The words replaced are the item's rarest ones that occur; a word put in or left out shifts the others."""
+    ws = "seven wizards quietly drink old wine near the harbour wall".split()
+    cases = {}
+    for i in range(10):
+        cases[i] = [*ws[:i], "cat", *ws[i + 1 :]]
+        cases[20 + i] = [*ws[:i], "cat", *ws[i:]]
+        cases[40 + i] = ws[:i] + ws[i + 1 :]
+        cases[60 + i] = [*(f"x{j}" for j in range(30)), *ws[:i], "cat", *ws[i + 1 : 9], "dog"]
+    cases[90], cases[91], cases[92] = ws, ["cat", "dog", "cow", *ws[3:]], ws[::-1]
+    rows = [(i, " ".join(c)) for i, c in cases.items()] + [(99, w) for w in ws for _ in range(2)] + [(99, "near the old wall " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(3, " ".join(ws)), (4, "gone words " * 8)], "item_id long, text string")
+    got = {}
+    for r in decontaminate.find_leaks(docs, items, broadcast_rows=limit).collect():
+        got.setdefault(r["doc_id"], set()).update({("hit", h["item"]) for h in r["hits"]} | {("near", h["item"]) for h in r["near"]})
+    for i in cases:
+        kinds = got[i] - {("hit", "3")} if i in (20, 29) else got[i]
+        if i == 90:
+            assert kinds == {("hit", "3")}
+        elif i in (91, 92):
+            assert not kinds
+        elif i == 20:  # a word put before the first leaves the passage whole
+            assert ("hit", "3") in got[i]
+        else:
+            assert kinds == {("near", "3")}, i
+    assert not got[99]
+
+
+def test_proximity_query(spark, folder):
+    got = {r["doc_id"]: r for r in op6_proximity(spark, folder).collect()}
+    assert len(got) >= 19 and got[0]["n_near"] == 0 and got[3]["near_items"] == ""
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_jaccard(spark, docs, limit):
     own = [(i, t) for i, t in texts(docs) if i is not None]

@@ -1,12 +1,15 @@
 """Benchmark decontamination over a positional inverted index (operator 6), in DataFrame expressions only.
 
 1. Corpus frequencies of the benchmark's words are counted over all documents.
-2. A window is WIDTH consecutive words of an item (a shorter item is one window). Each window names its two rarest words
-   by corpus frequency; ``postings`` stores (term, doc_id, pos) of those words for all documents.
-3. Lists are intersected with their offsets taken off: a posting at pos of a word at place p of an item lies on diagonal
-   pos - p; a diagonal of a document stays if some window has both its rarest words on it.
-4. Candidate diagonals return to their documents, where each window is compared word by word (exact phrases), and
-   windows that agree in at least NEAR words are proximity matches.
+2. A window is WIDTH consecutive words of an item (a shorter item is one window). Each window names its rarest
+   words by corpus frequency, two more than may differ: whatever differs in a match, two of them agree. ``postings``
+   stores (term, doc_id, pos) of those words for all documents.
+3. Offsets are taken off: a posting at pos of a word at place p of an item lies on diagonal pos - p. A band of BAND
+   neighbouring diagonals of a document is a candidate if two such places of an item are on it or beside it (one for
+   items that have no two more words than may differ).
+4. Candidate diagonals return to their documents, where each window is compared word by word (exact phrases). Windows
+   of which all but WIDTH - NEAR words stand at their place or one beside it are proximity matches, so a word may be
+   replaced, inserted or left out inside. Of an item of one or two words, one must agree.
 
 Benchmark tables and candidate lists are broadcast only if their counted size allows it; else they are shuffled by
 term or doc_id. Nothing grows with pairs of documents.
@@ -27,6 +30,8 @@ from .common import shielded, sized, stored, words
 WIDTH = 10
 #: Words that must agree for a proximity match.
 NEAR = 8
+#: Diagonals that are grouped.
+BAND = 4
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -45,22 +50,21 @@ def frequencies(docs: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataF
     return tokens_of(docs).join(sized(terms, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def rare_pairs(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR) -> DataFrame:
-    """(item, ws, a, b): for each window that can match, the places in the item of its two rarest words that occur.
+def rare_places(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR) -> DataFrame:
+    """(k, lone, place, term): the places in the item that are, for some window, among its width - near + 2 rarest.
 
-    Windows with more than width - near words that never occur can't. a = b if one word is left; ties go to the earlier."""
-    key = F.xxhash64("ws")
+    k: hash of item and words; lone: one place is enough. Words that never occur are left out. Ties go to the earlier."""
+    key = F.xxhash64("item", "ws")
     placed = items.select("item", key.alias("k"), F.size("ws").alias("n"), F.posexplode("ws").alias("place", "term"))
     placed = placed.join(tf, "term", "left").select("item", "k", "n", "place", F.coalesce("tf", F.lit(0)).alias("tf"))
     first = F.greatest(F.col("place") - (width - 1), F.lit(0))
     last = F.least(F.col("place"), F.greatest(F.col("n") - width, F.lit(0)))
     inside = placed.select("item", "k", "place", "tf", F.explode(F.sequence(first, last)).alias("w"))
     each = inside.groupBy("item", "k", "w").agg(F.array_sort(F.collect_list(F.struct("tf", "place"))).alias("r"))
-    each = each.withColumn("all", F.size("r")).withColumn("r", F.filter("r", lambda x: x["tf"] > 0))  # at most `width` rows a group
-    each = each.where((F.size("r") > 0) & (F.size("r") >= F.col("all") - (width - near)))
-    two = F.when(F.size("r") > 1, F.col("r")[1]["place"]).otherwise(F.col("r")[0]["place"])
-    pairs = each.select("item", "k", F.col("r")[0]["place"].alias("a"), two.alias("b")).distinct()
-    return items.withColumn("k", key).join(pairs, ["item", "k"]).select("item", "ws", "a", "b")
+    rarest = F.filter(F.slice("r", 1, width - near + 2), lambda x: x["tf"] > 0)  # at most `width` rows a group
+    places = each.select("k", F.explode(rarest).alias("x")).select("k", F.col("x.place").alias("place")).distinct()
+    lone = (F.size("ws") < width - near + 2).cast("int")
+    return items.withColumn("k", key).join(places, "k").select("k", lone.alias("lone"), "place", F.element_at("ws", F.col("place") + 1).alias("term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
@@ -68,16 +72,16 @@ def postings(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 500_000) -
     return tokens_of(docs).join(sized(terms, broadcast_rows), "term", "left_semi").select("term", "doc_id", "pos")
 
 
-def diagonals(index: DataFrame, pairs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, item, ws, diag): where a document and an item may share a window."""
-    places = pairs.select("item", "ws", F.explode(F.array("a", "b")).alias("place")).distinct()
-    keyed = places.select("item", F.xxhash64("ws").alias("k"), "place", F.element_at("ws", F.col("place") + 1).alias("term"))
-    on = index.join(sized(keyed, broadcast_rows), "term").select("doc_id", "item", "k", (F.col("pos") - F.col("place")).alias("diag"), "place")
-    lists = pairs.groupBy("item", "ws").agg(F.collect_set(F.struct("a", "b")).alias("ab")).withColumn("k", F.xxhash64("ws"))
-    met = on.groupBy("doc_id", "item", "k", "diag").agg(F.collect_set("place").alias("held"))
-    met = met.join(sized(lists, broadcast_rows // 10), ["item", "k"])
-    both = F.exists("ab", lambda p: F.array_contains("held", p["a"]) & F.array_contains("held", p["b"]))
-    return met.where(both).select("doc_id", "item", "ws", "diag")
+def diagonals(index: DataFrame, places: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, k, low, high): range of diagonals, at most BAND, on which a document and an item may share a window."""
+    on = index.join(sized(places, broadcast_rows), "term").withColumn("diag", F.col("pos") - F.col("place"))
+    first, last = F.floor((F.col("diag") - 1) / BAND).cast("int"), F.floor((F.col("diag") + 1) / BAND).cast("int")
+    on = on.select("doc_id", "k", "lone", "place", "diag", F.explode(F.sequence(first, last)).alias("band"))
+    met = on.groupBy("doc_id", "k", "band").agg(
+        F.max("lone").alias("lone"), F.min("place").alias("p"), F.max("place").alias("q"), F.min("diag").alias("d"), F.max("diag").alias("e")
+    ).where("p < q OR lone = 1")
+    low, high = F.greatest(F.col("band") * BAND, F.col("d") - 1), F.least(F.col("band") * BAND + BAND - 1, F.col("e") + 1)
+    return met.select("doc_id", "k", low.alias("low"), high.alias("high"))
 
 
 def find_leaks(
@@ -89,38 +93,49 @@ def find_leaks(
     items = stored(items_of(benchmark), "bench-items")
     terms = items.select(F.explode("ws").alias("term")).distinct()
     tf = stored(frequencies(docs, terms, broadcast_rows), "bench-frequencies")
-    pairs = stored(rare_pairs(items, tf, width, near), "bench-windows")
-    anchors = pairs.select(F.explode(F.array(F.element_at("ws", F.col("a") + 1), F.element_at("ws", F.col("b") + 1))).alias("term")).distinct()
-    index = stored(postings(docs, anchors, broadcast_rows), "positional-index")
-    found = diagonals(index, pairs, broadcast_rows)
-    lists = found.groupBy("doc_id").agg(F.collect_set(F.struct("item", "ws", "diag")).alias("_cands"))
+    places = stored(rare_places(items, tf, width, near), "bench-windows")
+    index = stored(postings(docs, places.select("term").distinct(), broadcast_rows), "positional-index")
+    found = diagonals(index, places, broadcast_rows)
+    keyed = items.select(F.xxhash64("item", "ws").alias("k"), "item", "ws")
+    found = found.join(sized(keyed, broadcast_rows // 10), "k")
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "ws", "low", "high")).alias("_cands"))
     lists = stored(lists.select(F.col("doc_id").alias("_id"), "_cands"), "bench-candidates")
     out = docs.join(sized(lists, broadcast_rows // 10), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     out = out.select(*names, "_cands", words(F.coalesce("text", F.lit(""))).alias("_ws"))
-    none = F.array().cast("array<struct<item:string,start:int,end:int,same:int>>")
+    out = out.withColumn("_pad", F.concat(F.array(F.lit(""), F.lit("")), "_ws"))
+    kind = "array<struct<item:string,start:int,end:int,exact:boolean>>"
+    none, spare = F.array().cast(kind), width - near
 
     def windows(c: Column) -> Column:
-        w = F.least(F.lit(width), F.size(c["ws"]))
-        low = F.greatest(F.lit(0), -c["diag"])
-        high = F.least(F.size(c["ws"]), F.size("_ws") - c["diag"]) - w
-        at = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-        def compared(o: Column) -> Column:
-            mine, theirs = F.slice(F.col("_ws"), c["diag"] + o + 1, w), F.slice(c["ws"], o + 1, w)
-            same = F.when(mine == theirs, w).otherwise(F.size(F.filter(F.zip_with(mine, theirs, lambda x, y: x == y), lambda x: x)))
-            return F.struct(c["item"].alias("item"), (c["diag"] + o).alias("start"), (c["diag"] + o + w).alias("end"), (same + F.lit(width) - w).alias("same"))
-
-        return F.filter(F.transform(at, compared), lambda x: x["same"] >= near)
-
-    close = F.when(F.col("_cands").isNotNull(), F.array_distinct(F.flatten(F.transform("_cands", windows)))).otherwise(none)
+        return F.flatten(F.transform(F.sequence(c["low"], c["high"]), lambda d: matches(c, d)))
+
+    def matches(c: Column, d: Column) -> Column:
+        n, w = F.size(c["ws"]), F.least(F.lit(width), F.size(c["ws"]))
+        # whether a word of the item is at its place or beside it; _pad has two words before the document's
+        beside = lambda i: F.array_contains(F.slice("_pad", F.greatest(d + i + 2, F.lit(1)), 3), F.element_at(c["ws"], i + 1))
+        agree = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (d + i >= -1) & beside(i))
+        low = F.greatest(F.lit(0), -d - spare)
+        high = F.least(n, F.size("_ws") - d + spare) - w
+
+        def inside(flags: Column) -> Column:
+            enough = F.size(F.filter(flags, lambda x: x)) >= F.greatest(w - spare, F.lit(1))
+            at = F.when(enough & (high >= low), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            at = F.filter(at, lambda o: F.size(F.filter(F.slice(flags, o + 1, w), lambda x: x)) >= F.greatest(w - spare, F.lit(1)))
+            return F.transform(at, lambda o: F.struct(
+                c["item"].alias("item"), F.greatest(d + o, F.lit(0)).alias("start"), F.least(d + o + w, F.size("_ws")).alias("end"),
+                ((d + o >= 0) & (F.slice("_ws", F.greatest(d + o + 1, F.lit(1)), w) == F.slice(c["ws"], o + 1, w))).alias("exact"),
+            ))
+
+        return F.flatten(F.transform(F.array(agree), inside))
+
+    close = F.when(F.col("_cands").isNotNull(), F.array_distinct(F.flatten(F.transform("_cands", windows))).cast(kind)).otherwise(none)
     out = out.select(*names, F.size("_ws").cast("long").alias("n_words"), close.alias("_close"))
     plain = lambda x: F.struct(x["item"].alias("item"), x["start"].alias("start"), x["end"].alias("end"))
-    out = out.select(
-        *names, "n_words",
-        F.transform(F.filter("_close", lambda x: x["same"] == width), plain).alias("hits"),
-        F.transform(F.filter("_close", lambda x: x["same"] < width), plain).alias("near"),
-    )
-    return restore(out, "n_words", "hits", "near")
+    out = out.select(*names, "n_words", "_close", F.transform(F.filter("_close", lambda x: x["exact"]), plain).alias("hits"))
+    # a hit is no proximity match, nor are its own words one place aside
+    beside_hit = lambda x: F.exists("hits", lambda h: (h["item"] == x["item"]) & (F.abs(h["start"] - x["start"]) <= 1))
+    near_ones = F.array_distinct(F.transform(F.filter("_close", lambda x: ~x["exact"] & ~beside_hit(x)), plain))
+    return restore(out.select(*names, "n_words", "hits", near_ones.alias("near")), "n_words", "hits", "near")
 
 
 def hit_words(hits: Column) -> Column:

@@ -49,6 +49,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of operator 6; a query of its own, as the SQL of the other fixes its columns."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = decontaminate.item_list(F.col("near"))
+    return found.select(
+        "doc_id", "n_words", decontaminate.hit_words(F.col("near")).alias("n_near"), F.size(items).cast("long").alias("n_near_items"),
+        F.array_join(items, ",").alias("near_items"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(read(spark, sf_dir, "documents"))
 
