@@ -162,6 +162,7 @@ def fit(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bucket
     counts = counts.observe(once, F.count_if(single).alias("n"), F.coalesce(F.sum(F.when(single, F.col("t"))), F.lit(0)).alias("t"))
     counts = stored(counts.where((F.col("b") > 1) | (F.col("key") == 0)), "lm-counts")
     alone = once.get
+    del once
     release(docs.sparkSession)
     level = F.floor(F.log2("b") * CLASSES).cast("int")
     sums = counts.where(F.col("key") != 0).groupBy(kind.alias("kind"), level.alias("level"))
@@ -219,6 +220,7 @@ def losses(own: Tokens, flags: np.ndarray, counts: tuple, size: int, totals: tup
 def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **options) -> DataFrame:
     """doc_id, n_tokens, h_target, h_background, score, in_target: one row for each row of docs."""
     models = models or fit(docs, target, **options)
+    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models.hot)
     filtered = docs.sparkSession.sparkContext.broadcast(models.seen)
     left, size, totals = models.left, models.size, models.totals
@@ -276,6 +278,8 @@ def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **op
     texts = rows.select("doc", F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), F.lit(None).cast("long").alias("t"), "text")
     if any(left):
         found = rows.select("doc", "text").mapInArrow(asked, "key long, doc long").join(models.cold, "key")
+        found = stored(found.select("doc", "key", "b", "t"), "lm-found")
+        release(docs.sparkSession)
         texts = texts.unionByName(found.select("doc", "key", "b", "t", F.lit(None).cast("string").alias("text")))
         texts = texts.repartition("doc").sortWithinPartitions("doc", F.col("t").asc_nulls_last())
     schema = "doc_id long, n_tokens long, h_target double, h_background double, score double, in_target boolean"
