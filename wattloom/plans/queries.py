@@ -278,7 +278,7 @@ _FEAT = f"""{EVENTS}, k AS (SELECT split, household_id, month, count(value) AS n
  d0 AS (SELECT *, value - lag(value) OVER w AS diff, stddev_samp(value) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS vol, row_number() OVER w AS rn FROM readings WINDOW w AS (PARTITION BY split, household_id, month ORDER BY ts, event_id)),
  dd AS (SELECT split, household_id, month, avg(diff) AS first_diff_mean, stddev_samp(diff) AS first_diff_std, avg(CASE WHEN rn >= 12 THEN vol END) AS rolling_volatility_mean, stddev_samp(CASE WHEN rn >= 12 THEN vol END) AS rolling_volatility_std FROM d0 GROUP BY 1, 2, 3)"""
 _cols = ", ".join(["n_values", *[c for c in features.FEATURES if c not in ("load_factor", "weekday_weekend_ratio")]])
-add("household_month_features", _feat, f"{_FEAT} SELECT split, household_id, month, {_cols}, CASE WHEN max > 0 THEN mean / max END AS load_factor, CASE WHEN we > 0 THEN wd / we END AS weekday_weekend_ratio FROM k JOIN ti USING (split, household_id, month) JOIN dd USING (split, household_id, month)", " ".join(c for c in features.FEATURES if c != "peak_hour"), 4)
+add("household_month_features", _feat, f"{_FEAT} SELECT split, household_id, month, {_cols}, CASE WHEN max > 0 THEN mean / max END AS load_factor, CASE WHEN we > 0 THEN wd / we END AS weekday_weekend_ratio FROM k JOIN ti USING (split, household_id, month) JOIN dd USING (split, household_id, month)", " ".join(c for c in features.FEATURES if c != "peak_hour"), 9)
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
