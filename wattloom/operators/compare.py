@@ -8,22 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
+from .ranks import running
 
 
 def _weighted(a: DataFrame, b: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., v, F, G, next): both empirical distribution functions at each distinct value."""
     one = lambda df, x, y: df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.lit(x).alias("a"), F.lit(y).alias("b"))
     both = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    keys = by or [F.lit(0)]
-    w, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-    return both.select(
-        *by, "v", F.try_divide(F.sum("a").over(w), F.sum("a").over(whole)).alias("fa"), F.try_divide(F.sum("b").over(w), F.sum("b").over(whole)).alias("fb"),
-        F.lead("v").over(w).alias("next"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"),
+    return running(both, by, "v", ["a", "b"]).select(
+        *by, "v", F.try_divide("a_upto", F.col("a_all")).alias("fa"), F.try_divide("b_upto", F.col("b_all")).alias("fb"),
+        F.col("v_next").alias("next"), F.col("a_all").alias("na"), F.col("b_all").alias("nb"),
     )
 
 
 def distances(a: DataFrame, b: DataFrame, by: list[str] | None = None, value: str = "value") -> DataFrame:
-    """Wasserstein-1 and the KS statistic of two samples by group, with sizes. Windows are over distinct values."""
+    """Wasserstein-1 and the KS statistic of two samples by group, with sizes. Windows are over ranges of distinct values."""
     by = by or []
     gap = F.abs(F.col("fa") - F.col("fb"))
     return _weighted(a, b, by, value).groupBy(*by).agg(

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import adjusted_kurtosis, adjusted_skew
 from .compare import student_p
+from .ranks import blocks, quantiles, ranks
 from .stats import differences, rolling_sd
 
 #: Hours of the day's parts: from, to.
@@ -55,24 +59,29 @@ def standardised(df: DataFrame, columns: list[str], keep: list[str]) -> DataFram
     return filled.crossJoin(F.broadcast(both)).select(*keep, z.alias("x"))
 
 
-def euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str = "x", block_rows: int = 1000) -> DataFrame:
+    """(a_<key>, b_<key>, distance) between two groups of feature rows: a task holds one block of either.
 
+    Callers aggregate at once; the pair table is never stored. Null vectors take no part."""
+    rows, other = (df.select(key, F.col(x).cast("array<double>").alias("x")).where(F.col("x").isNotNull()) for df in (rows, other))
+    n, m = (blocks(df.count(), block_rows) for df in (rows, other))
+    own = lambda k, salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = rows.select(key, "x", own(n, 1).alias("i"), each(m).alias("j")).groupBy("i", "j")
+    b = other.select(key, "x", each(n).alias("i"), own(m, 2).alias("j")).groupBy("i", "j")
+    schema = T.StructType([T.StructField(f"{s}_{key}", df.schema[key].dataType) for s, df in (("a", rows), ("b", other))] + [T.StructField("distance", T.DoubleType())])
+    return a.cogroup(b).applyInArrow(_distances(key), schema)
 
-def in_blocks(rows: DataFrame, other: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """Every row of `rows` with every row of `other`, as an equi-join on block numbers: neither side is broadcast whole.
 
-    Columns a_* and b_*. Callers aggregate at once; the pair table is never stored."""
-    n = max(1, -(-other.count() // block_rows))
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"))
-    b = other.select(*[F.col(c).alias(f"b_{c}") for c in other.columns], F.pmod(F.xxhash64(*other.columns[:1]), F.lit(n)).cast("int").alias("_b"))
-    return a.join(b, "_b").drop("_b")
+def _distances(key: str):
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        vectors = lambda t: np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1)
+        x, y = vectors(a), vectors(b)
+        d = np.concatenate([np.sqrt(((y - v) ** 2).sum(1)) for v in x]) if len(x) and len(y) else np.empty(0)
+        left, right = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+        return pa.table([a.column(key).take(pa.array(left)), b.column(key).take(pa.array(right)), pa.array(d)], [f"a_{key}", f"b_{key}", "distance"])
 
-
-def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
-    """(a_<key>, b_<key>, distance) between two groups of feature rows."""
-    pairs = in_blocks(rows.select(key, x), other.select(key, x))
-    return pairs.select(f"a_{key}", f"b_{key}", euclid(F.col(f"a_{x}"), F.col(f"b_{x}")).alias("distance"))
+    return run
 
 
 def within_distances(rows: DataFrame, key: str = "id", x: str = "x", most_rows: int | None = None, seed: int = 42) -> DataFrame:
@@ -83,9 +92,10 @@ def within_distances(rows: DataFrame, key: str = "id", x: str = "x", most_rows:
 
 
 def distance_summary(d: DataFrame, *by: str) -> DataFrame:
-    q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), F.min("distance").alias("least"), F.max("distance").alias("most"), q.alias("q"))
-    return out.select(*by, "n", "mean", "sd", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "most", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), F.min("distance").alias("least"), F.max("distance").alias("most"))
+    q = quantiles(d, list(by), "distance", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    out = out.join(q, list(by), "left") if by else out.join(F.broadcast(q), how="left")  # a row
+    return out.select(*by, "n", "mean", "sd", "least", "q25", "median", "q75", "most", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def row_distances(d: DataFrame, key: str = "a_id") -> DataFrame:
@@ -97,7 +107,7 @@ def privacy_leakage(synth: DataFrame, train: DataFrame, test: DataFrame, key: st
     distance to train under its 25th percentile)."""
     a, b = (row_distances(cross_distances(synth, other, key, x), f"a_{key}").select(F.col(f"a_{key}").alias(key), F.col("mean").alias(f"mean_{n}"), F.col("least").alias(f"least_{n}")) for other, n in ((train, "train"), (test, "test")))
     out = a.join(b, key)
-    cut = out.agg(F.percentile("least_train", 0.25).alias("_c"))
+    cut = quantiles(out, [], "least_train", {"_c": 0.25})
     return out.crossJoin(F.broadcast(cut)).select(
         key, "mean_train", "mean_test", "least_train", "least_test", (F.col("mean_train") - F.col("mean_test")).alias("diff"), (F.col("least_train") < F.col("least_test")).alias("nearer_train"), (F.col("least_train") < F.col("_c")).alias("high_risk")
     )
@@ -115,16 +125,11 @@ def memorisation(leakage: DataFrame) -> dict:
 
 def outliers(d: DataFrame, key: str = "a_id") -> DataFrame:
     """Rows whose mean distance is above the 95th percentile of all distances, with their percentile rank (left search)."""
-    cut = d.agg(F.percentile("distance", 0.95).alias("cut"))
-    means = row_distances(d, key)
-    # rank: distances below each mean, by one sort over distinct values of both
-    values = d.groupBy("distance").agg(F.count(F.lit(1)).alias("k")).select(F.col("distance").alias("v"), "k", F.lit(None).cast("long").alias(key))
-    marks = means.select(F.col("mean").alias("v"), F.lit(0).cast("long").alias("k"), F.col(key).cast("long").alias(key))
-    w = Window.partitionBy(F.lit(0)).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at = values.unionByName(marks).withColumn("_c", F.sum("k").over(w)).withColumn("_own", F.sum("k").over(Window.partitionBy("v")))
-    total = d.agg(F.count(F.lit(1)).alias("t"))
-    ranks = at.where(F.col(key).isNotNull()).select(key, (F.col("_c") - F.col("_own")).alias("below")).crossJoin(F.broadcast(total)).select(key, (100 * F.col("below") / F.col("t")).alias("percentile"))
-    return means.join(ranks, key).crossJoin(F.broadcast(cut)).select(key, "mean", "percentile", (F.col("mean") > F.col("cut")).alias("outlier"))
+    cut = quantiles(d, [], "distance", {"cut": 0.95})
+    means = row_distances(d, key).select(key, "mean")
+    at = ranks(d.select(F.col("distance").alias("mean")), means, "mean", key)
+    out = means.join(at, key).crossJoin(F.broadcast(cut))  # a row
+    return out.select(key, "mean", (100 * F.col("below") / F.col("total")).alias("percentile"), (F.col("mean") > F.col("cut")).alias("outlier"))
 
 
 def paired_share(leakage: DataFrame) -> DataFrame:
