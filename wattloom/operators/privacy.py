@@ -94,6 +94,9 @@ def prefilter(readings: DataFrame, exclusions: DataFrame, keys: tuple[str, ...]
 
 # disclosure control
 
+#: Splits whose rows are about people.
+REAL = ("train", "val", "test")
+
 
 def round_ten(n: Column) -> Column:
     """To the nearest 10, halves to even tens; null stays."""
@@ -118,6 +121,26 @@ def suppressed(df: DataFrame, group: list[str], counts: list[str], values: list[
     return out.select(*[hide(c, round_ten(F.col(c))) if c in counts else hide(c, F.col(c)) if c in values else F.col(c) for c in df.columns], "suppressed")
 
 
+def real_rounded(df: DataFrame, counts: list[str], split: str = "split") -> DataFrame:
+    """Counts of rows of a real split rounded; those of synthetic rows, about nobody, stay."""
+    return df.withColumns({c: F.when(F.col(split).isin(*REAL), round_ten(F.col(c))).otherwise(F.col(c)) for c in counts})
+
+
+def groups_suppressed(df: DataFrame, group: list[str], count: str, values: list[str], test: tuple[str, ...] = REAL, split: str = "split") -> DataFrame:
+    """Groups in which a tested split has a small count lose count and values in all splits; other counts of real splits are rounded."""
+    small = F.max(F.col(split).isin(*test) & small_count(F.col(count))).over(Window.partitionBy(*group))
+    out = df.withColumn("suppressed", small)
+    return real_rounded(out, [count], split).withColumns({c: F.when(~F.col("suppressed"), F.col(c)) for c in [count, *values]})
+
+
+def tokens_suppressed(df: DataFrame, real: tuple[str, ...] = ("train", "test"), values: tuple[str, ...] = ("f", "cdf")) -> DataFrame:
+    """Wide token rows (n_<split>, f_<split>, cdf_<split>): where train's count is 1 to 9, all of the real splits' are null; counts
+    are rounded else. Synthetic columns stay."""
+    small = small_count(F.col("n_train"))
+    out = {f"n_{x}": F.when(~small, round_ten(F.col(f"n_{x}"))) for x in real}
+    return df.withColumns(out | {f"{v}_{x}": F.when(~small, F.col(f"{v}_{x}")) for v in values for x in real})
+
+
 def token_suppressed(df: DataFrame, count: str, values: list[str]) -> DataFrame:
     """Bins whose count is 1 to 9 lose count and values; other counts are rounded. Samples are dropped by select."""
     small = small_count(F.col(count))

@@ -102,6 +102,19 @@ def household_months(df: DataFrame, *extra: str, value: str = "value") -> DataFr
     return df.groupBy("household_id", "month", "fuel", *extra).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+def household_groups(df: DataFrame, variables: list[str], *by: str, value: str = "value") -> DataFrame:
+    """Household-month means by split and by each variable's values (cond_var "all" for everyone): households, months, mean, sd."""
+    months = df.groupBy(*by, "household_id", "month", *variables).agg(F.avg(value).alias("m")).where("m IS NOT NULL")
+    long = unpivot_context(months.withColumn("all", F.lit("all")), ["all", *variables], [*by, "household_id", "m"])
+    return long.groupBy("cond_var", "cond_value", *by).agg(
+        F.count_distinct("household_id").alias("households"), F.count(F.lit(1)).alias("household_months"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd")
+    )
+
+
+def households(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count_distinct("household_id").alias("households"))
+
+
 def missing_stats(df: DataFrame, *by: str, value: str = "value") -> DataFrame:
     """Percent missing and zero (of all rows) and percent of households without any value."""
     home = df.groupBy("household_id", *[b for b in by if b != "household_id"]).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.count_if(F.col(value) == 0).alias("z"))

@@ -34,14 +34,18 @@ def prepare(catalog: DataFrame, variables: list[str], k: int, val: int, test: in
     return {"catalog": kept, "report": report, "assignment": out, "dictionary": dictionary}
 
 
-def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1, 2, 4), exclusions: DataFrame | None = None, order: tuple[str, ...] = ("ts",)) -> dict[str, DataFrame]:
-    """Report sections of readings with split: lazy DataFrames by name. Without real splits, comparisons are null."""
+def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1, 2, 4), exclusions: DataFrame | None = None, order: tuple[str, ...] = ("ts",), edges: dict[str, list[float]] | None = None) -> dict[str, DataFrame]:
+    """Report sections of readings with split: lazy DataFrames by name. Without real splits, comparisons are null.
+
+    edges: bin edges by fuel for the token section."""
     sections: dict[str, DataFrame] = {}
     if exclusions is not None:
         readings, sections["prefilter"] = privacy.prefilter(readings, exclusions)
     series = ["split", "household_id", "month", "fuel"]
     sections["totals"] = readings.groupBy("split").agg(F.count_distinct("household_id").alias("households"), F.count_distinct("month").alias("months"))
     sections["marginal"] = stats.marginal_comparison(readings, "fuel")
+    sections["marginal_counts"] = stats.fuel_stats(readings, "split", "fuel").select("split", "fuel", "n", "mean", "sd")
+    sections["household_months"] = stats.household_groups(readings, context, "split", "fuel")
     if context:
         sections["conditional"] = stats.conditional(readings, context, "split", "fuel")
     profile = stats.daily_profile(readings, "split", "fuel")
@@ -50,7 +54,7 @@ def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1
     sections["seasonal"] = stats.seasonal(readings, "split", "fuel")
     sections["collapse"] = stats.collapse(sections["seasonal"], "split", "fuel")
     weeks = stats.week_of_series(readings, series, list(order))
-    sections["weekly"] = stats.weekly_fidelity(weeks, "split", "fuel")
+    sections["weekly"] = stats.weekly_fidelity(weeks, "split", "fuel").join(stats.households(weeks, "split", "fuel", "week"), ["split", "fuel", "week"])
     sections["weekly_shape"] = stats.weekly_shape(weeks, "split", "fuel")
     sections["acf"] = stats.acf_summary(stats.autocorrelation(readings, series, list(order), list(lags)), "split", "fuel")
     sections["volatility"] = stats.diff_quantiles(stats.differences(readings, series, list(order)), "split", "fuel")
@@ -59,6 +63,8 @@ def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1
     synth = readings.where("split = 'synth'")
     sections["distances"] = compare.distances(synth, readings.where("split = 'train'"), ["fuel"])
     sections["distances"] = compare.normalised(sections["distances"], readings.where("split = 'train'"), ["fuel"])
+    if edges:
+        sections["tokens"] = token_section(readings, edges)
     sections["features"] = features.household_month_features(readings, series, list(order))
     sections["flags"] = flags(sections)
     sections["verdict"] = grade.verdict(sections["flags"])
@@ -86,11 +92,36 @@ def flags(s: dict[str, DataFrame]) -> DataFrame:
     return grade.all_flags(*out)
 
 
+def token_section(readings: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(fuel, token, n_<split>, f_<split>, cdf_<split>) of values put into bins between edges."""
+    out = None
+    for fuel, cuts in edges.items():
+        own = readings.where((F.col("fuel") == fuel) & F.col("value").isNotNull())
+        token = F.size(F.filter(F.lit(cuts[1:-1]), lambda c: c <= F.col("value")))
+        freqs = compare.with_cdf(compare.token_counts(own, token, len(cuts) - 1, "split"), "split")
+        part = stats.by_split(freqs.withColumn("fuel", F.lit(fuel)), ["fuel", "token"], ["n", "f", "cdf"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sanitised(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The sections after disclosure control; sample-like sections are left out."""
+    """The sections after disclosure control, by section:
+
+    totals, marginal_counts, seasonal, weekly: counts of real splits are rounded. conditional: a group is suppressed if train
+    or test or val has a small number of households. household_months: likewise across all splits, and rounded. tokens: bins
+    that train has fewer than ten of lose all real values. profiles, monthly_profiles: their counts of values are dropped.
+    features and runs are about single households and are left out. The others hold no counts of households, or only of
+    synthetic ones, and stay. The input is not changed."""
     out = {k: v for k, v in s.items() if k not in ("features", "runs")}
+    for k, counts in (("totals", ["households"]), ("marginal_counts", ["n"]), ("seasonal", ["n"]), ("weekly", ["n", "households"])):
+        out[k] = privacy.real_rounded(out[k], counts)
     if "conditional" in out:
-        out["conditional"] = privacy.suppressed(out["conditional"], ["cond_var", "cond_value"], ["households"], ["mean", "sd"]).drop("n")
-    for k in ("seasonal", "weekly", "acf", "volatility", "missingness"):
-        out[k] = privacy.rounded(out[k], ["n"])
+        out["conditional"] = privacy.groups_suppressed(out["conditional"].drop("n"), ["cond_var", "cond_value"], "households", ["mean", "sd"])
+    out["household_months"] = privacy.groups_suppressed(out["household_months"].drop("household_months"), ["cond_var", "cond_value", "fuel"], "households", ["mean", "sd"])
+    if "tokens" in out:
+        out["tokens"] = privacy.tokens_suppressed(out["tokens"], privacy.REAL)
+    for k in ("acf", "volatility", "missingness"):
+        out[k] = privacy.real_rounded(out[k], ["n"])
+    for k in ("profiles", "monthly_profiles"):
+        out[k] = out[k].drop(*[c for c in out[k].columns if c == "n" or c.startswith("n_")])
     return out

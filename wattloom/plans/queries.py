@@ -342,6 +342,36 @@ def _sections(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return evaluate.evaluate(E(s, d).join(home, "household_id", "left"), ["segment", "region"], order=("ts", "event_id"))
 
 
+_EDGES = {"click": [0.0, 50.0, 100.0, 150.0, 400.0, 1e9], "view": [0.0, 25.0, 100.0, 480.0, 490.0, 1e9]}
+
+
+def _released(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    home = H(s, d).select("household_id", "segment", "nation")
+    return evaluate.sanitised(evaluate.evaluate(E(s, d).join(home, "household_id", "left"), ["segment", "nation"], order=("ts", "event_id"), edges=_EDGES))
+
+
+_REAL = "split IN ('train', 'val', 'test')"
+_TEN = lambda c: f"CASE WHEN {_REAL} THEN (round_even({c} / 10.0, 0) * 10)::BIGINT ELSE {c} END"
+_RH = f"{EVENTS}, {HOMES}, rh AS (SELECT r.*, segment, nation FROM readings r LEFT JOIN homes USING (household_id))"
+add("sdc_totals", lambda s, d: _released(s, d)["totals"], f"{EVENTS} SELECT split, {_TEN('count(DISTINCT household_id)')} AS households, count(DISTINCT month) AS months FROM readings GROUP BY split")
+add("sdc_marginal", lambda s, d: _released(s, d)["marginal_counts"], f"{EVENTS} SELECT split, fuel, {_TEN('count(value)')} AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM readings GROUP BY 1, 2", "mean sd")
+add("sdc_seasonal", lambda s, d: _released(s, d)["seasonal"].select("split", "fuel", "month", "n", "mean"), f"{EVENTS}, h AS (SELECT split, fuel, household_id, month, avg(value) AS m FROM readings GROUP BY ALL) SELECT split, fuel, month, {_TEN('count(m)')} AS n, avg(m) AS mean FROM h WHERE m IS NOT NULL GROUP BY 1, 2, 3", "mean")
+add("sdc_weekly", lambda s, d: _released(s, d)["weekly"].select("split", "fuel", "week", "n", "households", "mean"), f"""{EVENTS}, p AS (SELECT *, ((row_number() OVER (PARTITION BY split, household_id, month, fuel ORDER BY ts, event_id) - 1) // 336 + 1)::INTEGER AS week FROM readings)
+ SELECT split, fuel, week, {_TEN('count(value)')} AS n, {_TEN('count(DISTINCT household_id)')} AS households, avg(value) AS mean FROM p WHERE week <= 4 GROUP BY 1, 2, 3""", "mean")
+add("sdc_conditional", lambda s, d: _released(s, d)["conditional"], f"""{_RH}, c AS (SELECT cond_var, cond_value, split, fuel, avg(value) AS mean, stddev_pop(value) AS sd, count(DISTINCT household_id) AS households FROM (SELECT *, u['v'] AS cond_var, u['x'] AS cond_value FROM (SELECT split, fuel, household_id, value, unnest([{{'v': 'segment', 'x': segment::VARCHAR}}, {{'v': 'nation', 'x': nation::VARCHAR}}]) AS u FROM rh)) WHERE cond_value IS NOT NULL GROUP BY 1, 2, 3, 4),
+ f AS (SELECT *, bool_or({_REAL} AND households BETWEEN 1 AND 9) OVER (PARTITION BY cond_var, cond_value) AS suppressed FROM c)
+ SELECT cond_var, cond_value, split, fuel, CASE WHEN NOT suppressed THEN mean END AS mean, CASE WHEN NOT suppressed THEN sd END AS sd, CASE WHEN NOT suppressed THEN {_TEN('households')} END AS households, suppressed FROM f""", "mean sd")
+add("sdc_household_months", lambda s, d: _released(s, d)["household_months"], f"""{_RH}, h AS (SELECT split, fuel, household_id, month, segment, nation, avg(value) AS m FROM rh GROUP BY ALL HAVING avg(value) IS NOT NULL),
+ c AS (SELECT cond_var, cond_value, split, fuel, count(DISTINCT household_id) AS households, avg(m) AS mean, stddev_pop(m) AS sd FROM (SELECT *, u['v'] AS cond_var, u['x'] AS cond_value FROM (SELECT split, fuel, household_id, m, unnest([{{'v': 'all', 'x': 'all'}}, {{'v': 'segment', 'x': segment::VARCHAR}}, {{'v': 'nation', 'x': nation::VARCHAR}}]) AS u FROM h)) WHERE cond_value IS NOT NULL GROUP BY 1, 2, 3, 4),
+ f AS (SELECT *, bool_or({_REAL} AND households BETWEEN 1 AND 9) OVER (PARTITION BY cond_var, cond_value, fuel) AS suppressed FROM c)
+ SELECT cond_var, cond_value, split, fuel, CASE WHEN NOT suppressed THEN {_TEN('households')} END AS households, CASE WHEN NOT suppressed THEN mean END AS mean, CASE WHEN NOT suppressed THEN sd END AS sd, suppressed FROM f""", "mean sd")
+_CUT = "CASE fuel " + " ".join(f"WHEN '{f}' THEN list_count(list_filter({cuts[1:-1]}, lambda x: x <= value))" for f, cuts in _EDGES.items()) + " END"
+_wide = lambda c: ", ".join(f"max(CASE WHEN split = '{x}' THEN {c} END) AS {c}_{x}" for x in ("synth", "train", "val", "test"))
+_hide = lambda c: f"CASE WHEN NOT small THEN {c} END AS {c.split('_')[0]}_{c.split('_')[1]}"
+add("sdc_tokens", lambda s, d: _released(s, d)["tokens"], f"""{EVENTS}, r AS (SELECT split, fuel, {_CUT} AS token FROM readings WHERE value IS NOT NULL AND fuel IN ('click', 'view')), g AS (SELECT DISTINCT split, fuel FROM r), gt AS (SELECT split, fuel, unnest(range(5))::INTEGER AS token FROM g),
+ c AS (SELECT split, fuel, gt.token, count(r.token) AS n FROM gt LEFT JOIN r USING (split, fuel, token) GROUP BY 1, 2, 3), q AS (SELECT *, n / sum(n) OVER (PARTITION BY split, fuel) AS f FROM c), x AS (SELECT *, sum(f) OVER (PARTITION BY split, fuel ORDER BY token) AS cdf FROM q),
+ w AS (SELECT fuel, token, {_wide('n')}, {_wide('f')}, {_wide('cdf')} FROM x GROUP BY 1, 2), y AS (SELECT *, coalesce(n_train BETWEEN 1 AND 9, FALSE) AS small FROM w)
+ SELECT fuel, token, n_synth, f_synth, cdf_synth, {', '.join(f"CASE WHEN NOT small THEN (round_even(n_{x} / 10.0, 0) * 10)::BIGINT END AS n_{x}" for x in ("train", "val", "test"))}, {', '.join(_hide(f"{v}_{x}") for v in ("f", "cdf") for x in ("train", "val", "test"))} FROM y""", " ".join(f"{v}_{x}" for v in ("f", "cdf") for x in ("synth", "train", "val", "test")))
 add("fidelity_flags", lambda s, d: _sections(s, d)["flags"])
 add("evaluation_verdict", lambda s, d: _sections(s, d)["verdict"])
 
