@@ -5,17 +5,22 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, once A-Z are lower-cased: everything but ASCII that is no digit and no lower-case letter.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows that a broadcast may hold; the callers' rows are a few dozen bytes.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes that a broadcast may hold.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+#: Where stored() has put the tables that are still in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 #: bytes -> bytes table with the same word rule: separators become blanks, A-Z lower case.
 WORD_BYTES = bytes(
@@ -60,12 +65,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Frees the disk of tables that stored() wrote and nothing reads any more: an empty table takes their place."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; stops counting just beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most `rows` rows and BROADCAST_BYTES bytes, measured; stops just beyond that many rows."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        own = F.col(f"`{f.name}`")
+        long = isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        text = own if isinstance(f.dataType, T.BinaryType) else own.cast("string")
+        width = width + (F.coalesce(F.octet_length(text), F.lit(0)) + 8 if long else F.lit(8))
+    n, size = df.select(width.alias("w")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
