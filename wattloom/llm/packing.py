@@ -44,6 +44,8 @@ RANKED = 200_000
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _BLANKS = re.compile(r"\s\s").search
+#: A run of white space that is too long for a look-ahead to be tried from its end backwards.
+_LONG_RUN = re.compile(r"\s{50000}").search
 
 
 class Encoder:
@@ -51,7 +53,8 @@ class Encoder:
 
     The same vocabulary is also read as ranks, which encodes faster. The pre-tokenizer's look-ahead matters only where two
     white-space characters meet; other texts are split by the pattern without it, several times faster. Without the file
-    of ranks, and for texts that hold the string of a special token, the tokenizer itself encodes."""
+    of ranks, and for texts that hold the string of a special token or a very long run of white space, the tokenizer
+    itself encodes."""
 
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
@@ -73,7 +76,11 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.exact is None or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        way = self.exact if _BLANKS(text) else self.simple
+        way = self.simple
+        if _BLANKS(text):
+            if _LONG_RUN(text):
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            way = self.exact
         return way.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
