@@ -2,12 +2,13 @@
 
 Input of a word: an embedding of the word (hashed) and the mean embedding of its character 3-, 4- and 5-grams (hashed).
 Both tables start from smoothed log odds of the training labels in their first column. A forward and a backward GRU
-run over a window of words; attention weights pool their states into one logit. Windows of 32 words begin every 24 words, so they overlap, and cover
-the whole text; a document's score is that of its highest window, in training too (gradients go to that window).
+run over a window of words; attention weights pool their states into one logit. Windows of 32 words begin every 16 words,
+so they overlap by half, and cover the whole text; a document's score is that of its highest window, in training too:
+all its windows are scored, and gradients go to the highest.
 
-The network is fitted on the driver on a bounded sample of labelled rows: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` rows in
-hash order, weighted to the classes' true shares, TRAIN_WINDOWS windows of each in a step. Labels of held-out rows
-(crc32 of the id as text, modulo 4, is 2) are never read. Scoring is a map over all rows without a shuffle: the input
+The network is fitted on the driver on a bounded sample of labelled rows: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents in
+hash order, whole texts, weighted to the classes' true shares. Of rows that share a labelled id the smallest text is
+taken. Labels of held-out rows (crc32 of the id as text, modulo 4, is 2) are never read. Scoring is a map over all rows without a shuffle: the input
 projections of each distinct word are kept, so a word costs a look-up and its share of the recurrences.
 
 Nulls: null and empty texts, and texts without words, get the share of toxic training labels as score. A null doc_id is
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, word_list
 
-MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 1500, 2000, 24
-WINDOW, STRIDE = 32, 24
+#: Bounds of the labelled documents that the network is fitted on.
+MAX_TOXIC, MAX_CLEAN = 1500, 2000
+WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 15, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 4, 6, 8, 8
 EPOCHS, BATCH, RATE, SEED = 5, 32, 0.01, 4
@@ -211,13 +213,10 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]
             doc, start, end = windows_of(np.array([len(docs[i]) for i in batch]))
-            keep = np.concatenate([rng.permutation(np.flatnonzero(doc == d))[:TRAIN_WINDOWS] for d in range(len(batch))])
-            doc, rows = doc[keep], rows_of(start[keep], end[keep], np.concatenate([docs[i] for i in batch]), -1)
-            own, rows = np.unique(rows, return_inverse=True)
-            rows = rows.reshape(WINDOW, -1)
-            rows, own = (rows - 1, own[1:]) if own[0] < 0 else (rows, own)
-            rows[rows < 0] = len(own)
-            logits = net.forward(rows, net.inputs(net.embed(*parts_of(own))), len(own))
+            own, words = np.unique(np.concatenate([docs[i] for i in batch]), return_inverse=True)
+            rows = rows_of(start, end, words, len(own))
+            inputs = net.inputs(net.embed(*parts_of(own)))
+            logits = np.concatenate([net.forward(rows[:, i : i + 2048], inputs, len(own)) for i in range(0, rows.shape[1], 2048)])
             best = np.array([np.flatnonzero(doc == d)[np.argmax(logits[doc == d])] for d in range(len(batch))])
             used, rows = np.unique(rows[:, best], return_inverse=True)
             rows, used = rows.reshape(WINDOW, -1), used[used < len(own)]
@@ -310,14 +309,14 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """The network, from at most MAX_TOXIC and MAX_CLEAN labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Network:
+    """The network, from at most max_toxic and max_clean labelled documents that are not held out."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
+    sample = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         net = Network()
@@ -329,9 +328,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return train([r["text"] or "" for r in rows], y, np.array([share[int(v)] for v in y], np.float32))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, predict_at: float = PREDICT_AT) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, predict_at: float = PREDICT_AT, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN
+) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_toxic, max_clean))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
