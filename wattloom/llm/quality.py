@@ -11,13 +11,13 @@ Evidence of three kinds is added as log odds:
 
 Nulls: a null text counts as empty, null source or lang as one group of their own ("" key). Empty texts get the
 features of an empty text. Repeated rows each get their score. Without labels of both classes the classifier is
-neutral and every document is kept. A label row with null quality or doc_id is ignored.
+neutral and every document is kept. A label row with null quality or doc_id is ignored; of several labels of a document
+the best counts, and of rows that share a labelled id the classifier sees one.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +32,10 @@ from .common import shielded, sized
 MAX_LABELLED = 20_000
 #: A document stays if its combined probability of quality is at least this.
 KEEP_AT = 0.5
-#: Site evidence may move the log odds by this much at most, so a poor site alone rejects no clean document.
+#: Site evidence may move the log odds by this much at most: it is shared by all documents of a site and not independent
+#: of the documents' own evidence, which it has to correct and not to replace.
 SITE_LIMIT = 1.5
 
-_RUN = re.compile(rb"(.)\1{3,}", re.S)
 _MARKS = b"|#$%&*!@^~<>{}[]=+_/\\"
 
 
@@ -102,11 +102,14 @@ def _prior_strength(n: F.Column, k: F.Column, p: F.Column) -> F.Column:
     return F.least(F.greatest(F.try_divide(F.avg(p * (1 - p)), between) - 1, F.lit(1.0)), F.lit(1000.0))
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): one label a document, the best of several."""
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def site_posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """(host posteriors, path posteriors, global rate) from all labelled documents, by grouped aggregation."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max("quality").cast("double").alias("_y")
-    )
+    known = _labels(labels).select("doc_id", F.col("quality").cast("double").alias("_y"))
     sites = docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("_host"), F.coalesce("lang", F.lit("")).alias("_path")
     )
@@ -133,19 +136,16 @@ def _features(texts: pa.Array) -> pa.Array:
 
 def fit_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict | None:
     """The document classifier, from at most max_labelled labelled rows in hash order; None without two classes."""
-    known = (
-        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sample = rows.select(_features("text").alias("x"), "quality").limit(2 * max_labelled).collect()
+    known = _labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), _features("text").alias("x"))
+    sample = rows.groupBy("doc_id", "quality").agg(F.min_by("x", "h").alias("x")).orderBy("doc_id").collect()  # a row a label
     if len({r["quality"] for r in sample}) < 2:
         return None
     return fit_logistic(np.array([r["x"] for r in sample]), np.array([float(r["quality"]) for r in sample]))
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep_at: float = KEEP_AT
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep_at: float = KEEP_AT, site_limit: float = SITE_LIMIT
 ) -> DataFrame:
     """docs with the columns doc_logit, host_rate, path_rate, probability and keep; no row moves or goes.
 
@@ -172,7 +172,7 @@ def score_quality(
     path = F.coalesce("path_rate", host)
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = lambda p: F.log(clip(p) / (1 - clip(p)))
-    site = F.least(F.greatest(odds(path) - odds(F.lit(rate)), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
+    site = F.least(F.greatest(odds(path) - odds(F.lit(rate)), F.lit(-site_limit)), F.lit(site_limit))
     out = out.select(
         *names, "doc_logit", host.alias("host_rate"), path.alias("path_rate"),
         (1 / (1 + F.exp(-(F.col("doc_logit") + site)))).alias("probability"),
