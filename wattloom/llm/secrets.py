@@ -208,7 +208,9 @@ def find_secrets(
         spans = spans_of(text, rule, order)
         each.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(none) if rule in indexed else spans)
     merged = F.concat(*each)
-    return restore(out.select(*names, F.when(F.size(merged) > 0, F.array_sort(merged)).otherwise(none).alias("secrets")), "secrets")
+    ranked = F.array_sort(F.transform(merged, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    ordered = F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
+    return restore(out.select(*names, F.when(F.size(merged) > 0, ordered).otherwise(none).alias("secrets")), "secrets")
 
 
 def joined(spans: Column) -> Column:
