@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import weakref
@@ -49,11 +50,13 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a temporary one is made."""
+    """The folder all executors share. Only where a local session names none (tests) a temporary one is made."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.conf.get("wattloom.shared.dir", None)
+    if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="wattloom-shared-")
         spark.conf.set("wattloom.shared.dir", known)
