@@ -58,10 +58,12 @@ def masked_contexts(df: DataFrame, fixed: list[str], others: list[str], k: int,
     shuffled = F.transform(F.array_sort(F.transform("_rest", lambda x: F.struct(F.xxhash64(F.col(key), F.col("augmentation"), x["variable"], F.lit(seed)).alias("h"), x.alias("x")))), lambda y: y["x"])
     rows = base.select(key, "augmentation", "_fixed", shuffled.alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(len(others)))).alias("extra"))
     rows = rows.withColumn("shown", F.concat("_fixed", F.slice("_order", F.lit(1), F.col("extra"))))
-    # sizes: every household's value for every subset that some row shows
     subsets = rows.select(F.array_sort(F.transform("shown", lambda x: x["variable"])).alias("names")).distinct()
-    values = df.dropna(subset=[*fixed, *others]).select(F.map_from_arrays(F.array(*[F.lit(v) for v in [*fixed, *others]]), F.array(*[F.col(v).cast("string") for v in [*fixed, *others]])).alias("m"))
-    sizes = values.crossJoin(F.broadcast(subsets)).groupBy("names", F.transform("names", lambda n: F.element_at(F.col("m"), n)).alias("own")).agg(F.count(F.lit(1)).alias("group_size"))
+    # combinations of values first, then each under every shown subset of the variables (2 to the power of others, at most)
+    combos = df.dropna(subset=[*fixed, *others]).groupBy(F.array(*[F.col(v).cast("string") for v in [*fixed, *others]]).alias("vs")).agg(F.count(F.lit(1)).alias("n"))
+    combos = combos.select(F.map_from_arrays(F.array(*[F.lit(v) for v in [*fixed, *others]]), "vs").alias("m"), "n")
+    own = F.transform("names", lambda n: F.element_at(F.col("m"), n)).alias("own")
+    sizes = combos.crossJoin(F.broadcast(subsets)).groupBy("names", own).agg(F.sum("n").alias("group_size"))
     sorted_shown = F.array_sort("shown")
     rows = rows.withColumn("names", F.transform(sorted_shown, lambda x: x["variable"])).withColumn("own", F.transform(sorted_shown, lambda x: x["value"]))
     out = rows.join(sizes, ["names", "own"]).where(F.col("group_size") >= k)

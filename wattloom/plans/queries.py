@@ -263,7 +263,10 @@ _two = lambda s, d, x: E(s, d).where(F.col("split") == x)
 _WKS = f"""{EVENTS}, v AS (SELECT fuel, value AS v, count_if(split = 'synth') AS a, count_if(split = 'train') AS b FROM readings WHERE split IN ('synth', 'train') GROUP BY 1, 2),
  k AS (SELECT fuel, v, sum(a) OVER w / sum(a) OVER (PARTITION BY fuel) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY fuel) AS fb, lead(v) OVER w AS nx, sum(a) OVER (PARTITION BY fuel) AS na, sum(b) OVER (PARTITION BY fuel) AS nb FROM v WINDOW w AS (PARTITION BY fuel ORDER BY v))"""
 add("wasserstein_ks", lambda s, d: compare.normalised(compare.distances(_two(s, d, "synth"), _two(s, d, "train"), ["fuel"]), _two(s, d, "train"), ["fuel"]), f"""{_WKS} SELECT k.fuel, sum(abs(fa - fb) * (nx - v)) AS wasserstein, max(abs(fa - fb)) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b, sum(abs(fa - fb) * (nx - v)) / max(s.sd) AS wasserstein_norm FROM k JOIN (SELECT fuel, stddev_pop(value) AS sd FROM readings WHERE split = 'train' GROUP BY 1) s USING (fuel) GROUP BY 1""", "wasserstein ks wasserstein_norm")
-add("ks_grades", lambda s, d: compare.distances(_two(s, d, "synth"), _two(s, d, "train"), ["fuel"]).withColumn("p", compare.ks_p(F.col("ks"), F.col("n_a"), F.col("n_b"))).select("fuel", "ks", "p", compare.ks_status(F.col("p")).alias("status")))
+add("ks_grades", lambda s, d: compare.distances(_two(s, d, "synth"), _two(s, d, "train"), ["fuel"]).withColumn("p", compare.ks_p(F.col("ks"), F.col("n_a"), F.col("n_b"))).select("fuel", "ks", "p", compare.ks_status(F.col("p")).alias("status")), f"""{_WKS}, g AS (SELECT fuel, max(abs(fa - fb)) AS ks, max(na)::DOUBLE AS n_a, max(nb)::DOUBLE AS n_b FROM k GROUP BY 1),
+ l AS (SELECT fuel, ks, (sqrt(n_a * n_b / (n_a + n_b)) + 0.12 + 0.11 / sqrt(n_a * n_b / (n_a + n_b))) * ks AS lam FROM g),
+ p AS (SELECT fuel, ks, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * lam * lam)) FROM range(1, 61) t(j)))) END AS p FROM l)
+ SELECT fuel, ks, p, CASE WHEN p > 0.05 THEN 'pass' WHEN p > 0.01 THEN 'warn' ELSE 'fail' END AS status FROM p""", "ks p")
 _pairs = [("value", "price"), ("price", "tax"), ("value", "tax")]
 _GC = lambda a, b: f"CASE WHEN count({a}) >= 10 THEN covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) END"
 _CORR = f"{LINES}, r AS (" + " UNION ALL ".join(f"SELECT household_id, split, month, '{a}_{b}' AS pair, {_GC(a, b)} AS r FROM readings GROUP BY 1, 2, 3" for a, b in _pairs) + ")"
@@ -298,8 +301,11 @@ add("privacy_leakage", _leak, f"{_LEAK} SELECT *, mean_train - mean_test AS diff
 add("paired_share", lambda s, d: features.paired_share(_leak(s, d)), f"{_LEAK} SELECT avg(CASE WHEN mean_train > mean_test THEN 1.0 ELSE 0.0 END) AS above, avg(CASE WHEN mean_train < mean_test THEN 1.0 ELSE 0.0 END) AS below FROM r", "above below")
 _OUT = f"{_DIST}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1)"
 add("distance_outliers", lambda s, d: features.outliers(_dist(s, d, "train")), f"{_OUT} SELECT m.a_id, m.mean, 100.0 * (SELECT count(*) FROM t WHERE t.distance < m.mean) / (SELECT count(*) FROM t) AS percentile, m.mean > (SELECT quantile_cont(distance, 0.95) FROM t) AS outlier FROM m", "mean percentile")
-add("distance_report", lambda s, d: features.distance_report(_leak(s, d), features.outliers(_dist(s, d, "train"))))
+add("distance_report", lambda s, d: features.distance_report(_leak(s, d), features.outliers(_dist(s, d, "train"))), f"""{_LEAK}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1), c AS (SELECT quantile_cont(least_train, 0.25) AS c FROM r)
+ SELECT count(*) AS rows, count_if(least_train < c) AS high_risk, count_if(least_train < least_test) AS nearer_train, (SELECT count_if(mean > (SELECT quantile_cont(distance, 0.95) FROM t)) FROM m) AS outliers FROM r, c""")
 add("memorisation", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean"))
+add("memorisation_effect", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean").drop("p", "memorised"), f"""{_LEAK}
+ SELECT count(*) AS n, avg(mean_train - mean_test) AS mean_diff, avg(mean_train - mean_test) / (stddev_samp(mean_train - mean_test) / sqrt(count(*))) AS t, avg(mean_train - mean_test) / stddev_samp(mean_train - mean_test) AS cohens_d FROM r""", "mean_diff t cohens_d")
 add("pca", lambda s, d: features.pca(_vectors(s, d).select("id", "x"), ["id"])[0])
 _ZC = ["mean", "std", "skew", "rolling_volatility_std"]
 _z = lambda s, d: features.standardised(_feat(s, d).select("split", "household_id", "month", *_ZC), _ZC, ["split", "household_id", "month"])
