@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,9 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         x = rounds[-1].select(F.col("node").alias("a"), F.col("up").alias("ua"))
         y = rounds[-1].select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = left.join(x, "a").join(y, "b").where("ua <> ub")
-        left = stored(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        last, left = left, stored(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        discard(last)
     labels = rounds[0].select("node", F.col("up").alias("comp"))
     for up in rounds[1:]:
         step = up.select(F.col("node").alias("_n"), "up")
         labels = labels.join(step, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("up", "comp").alias("comp"))
-    return stored(labels, "labels")
+    labels = stored(labels, "labels")
+    discard(left, *rounds)
+    return labels
