@@ -67,6 +67,27 @@ def test_licenses(spark, docs):
 URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://b.net/de/8", "http://c.example.net/de/81", "http://org/es/", "http://notorg/es/", "http://d.org?x=/es/", "http://e.com/en/é/1", "a://b://c/d"]
 
 
+def test_license_signatures():
+    """Bodies, headers and addresses; keywords that every match holds; suppression by priority and containment."""
+    said = lambda t: licenses.scan(t)[5]
+    assert said("Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files") == "mit"
+    assert said("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:") == "bsd"
+    assert said("http://www.apache.org/licenses/LICENSE-2.0 https://creativecommons.org/licenses/by-nc-sa/4.0/") == "apache-2,cc-by-nc-sa"
+    assert said("a permission was granted to nobody, free of doubt") == "" and said("omit the omission under the mitten") == ""
+    for label, keyword, regex in licenses.SIGNATURES:
+        plain = regex.replace("\\", "").replace("[ -]", " ").replace(",?", "").replace("?", "")
+        assert all(w in plain for w in keyword.split()), label
+    rule = lambda priority: licenses.Rule("x", None, (), priority, 1.0)
+    rng = np.random.default_rng(4)
+    found = [(int(a), int(a + n), i, rule(int(p))) for i, (a, n, p) in enumerate(zip(rng.integers(0, 300, 200), rng.integers(1, 60, 200), rng.integers(1, 4, 200)))]
+    kept: list = []
+    for a, e, _, r in sorted(found, key=lambda d: (-d[3].priority, d[0] - d[1], d[0], d[2])):
+        if not any(s <= a and e <= t for s, t, _ in kept):
+            kept.append((a, e, r))
+    assert licenses.unsuppressed(found) == sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
+    assert licenses.scan("licensed under the mit license and " * 20_000)[1] == 20_000  # in about linear time
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_urls(spark, limit):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string, _segs string")
@@ -87,6 +108,28 @@ def test_url_templates(spark):
     assert got[200]["template"] == "/spam/<n>/x"
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_url_tree(spark, limit):
+    """Wildcards below wildcards; siblings with like rates merge, and so do their children; others stay apart."""
+    import itertools
+
+    slug = lambda i: "".join(chr(97 + (i * 7919 + k * 31) % 26) for k in range(3)) + chr(97 + i % 26) + chr(97 + i // 26)
+    rows = [(i, f"http://h.test/u/{slug(i)}/p/{slug(i + 200)}", None) for i in range(160)]
+    rows += [(1000 + i, f"http://m.test/{'abc'[i % 3]}/{'xy'[i // 3 % 2]}", ("block", "allow")[i // 3 % 2]) for i in range(120)]
+    rows += [(2000 + i, f"http://s.test/{'good' if i % 2 else 'bad'}/q", "allow" if i % 2 else "block") for i in range(60)]
+    rows += [(3000, "http://m.test/a/x", None), (3001, "http://m.test/c/y", None), (3002, "http://deep.test" + "/d" * 3000, None), (3003, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, (), F.col("label"), broadcast_rows=limit).collect()}
+    assert len(got) == len(rows) and {got[i]["template"] for i in range(160)} == {"/u/*/p/*"}
+    assert got[1000]["branch"] == got[1001]["branch"] == "/~/x" and got[3000]["verdict"] == "block" and got[3001]["verdict"] == "allow"
+    # m.test: three siblings of 40 labels, 20 blocked, are one branch; below it x is always blocked, y never
+    rate = {h: (b + 5 * (120 / 2 + 30 + 1) / (180 + 2)) / (n + 5) for h, b, n in (("m", 60, 120), ("s", 30, 60))}
+    assert got[3000]["purity"] == round((60 + 5 * rate["m"]) / 65, 9) and got[3001]["purity"] == round(5 * rate["m"] / 65, 9)
+    assert {(got[2000 + i]["branch"], got[2000 + i]["verdict"]) for i in range(60)} == {("/good/q", "allow"), ("/bad/q", "block")}
+    assert all(set(k) <= {"host", "path", "rule", "verdict", "template", "branch", "purity", "page_id", "url", "label"} for k in itertools.islice((r.asDict() for r in got.values()), 1))
+    assert url_filter.filter_urls(pages.limit(0), broadcast_rows=limit).count() == 0
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_leaks(spark, docs, benchmark, limit):
     found = decontaminate.find_leaks(docs, benchmark.withColumn("ws", F.lit(1)), broadcast_rows=limit)
@@ -134,6 +177,25 @@ def test_proximity_with_common_differences(spark, benchmark, limit):
     assert not got[99]
 
 
+def test_long_and_self_repeating_items(spark):
+    """Whole texts of 20,000 words, also of one phrase again and again, in time about linear in their length."""
+    import random
+
+    rng = random.Random(3)
+    plain = [f"w{rng.randrange(30_000)}" for _ in range(20_000)]
+    phrase = "one phrase of ten words said again and again here".split()
+    changed = [w if i % 50 else "other" for i, w in enumerate(plain)]
+    rows = [(1, plain), (2, phrase * 2000), (3, changed), (4, [*phrase[:9], "there"]), (5, ["x", *phrase, "x"] * 300)]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(plain)), (8, " ".join(phrase * 2000))], "item_id long, text string")
+    found = decontaminate.find_leaks(docs, items)
+    count = lambda c: decontaminate.hit_words(F.col(c))
+    got = {r["doc_id"]: r for r in found.select("doc_id", count("hits").alias("hit"), count("near").alias("near"), decontaminate.item_list(F.col("hits")).alias("items")).collect()}
+    assert got[1]["hit"] == 20_000 and got[1]["items"] == ["7"] and got[2]["hit"] == 20_000 and got[2]["items"] == ["8"]
+    assert got[3]["hit"] == 49 * 400 and got[3]["near"] == 20_000 and got[4]["hit"] == 0 and got[4]["near"] == 10
+    assert got[5]["hit"] == 3000
+
+
 def test_proximity_query(spark, folder):
     got = {r["doc_id"]: r for r in op6_proximity(spark, folder).collect()}
     assert len(got) >= 19 and got[0]["n_near"] == 0 and got[3]["near_items"] == ""
@@ -250,7 +312,8 @@ def test_cutting_stock():
     assert sum(n for n, _ in plans) <= 1.005 * len(bins)
 
 
-@pytest.mark.parametrize("text", ["a  b\n\n c\t\x00é́ 日本 ١٢٣ x's", " ", "don't DON'T 12ab", "\u3000x y", "ßẞ😀", "x<|endoftext|>y", "\u180e a\u0085b", "", "a\x1c\x1c b"])
+@pytest.mark.parametrize("text", ["a  b\n\n c\t\x00é́ 日本 ١٢٣ x's", " ", "don't DON'T 12ab", "\u3000x y", "ßẞ😀", "x<|endoftext|>y", "\u180e a\u0085b", "", "a\x1c\x1c b",
+                                  "x" + " " * 1_000_000 + "y", "\n" * 1_000_000, " \t" * 500_000, "a" * 1_000_000, "!" * 1_000_000, "7" * 1_000_000])
 def test_encoder_equals_tokenizer(text):
     from tokenizers import Tokenizer
 

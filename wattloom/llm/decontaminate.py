@@ -1,30 +1,35 @@
 """Benchmark decontamination over a positional inverted index (operator 6), in DataFrame expressions only.
 
-1. Corpus frequencies of the benchmark's words are counted over all documents.
-2. A window is WIDTH consecutive words of an item (a shorter item is one window). Each window names its rarest
-   words by corpus frequency, two more than may differ: whatever differs in a match, two of them agree. ``postings``
-   stores (term, doc_id, pos) of those words for all documents.
-3. Offsets are taken off: a posting at pos of a word at place p of an item lies on diagonal pos - p. A band of BAND
-   neighbouring diagonals of a document is a candidate if two such places of an item are on it or beside it (one for
-   items that have no two more words than may differ).
-4. Candidate diagonals return to their documents, where each window is compared word by word (exact phrases). Windows
-   of which all but WIDTH - NEAR words stand at their place or one beside it are proximity matches, so a word may be
-   replaced, inserted or left out inside. Of an item of one or two words, one must agree.
+1. ``postings`` stores (term, row, pos) for every word of every document that is a word of the benchmark; a row is a hash of
+   doc_id and text. Texts are cut into words once for it, and the terms' corpus frequencies are counted from it.
+2. A window is WIDTH consecutive words of an item (a shorter item is one window; windows of an item that read alike count
+   once). Each window names its rarest words by corpus frequency, two more than may differ: whatever differs in a
+   match, two of them agree. As windows overlap, so do their choices, and all but the words that may differ of those
+   chosen places that lie in a window must agree.
+3. Offsets are taken off: a posting at pos of a word at place p of an item lies on diagonal pos - p. Postings meet by
+   document (they are shuffled once, before they meet the items), and a band of BAND neighbouring diagonals of a document
+   is a candidate if as many such places of an item are on it or beside it as a window that holds one of them needs.
+4. Candidates return to their documents, where the item's words around these places are compared on each diagonal, in
+   time linear in their number. Runs of equal words of a window or more are exact hits. Stretches of windows of which all
+   but a few words (2 of 10, 1 of 5 to 9) stand at their place or one beside it are proximity matches, so a word may be
+   replaced, inserted or left out inside; those that only overhang a hit of the same item are left out.
 
 Benchmark tables and candidate lists are broadcast only if their counted size allows it; else they are shuffled by
-term or doc_id. Nothing grows with pairs of documents.
+term or row. Nothing grows with pairs of documents.
 
 Nulls: a null text has no words; a null doc_id is a key like any other; a null item_id counts as the id "". Items or
-documents without words match nothing. Rows that share a doc_id share candidates, which are checked on each row's own
-words. Repeated items count once per item_id. Empty tables give empty results or no hits. Other columns are not read.
+documents without words match nothing. Equal rows share candidates. Repeated items count once per item_id. Empty tables
+give empty results or no hits. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shielded, sized, stored, words
+from .common import discard, shielded, sized, stored, words
 
 #: Fixed by the query's contract: words of a window.
 WIDTH = 10
@@ -33,55 +38,122 @@ NEAR = 8
 #: Diagonals that are grouped.
 BAND = 4
 
+_SPANS = "array<struct<item:string,start:int,end:int>>"
+
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item, ws): distinct word lists of the items that have words."""
+    """(k, item, ws): distinct word lists of the items that have words, with a key."""
     item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
-    return benchmark.select(item.alias("item"), words(F.coalesce("text", F.lit(""))).alias("ws")).where(F.size("ws") > 0).distinct()
+    out = benchmark.select(item.alias("item"), words(F.coalesce("text", F.lit(""))).alias("ws")).where(F.size("ws") > 0)
+    return out.distinct().select(F.xxhash64("item", "ws").alias("k"), "item", "ws")
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, term) for every word of every document."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+def postings(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """(t, row, pos) of the given terms(term, t) in all of docs(row, text)."""
+    tokens = docs.select("row", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return tokens.join(sized(terms, broadcast_rows), "term").select("t", "row", "pos")
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(term, tf): occurrences in all documents of the given distinct terms."""
-    return tokens_of(docs).join(sized(terms, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+def spare(w: Column, width: int = WIDTH, near: int = NEAR) -> Column:
+    """How many of a window's w words may differ in a proximity match."""
+    return F.floor(w * (width - near) / width).cast("int")
 
 
 def rare_places(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR) -> DataFrame:
-    """(k, lone, place, term): the places in the item that are, for some window, among its width - near + 2 rarest.
-
-    k: hash of item and words; lone: one place is enough. Words that never occur are left out. Ties go to the earlier."""
-    key = F.xxhash64("item", "ws")
-    placed = items.select("item", key.alias("k"), F.size("ws").alias("n"), F.posexplode("ws").alias("place", "term"))
-    placed = placed.join(tf, "term", "left").select("item", "k", "n", "place", F.coalesce("tf", F.lit(0)).alias("tf"))
-    first = F.greatest(F.col("place") - (width - 1), F.lit(0))
-    last = F.least(F.col("place"), F.greatest(F.col("n") - width, F.lit(0)))
-    inside = placed.select("item", "k", "place", "tf", F.explode(F.sequence(first, last)).alias("w"))
-    each = inside.groupBy("item", "k", "w").agg(F.array_sort(F.collect_list(F.struct("tf", "place"))).alias("r"))
-    rarest = F.filter(F.slice("r", 1, width - near + 2), lambda x: x["tf"] > 0)  # at most `width` rows a group
-    places = each.select("k", F.explode(rarest).alias("x")).select("k", F.col("x.place").alias("place")).distinct()
-    lone = (F.size("ws") < width - near + 2).cast("int")
-    return items.withColumn("k", key).join(places, "k").select("k", lone.alias("lone"), "place", F.element_at("ws", F.col("place") + 1).alias("term"))
+    """(k, need, place, t): the places in the item that are, for some window, among its rarest, two more than may differ.
+
+    tf: (term, t, tf). Windows with more words that never occur than may differ are left out. need: of these places, how
+    many at least a match of any window that holds this place has. Ties go to the earlier."""
+    n = F.size("ws")
+    w = F.least(n, F.lit(width))
+    starts = F.sequence(F.lit(0), n - w)
+    windows = items.select("k", w.alias("w"), F.posexplode(F.transform(starts, lambda s: F.slice("ws", s + 1, w))).alias("s", "g"))
+    windows = windows.groupBy("k", "w", "g").agg(F.min("s").alias("s"))
+    placed = windows.select("k", "w", "s", F.posexplode("g").alias("i", "term")).join(tf, "term", "left")
+    each = placed.groupBy("k", "w", "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "t"))).alias("r"))
+    may = spare(F.col("w"), width, near)  # r: at most `width` words
+    each = each.where(F.size(F.filter("r", lambda x: x["tf"] == 0)) <= may)
+    rarest = F.filter(F.slice("r", F.lit(1), may + 2), lambda x: x["tf"] > 0)
+    places = each.select("k", F.explode(F.transform(rarest, lambda x: F.struct((F.col("s") + x["i"]).alias("place"), x["t"].alias("t")))).alias("x")).select("k", "x.*").distinct()
+    inside = each.select("k", "w", "s", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("w") - 1)).alias("place")).join(places, ["k", "place"])
+    chosen = F.count(F.lit(1)).over(Window.partitionBy("k", "s"))  # at most `width` rows
+    return inside.withColumn("n", chosen).groupBy("k", "place", "t").agg(F.min(F.greatest(F.col("n") - may, F.lit(1))).alias("need"))
+
+
+def diagonals(index: DataFrame, places: DataFrame, width: int = WIDTH, broadcast_rows: int = 500_000) -> DataFrame:
+    """(row, k, low, high, p, q): diagonals, at most BAND + 2, on which a document and an item may share a window, and the places met."""
+    own = index.join(sized(places.select("t").distinct(), broadcast_rows), "t", "left_semi").repartition("row")
+    on = own.join(sized(places, broadcast_rows), "t").withColumn("diag", F.col("pos") - F.col("place"))
+    first, last = F.floor((F.col("diag") - 1) / BAND).cast("int"), F.floor((F.col("diag") + 1) / BAND).cast("int")
+    on = on.select("row", "k", "need", "place", "diag", F.explode(F.sequence(first, last)).alias("band"))
+    met = on.groupBy("row", "k", "band").agg(
+        F.min("need").alias("need"), F.min("place").alias("p"), F.max("place").alias("q"), F.count(F.lit(1)).alias("n"),
+        F.min("diag").alias("d"), F.max("diag").alias("e"),
+    ).where(f"n >= need AND (need = 1 OR p < q) AND (q - p < {width} OR n > need)")
+    low, high = F.greatest(F.col("band") * BAND, F.col("d") - 1), F.least(F.col("band") * BAND + BAND - 1, F.col("e") + 1)
+    return met.select("row", "k", low.alias("low"), high.alias("high"), "p", "q")
 
 
-def postings(docs: DataFrame, terms: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """(term, doc_id, pos) of the given distinct terms in all documents."""
-    return tokens_of(docs).join(sized(terms, broadcast_rows), "term", "left_semi").select("term", "doc_id", "pos")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def diagonals(index: DataFrame, places: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, k, low, high): range of diagonals, at most BAND, on which a document and an item may share a window."""
-    on = index.join(sized(places, broadcast_rows), "term").withColumn("diag", F.col("pos") - F.col("place"))
-    first, last = F.floor((F.col("diag") - 1) / BAND).cast("int"), F.floor((F.col("diag") + 1) / BAND).cast("int")
-    on = on.select("doc_id", "k", "lone", "place", "diag", F.explode(F.sequence(first, last)).alias("band"))
-    met = on.groupBy("doc_id", "k", "band").agg(
-        F.max("lone").alias("lone"), F.min("place").alias("p"), F.max("place").alias("q"), F.min("diag").alias("d"), F.max("diag").alias("e")
-    ).where("p < q OR lone = 1")
-    low, high = F.greatest(F.col("band") * BAND, F.col("d") - 1), F.least(F.col("band") * BAND + BAND - 1, F.col("e") + 1)
-    return met.select("doc_id", "k", low.alias("low"), high.alias("high"))
+def _runs(flags: Column, w: Column) -> Column:
+    """array<struct<start, end>>: maximal runs of at least w true flags."""
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(F.lit(0).alias("run"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        on = F.coalesce(F.get(flags, i), F.lit(False))
+        ended = F.concat(acc["out"], F.array(F.struct((i - acc["run"]).alias("start"), i.alias("end"))))
+        out = F.when(~on & (acc["run"] >= w), ended).otherwise(acc["out"])
+        return F.struct(F.when(on, acc["run"] + 1).otherwise(F.lit(0)).alias("run"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(flags)), zero, step)["out"]
+
+
+def _stretches(flags: Column, w: Column, need: Column) -> Column:
+    """array<struct<start, end>>: unions of overlapping windows of w flags of which at least `need` are true."""
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("from"), F.lit(-1).alias("to"), F.array().cast(kind).alias("out"))
+    on = lambda i: F.coalesce(F.get(flags, i).cast("int"), F.lit(0))
+
+    def step(acc: Column, i: Column) -> Column:
+        n = acc["n"] + on(i) - F.when(i >= w, on(i - w)).otherwise(F.lit(0))
+        enough = (n >= need) & (i >= w - 1) & (i < F.size(flags))
+        fresh = enough & ((acc["from"] < 0) | (i - w + 1 > acc["to"]))
+        ends = (fresh | (i == F.size(flags))) & (acc["from"] >= 0)
+        out = F.when(ends, F.concat(acc["out"], F.array(F.struct(acc["from"].alias("start"), acc["to"].alias("end"))))).otherwise(acc["out"])
+        return F.struct(
+            n.alias("n"), F.when(fresh, i - w + 1).otherwise(acc["from"]).alias("from"), F.when(enough, i + 1).otherwise(acc["to"]).alias("to"), out.alias("out")
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(flags)), zero, step)["out"]
+
+
+def _compared(c: Column, d: Column, width: int, near: int) -> Column:
+    """array<struct<item, start, end, exact>> of candidate c on diagonal d; _pad has two words before and after the document's."""
+    n, size = F.size(c["ws"]), F.size("_ws")
+    w = F.least(F.lit(width), c["n"])
+    need = w - spare(w, width, near)
+    at = d + c["first"]  # where the candidate's first word would stand
+    place = lambda i: F.get("_pad", at + i + 2)
+
+    def beside(i: Column) -> Column:
+        word = F.get(c["ws"], i)
+        return F.coalesce((place(i) == word) | (place(i - 1) == word) | (place(i + 1) == word), F.lit(False))
+
+    def spans(flags: Column) -> Column:
+        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(flags, i) & F.coalesce(place(i) == F.get(c["ws"], i), F.lit(False)))
+        tell = lambda exact: lambda x: F.struct(
+            c["item"].alias("item"), F.greatest(at + x["start"], F.lit(0)).alias("start"), F.least(at + x["end"], size).alias("end"), F.lit(exact).alias("exact")
+        )
+        both = F.concat(F.transform(_let(same, lambda x: _runs(x, w)), tell(True)), F.transform(_stretches(flags, w, need), tell(False)))
+        enough = F.size(F.filter(flags, lambda x: x)) >= need
+        return F.when(enough, both).otherwise(F.array().cast(_SPANS.replace("end:int", "end:int,exact:boolean")))
+
+    return _let(F.transform(F.sequence(F.lit(0), n - 1), beside), spans)
 
 
 def find_leaks(
@@ -90,58 +162,40 @@ def find_leaks(
     """docs with the columns n_words, hits and near: array<struct<item, start, end>>, end exclusive, in words."""
     docs, restore = shielded(docs, "doc_id", "text")
     names = docs.columns
+    row = F.xxhash64("doc_id", "text")
     items = stored(items_of(benchmark), "bench-items")
-    terms = items.select(F.explode("ws").alias("term")).distinct()
-    tf = stored(frequencies(docs, terms, broadcast_rows), "bench-frequencies")
+    terms = stored(items.select(F.explode("ws").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "bench-terms")
+    index = stored(postings(docs.select(row.alias("row"), "text"), terms, broadcast_rows), "positional-index")
+    tf = terms.join(index.groupBy("t").agg(F.count(F.lit(1)).alias("tf")), "t")
     places = stored(rare_places(items, tf, width, near), "bench-windows")
-    index = stored(postings(docs, places.select("term").distinct(), broadcast_rows), "positional-index")
-    found = diagonals(index, places, broadcast_rows)
-    keyed = items.select(F.xxhash64("item", "ws").alias("k"), "item", "ws")
-    found = found.join(sized(keyed, broadcast_rows // 10), "k")
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "ws", "low", "high")).alias("_cands"))
-    lists = stored(lists.select(F.col("doc_id").alias("_id"), "_cands"), "bench-candidates")
-    out = docs.join(sized(lists, broadcast_rows // 10), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    found = diagonals(index, places, width, broadcast_rows)
+    found = found.join(sized(items.withColumn("n", F.size("ws")), broadcast_rows), "k")
+    first, last = F.greatest(F.col("p") - (width - 1), F.lit(0)), F.least(F.col("q") + width, F.col("n"))
+    one = F.struct("item", "n", first.alias("first"), F.slice("ws", first + 1, last - first).alias("ws"), "low", "high")
+    lists = stored(found.select("row", one.alias("c")).groupBy(F.col("row").alias("_row")).agg(F.collect_list("c").alias("_cands")), "bench-candidates")
+    discard(index, places, terms, items)
+    out = docs.join(sized(lists, broadcast_rows), row == F.col("_row"), "left")
     out = out.select(*names, "_cands", words(F.coalesce("text", F.lit(""))).alias("_ws"))
-    out = out.withColumn("_pad", F.concat(F.array(F.lit(""), F.lit("")), "_ws"))
-    kind = "array<struct<item:string,start:int,end:int,exact:boolean>>"
-    none, spare = F.array().cast(kind), width - near
-
-    def windows(c: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(c["low"], c["high"]), lambda d: matches(c, d)))
-
-    def matches(c: Column, d: Column) -> Column:
-        n, w = F.size(c["ws"]), F.least(F.lit(width), F.size(c["ws"]))
-        # whether a word of the item is at its place or beside it; _pad has two words before the document's
-        beside = lambda i: F.array_contains(F.slice("_pad", F.greatest(d + i + 2, F.lit(1)), 3), F.element_at(c["ws"], i + 1))
-        agree = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (d + i >= -1) & beside(i))
-        low = F.greatest(F.lit(0), -d - spare)
-        high = F.least(n, F.size("_ws") - d + spare) - w
-
-        def inside(flags: Column) -> Column:
-            enough = F.size(F.filter(flags, lambda x: x)) >= F.greatest(w - spare, F.lit(1))
-            at = F.when(enough & (high >= low), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            at = F.filter(at, lambda o: F.size(F.filter(F.slice(flags, o + 1, w), lambda x: x)) >= F.greatest(w - spare, F.lit(1)))
-            return F.transform(at, lambda o: F.struct(
-                c["item"].alias("item"), F.greatest(d + o, F.lit(0)).alias("start"), F.least(d + o + w, F.size("_ws")).alias("end"),
-                ((d + o >= 0) & (F.slice("_ws", F.greatest(d + o + 1, F.lit(1)), w) == F.slice(c["ws"], o + 1, w))).alias("exact"),
-            ))
-
-        return F.flatten(F.transform(F.array(agree), inside))
-
-    close = F.when(F.col("_cands").isNotNull(), F.array_distinct(F.flatten(F.transform("_cands", windows))).cast(kind)).otherwise(none)
+    blank = F.array(F.lit(""), F.lit(""))
+    out = out.withColumn("_pad", F.when(F.col("_cands").isNotNull(), F.concat(blank, "_ws", blank)))
+    each = lambda c: F.flatten(F.transform(F.sequence(c["low"], c["high"]), lambda d: _compared(c, d, width, near)))
+    close = F.when(F.col("_cands").isNotNull(), F.flatten(F.transform("_cands", each)))
     out = out.select(*names, F.size("_ws").cast("long").alias("n_words"), close.alias("_close"))
-    plain = lambda x: F.struct(x["item"].alias("item"), x["start"].alias("start"), x["end"].alias("end"))
-    out = out.select(*names, "n_words", "_close", F.transform(F.filter("_close", lambda x: x["exact"]), plain).alias("hits"))
-    # a hit is no proximity match, nor are its own words one place aside
-    beside_hit = lambda x: F.exists("hits", lambda h: (h["item"] == x["item"]) & (F.abs(h["start"] - x["start"]) <= 1))
-    near_ones = F.array_distinct(F.transform(F.filter("_close", lambda x: ~x["exact"] & ~beside_hit(x)), plain))
-    return restore(out.select(*names, "n_words", "hits", near_ones.alias("near")), "n_words", "hits", "near")
+    plain = lambda exact: F.array_distinct(F.transform(F.filter("_close", lambda x: x["exact"] == exact), lambda x: F.struct(x["item"], x["start"], x["end"])))
+    out = out.select(*names, "n_words", *[F.coalesce(plain(x), F.array()).cast(_SPANS).alias(c) for x, c in ((True, "hits"), (False, "_near"))])
+    over = width - near
+    covered = lambda x: F.exists("hits", lambda h: (h["item"] == x["item"]) & (h["start"] - over <= x["start"]) & (x["end"] <= h["end"] + over))
+    return restore(out.select(*names, "n_words", "hits", F.filter("_near", lambda x: ~covered(x)).alias("near")), "n_words", "hits", "near")
 
 
 def hit_words(hits: Column) -> Column:
     """Number of distinct words inside any hit."""
-    at = F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["end"] - 1)))
-    return F.size(F.array_distinct(at)).cast("long")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    step = lambda acc, h: F.struct(
+        (acc["n"] + F.greatest(h["end"] - F.greatest(h["start"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], h["end"]).alias("to")
+    )
+    return F.aggregate(spans, zero, step)["n"].cast("long")
 
 
 def item_list(hits: Column) -> Column:
