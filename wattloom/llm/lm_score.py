@@ -6,7 +6,8 @@ count shrunk to the unigram's, which is shrunk to uniform. Words and bigrams are
 all of them are summed within tasks and then by grouped aggregation into a table in the shared folder.
 
 The most frequent words and bigrams (about ``VOCABULARY`` and ``BUCKETS``, at most) are broadcast with their counts; all others
-are looked up by a shuffle join, and what is found returns to its document. What occurs once is counted but not stored:
+are looked up by a shuffle join. Documents are dealt by a hash into chunks of about ``CHUNK`` tokens; what is found returns to
+its chunk, and so do the texts. What occurs once is counted but not stored:
 without the document's own count it is zero. A filter of ``BITS`` bits, broadcast, spares most look-ups that would find
 nothing; once it is full it spares fewer. These numbers decide what is moved, not any result.
 
@@ -38,8 +39,8 @@ SHRINK, UNIFORM = 4.0, 0.5
 START = np.uint64(0)
 #: Size of the filter, a power of two.
 BITS = 1 << 28
-#: Keys that a task holds at once.
-HELD = 2_000_000
+#: Keys that a task holds at once, tokens of a chunk, and found keys that are packed together.
+HELD, CHUNK, PACKED = 2_000_000, 1_000_000, 1_000_000
 #: Finer than powers of two: classes of counts from which the broadcast ones are chosen.
 CLASSES = 8
 
@@ -217,6 +218,38 @@ def losses(own: Tokens, flags: np.ndarray, counts: tuple, size: int, totals: tup
     return out
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (chunk, key, b, t): (chunk, keys, counts), many keys a row; counts by place value, as most are small."""
+    held: list[list[np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        chunk, key, b, t = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((key, chunk))
+        chunk = chunk[order]
+        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        ends = np.r_[starts[1:], len(chunk)]
+        counts = np.stack([b[order], t[order]])
+        places = [counts[:, a:e].view(np.uint8).reshape(2, e - a, 8).transpose(0, 2, 1).tobytes() for a, e in zip(starts, ends)]
+        keys = [key[order[a:e]].tobytes() for a, e in zip(starts, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts], pa.int32()), pa.array(keys, pa.binary()), pa.array(places, pa.binary())], ["chunk", "keys", "counts"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "key", "b", "t")])
+        if sum(len(x[0]) for x in held) > PACKED:
+            yield out()
+    if held:
+        yield out()
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and both counts of a row of packed()."""
+    key = np.frombuffer(keys, np.uint64)
+    both = np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(2, 8, len(key)).transpose(0, 2, 1)).view(np.int64)
+    return key, both[0, :, 0], both[1, :, 0]
+
+
 def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **options) -> DataFrame:
     """doc_id, n_tokens, h_target, h_background, score, in_target: one row for each row of docs."""
     models = models or fit(docs, target, **options)
@@ -225,44 +258,49 @@ def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **op
     filtered = docs.sparkSession.sparkContext.broadcast(models.seen)
     left, size, totals = models.left, models.size, models.totals
 
+    chunks = max(1, -(-int(totals[0]) // CHUNK))
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, doc) of what isn't broadcast."""
+        """(key, chunk) of what isn't broadcast."""
         hashes = Hashes()
         for b in slices(batches):
             own = tokens_of(b.column("text").to_pylist(), hashes)
-            doc = b.column("doc").to_numpy(zero_copy_only=False)
+            chunk = b.column("chunk").to_numpy(zero_copy_only=False)
             for keys, some in zip((own.word, own.pair), left):
                 if some and len(keys):
                     at = np.flatnonzero(may_hold(filtered.value, keys))
-                    _, first = np.unique(mixed(own.text[at].astype(np.uint64), keys[at]), return_index=True)
+                    _, first = np.unique(mixed(chunk[own.text[at]].astype(np.uint64), keys[at]), return_index=True)
                     at = at[first]
                     at = at[~shared.value.find(keys[at])[0]]
-                    yield pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(doc[own.text[at]])], ["key", "doc"])
+                    yield pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(chunk[own.text[at]])], ["key", "chunk"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by doc, what was found (t is not null: a key and its counts) before the document (b: its flag)."""
-        hashes, none = Hashes(), np.zeros(0, np.int64)
-        held = (none, none, none, none)
+        """Rows come by chunk, what was found (keys is not null) before the documents (b: their flag)."""
+        hashes = Hashes()
+        last, found, mine = None, [], None
         for batch in slices(batches, 2048):
-            at = np.flatnonzero(batch.column("t").is_valid().to_numpy(zero_copy_only=False))
-            found = batch.select(["doc", "key", "b", "t"]).take(pa.array(at))
-            held = tuple(np.r_[h, c.to_numpy(zero_copy_only=False)] for h, c in zip(held, found.columns))
-            rows = batch.filter(batch.column("t").is_null())
-            hashes_of = mixed(held[0].view(np.uint64), held[1].view(np.uint64))
-            mine = table_of(hashes_of, held[2], held[3])
-            for b in slices(iter([rows]), 256):
-                yield one(b, mine, hashes)
-            last = held[0] == batch.column("doc")[-1].as_py()
-            held = tuple(h[last] for h in held)
+            chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)].tolist()
+            for a, e in zip(cuts[:-1], cuts[1:]):
+                if e > a:
+                    own = batch.slice(a, e - a)
+                    if chunk[a] != last:
+                        last, found, mine = chunk[a], [], None
+                    n = own.num_rows - own.column("keys").null_count
+                    found += [unpacked(k.as_py(), c.as_py()) for k, c in zip(own.column("keys").slice(0, n), own.column("counts").slice(0, n))]
+                    for b in slices(iter([own.slice(n)]), 256):
+                        if mine is None:
+                            none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+                            found, mine = [], table_of(*map(np.concatenate, zip(none, *found)))
+                        yield one(b, mine, hashes)
 
     def one(b: pa.RecordBatch, mine: Table, hashes: Hashes) -> pa.RecordBatch:
         own = tokens_of(b.column("text").to_pylist(), hashes)
-        doc = b.column("doc").to_numpy(zero_copy_only=False).view(np.uint64)
         flags = b.column("b").to_numpy(zero_copy_only=False).astype(np.int64)
 
         def counts(keys: np.ndarray) -> np.ndarray:
             here, out = shared.value.find(keys)
-            return np.where(here, out, mine.find(mixed(doc[own.text], keys))[1])
+            return np.where(here, out, mine.find(keys)[1])
 
         background, target_loss = losses(own, flags, (counts(own.word), counts(own.before), counts(own.pair)), size, totals)
         empty = own.counts == 0
@@ -274,13 +312,17 @@ def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **op
             ["doc_id", "n_tokens", "h_target", "h_background", "score", "in_target"],
         )
 
-    rows = flagged(docs, target).withColumn("doc", F.xxhash64("doc_id", "text"))
-    texts = rows.select("doc", F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), F.lit(None).cast("long").alias("t"), "text")
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+    rows = flagged(docs, target)
+    texts = rows.select(
+        chunk, F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), F.lit(None).cast("binary").alias("keys"),
+        F.lit(None).cast("binary").alias("counts"), "text",
+    )
     if any(left):
-        found = rows.select("doc", "text").mapInArrow(asked, "key long, doc long").join(models.cold, "key")
-        found = stored(found.select("doc", "key", "b", "t"), "lm-found")
-        release(docs.sparkSession)
-        texts = texts.unionByName(found.select("doc", "key", "b", "t", F.lit(None).cast("string").alias("text")))
-        texts = texts.repartition("doc").sortWithinPartitions("doc", F.col("t").asc_nulls_last())
+        found = docs.select(chunk, "text").mapInArrow(asked, "key long, chunk int").join(models.cold, "key").select("chunk", "key", "b", "t")
+        found = found.mapInArrow(packed, "chunk int, keys binary, counts binary")
+        none = F.lit(None).cast("long")
+        texts = texts.unionByName(found.select("chunk", none.alias("key"), none.alias("b"), "keys", "counts", F.lit(None).cast("string").alias("text")))
+        texts = texts.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
     schema = "doc_id long, n_tokens long, h_target double, h_background double, score double, in_target boolean"
     return texts.mapInArrow(scored, schema)
