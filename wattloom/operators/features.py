@@ -76,8 +76,11 @@ def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str =
 def _distances(key: str):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         vectors = lambda t: np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1)
+        if not a.num_rows or not b.num_rows:  # such a side comes without columns
+            none = pa.array([], (a if a.num_rows else b).column(key).type)
+            return pa.table([none, none, pa.array([], pa.float64())], [f"a_{key}", f"b_{key}", "distance"])
         x, y = vectors(a), vectors(b)
-        d = np.concatenate([np.sqrt(((y - v) ** 2).sum(1)) for v in x]) if len(x) and len(y) else np.empty(0)
+        d = np.concatenate([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
         left, right = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
         return pa.table([a.column(key).take(pa.array(left)), b.column(key).take(pa.array(right)), pa.array(d)], [f"a_{key}", f"b_{key}", "distance"])
 
