@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import adjusted_kurtosis, adjusted_skew
 from .compare import student_p
@@ -70,15 +71,14 @@ def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str =
     a = rows.select(key, "x", own(n, 1).alias("i"), each(m).alias("j")).groupBy("i", "j")
     b = other.select(key, "x", each(n).alias("i"), own(m, 2).alias("j")).groupBy("i", "j")
     schema = T.StructType([T.StructField(f"{s}_{key}", df.schema[key].dataType) for s, df in (("a", rows), ("b", other))] + [T.StructField("distance", T.DoubleType())])
-    return a.cogroup(b).applyInArrow(_distances(key), schema)
+    return a.cogroup(b).applyInArrow(_distances(key, [to_arrow_type(f.dataType) for f in schema.fields]), schema)
 
 
-def _distances(key: str):
+def _distances(key: str, kinds: list[pa.DataType]):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         vectors = lambda t: np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1)
         if not a.num_rows or not b.num_rows:  # such a side comes without columns
-            none = pa.array([], (a if a.num_rows else b).column(key).type)
-            return pa.table([none, none, pa.array([], pa.float64())], [f"a_{key}", f"b_{key}", "distance"])
+            return pa.table([pa.array([], k) for k in kinds], [f"a_{key}", f"b_{key}", "distance"])
         x, y = vectors(a), vectors(b)
         d = np.concatenate([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
         left, right = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
