@@ -64,7 +64,7 @@ def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str =
     """(a_<key>, b_<key>, distance) between two groups of feature rows: a task holds one block of either.
 
     Callers aggregate at once; the pair table is never stored. Null vectors take no part."""
-    rows, other = (df.select(key, F.col(x).cast("array<double>").alias("x")).where(F.col("x").isNotNull()) for df in (rows, other))
+    rows, other = (df.select(F.col(key).alias(key), F.col(x).cast("array<double>").alias("x")).where(F.col("x").isNotNull()) for df in (rows, other))
     n, m = (blocks(df.count(), block_rows) for df in (rows, other))
     own = lambda k, salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
