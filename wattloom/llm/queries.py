@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
+from . import align, ann, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
 from .common import read
 
 
@@ -77,6 +77,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, read(spark, sf_dir, "labels")).drop("text", "source", "lang")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
