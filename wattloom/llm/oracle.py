@@ -38,4 +38,31 @@ def _secrets() -> str:
  SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
-SQL: dict[str, str] = {"op2_secret_scan": _secrets(), "op6_decontamination": _SQL_LEAKS}
+#: Operator 12: CRC-32 a bit a step, then every prefix of every rebuilt conversation, and every node below every prefix.
+_TRIE = r"""WITH RECURSIVE own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM own
+  UNION ALL
+  SELECT conv_id, s, k + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM (
+   SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substr(s, CAST(k // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE k < 8 * length(s))),
+ h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crc WHERE k = 8 * length(s)),
+ seq AS (
+  SELECT o.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, h.h), list_slice(o.ts, h.h + 1, len(o.ts))) AS ts
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - (o.conv_id % 20 + 20) % 20),
+ member AS (SELECT conv_id, d, list_slice(ts, 1, d) AS k, len(ts) = d AS ends FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM seq)),
+ node AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY d, k),
+ child AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+ full_node AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(k[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM node n LEFT JOIN child USING (d, k)),
+ up AS (SELECT list_slice(k, 1, a) AS k, saved, CAST(n_children = 0 AS INT) AS leaf FROM (SELECT k, saved, n_children, unnest(range(0, d + 1)) AS a FROM full_node)),
+ total AS (SELECT k, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY k)
+ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+ FROM full_node n JOIN total USING (k) LEFT JOIN node p ON p.d = n.d - 1 AND p.k = list_slice(n.k, 1, n.d - 1)"""
+
+
+SQL: dict[str, str] = {"op2_secret_scan": _secrets(), "op6_decontamination": _SQL_LEAKS, "op12_conversation_trie": _TRIE}

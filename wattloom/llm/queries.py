@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
+from . import align, ann, decontaminate, extract, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, trie, url_filter
 from .common import read
 
 
@@ -77,6 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, read(spark, sf_dir, "labels")).drop("text", "source", "lang")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"))
 
