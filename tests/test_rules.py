@@ -164,13 +164,3 @@ def test_stream(spark, tmp_path):
     start(resample(stream), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
     got, whole = spark.read.parquet(f"{tmp_path}/out"), resample(rows)
     assert 0 < got.count() <= whole.count() and got.join(whole, ["household_id", "fuel", "start", "total", "n"]).count() == got.count()
-
-
-def test_distances(spark):
-    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id long, x array<double>")
-    d = features.cross_distances(rows.limit(2), rows)
-    assert d.count() == 10 and features.distance_summary(d).first()["least"] == 0
-    out = {r["a_id"]: r["percentile"] for r in features.outliers(d).collect()}
-    values = sorted(r["distance"] for r in d.collect())
-    means = {r["a_id"]: r["mean"] for r in features.row_distances(d).collect()}
-    assert all(math.isclose(out[k], 100 * sum(v < m for v in values) / len(values)) for k, m in means.items())

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import adjusted_kurtosis, adjusted_skew
 from .compare import student_p
-from .ranks import blocks, quantiles, ranks
+from .pairs import Pairs
+from .ranks import quantiles
 from .stats import differences, rolling_sd
 
 #: Hours of the day's parts: from, to.
@@ -60,55 +57,10 @@ def standardised(df: DataFrame, columns: list[str], keep: list[str]) -> DataFram
     return filled.crossJoin(F.broadcast(both)).select(*keep, z.alias("x"))
 
 
-def cross_distances(rows: DataFrame, other: DataFrame, key: str = "id", x: str = "x", block_rows: int = 1000) -> DataFrame:
-    """(a_<key>, b_<key>, distance) between two groups of feature rows: a task holds one block of either.
-
-    Callers aggregate at once; the pair table is never stored. Null vectors take no part."""
-    rows, other = (df.select(F.col(key).alias(key), F.col(x).cast("array<double>").alias("x")).where(F.col("x").isNotNull()) for df in (rows, other))
-    n, m = (blocks(df.count(), block_rows) for df in (rows, other))
-    own = lambda k, salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = rows.select(key, "x", own(n, 1).alias("i"), each(m).alias("j")).groupBy("i", "j")
-    b = other.select(key, "x", each(n).alias("i"), own(m, 2).alias("j")).groupBy("i", "j")
-    schema = T.StructType([T.StructField(f"{s}_{key}", df.schema[key].dataType) for s, df in (("a", rows), ("b", other))] + [T.StructField("distance", T.DoubleType())])
-    return a.cogroup(b).applyInArrow(_distances(key, [to_arrow_type(f.dataType) for f in schema.fields]), schema)
-
-
-def _distances(key: str, kinds: list[pa.DataType]):
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        vectors = lambda t: np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1)
-        if not a.num_rows or not b.num_rows:  # such a side comes without columns
-            return pa.table([pa.array([], k) for k in kinds], [f"a_{key}", f"b_{key}", "distance"])
-        x, y = vectors(a), vectors(b)
-        d = np.concatenate([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
-        left, right = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
-        return pa.table([a.column(key).take(pa.array(left)), b.column(key).take(pa.array(right)), pa.array(d)], [f"a_{key}", f"b_{key}", "distance"])
-
-    return run
-
-
-def within_distances(rows: DataFrame, key: str = "id", x: str = "x", most_rows: int | None = None, seed: int = 42) -> DataFrame:
-    """Unordered pairs of one group; most_rows samples the rows first, in hash order."""
-    if most_rows is not None:
-        rows = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most_rows)
-    return cross_distances(rows, rows, key, x).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-
-
-def distance_summary(d: DataFrame, *by: str) -> DataFrame:
-    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), F.min("distance").alias("least"), F.max("distance").alias("most"))
-    q = quantiles(d, list(by), "distance", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    out = out.join(q, list(by), "left") if by else out.join(F.broadcast(q), how="left")  # a row
-    return out.select(*by, "n", "mean", "sd", "least", "q25", "median", "q75", "most", (F.col("q75") - F.col("q25")).alias("iqr"))
-
-
-def row_distances(d: DataFrame, key: str = "a_id") -> DataFrame:
-    return d.groupBy(key).agg(F.avg("distance").alias("mean"), F.min("distance").alias("least"))
-
-
 def privacy_leakage(synth: DataFrame, train: DataFrame, test: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
     """Per synthetic row: mean and least distance to train and test, their difference, nearer to train, high risk (least
     distance to train under its 25th percentile)."""
-    a, b = (row_distances(cross_distances(synth, other, key, x), f"a_{key}").select(F.col(f"a_{key}").alias(key), F.col("mean").alias(f"mean_{n}"), F.col("least").alias(f"least_{n}")) for other, n in ((train, "train"), (test, "test")))
+    a, b = (Pairs(synth, other, key, x).row_stats().select(key, F.col("mean").alias(f"mean_{n}"), F.col("least").alias(f"least_{n}")) for other, n in ((train, "train"), (test, "test")))
     out = a.join(b, key)
     cut = quantiles(out, [], "least_train", {"_c": 0.25})
     return out.crossJoin(F.broadcast(cut)).select(
@@ -126,13 +78,21 @@ def memorisation(leakage: DataFrame) -> dict:
     return {"n": r["n"], "mean_diff": r["m"], "t": t, "p": p, "cohens_d": r["m"] / r["s"], "memorised": p < 0.05 and r["m"] < 0}
 
 
-def outliers(d: DataFrame, key: str = "a_id") -> DataFrame:
+def outliers(pairs: Pairs) -> DataFrame:
     """Rows whose mean distance is above the 95th percentile of all distances, with their percentile rank (left search)."""
-    cut = quantiles(d, [], "distance", {"cut": 0.95})
-    means = row_distances(d, key).select(key, "mean")
-    at = ranks(d.select(F.col("distance").alias("mean")), means, "mean", key)
-    out = means.join(at, key).crossJoin(F.broadcast(cut))  # a row
-    return out.select(key, "mean", (100 * F.col("below") / F.col("total")).alias("percentile"), (F.col("mean") > F.col("cut")).alias("outlier"))
+    cut = pairs.quantiles({"cut": 0.95})
+    means = pairs.row_stats().select(pairs.key, "mean")
+    out = means.join(pairs.below(means, "mean"), "mean").crossJoin(F.broadcast(cut))  # a row
+    return out.select(pairs.key, "mean", (100 * F.col("below") / F.col("total")).alias("percentile"), (F.col("mean") > F.col("cut")).alias("outlier"))
+
+
+def distance_distributions(groups: dict[str, Pairs], most: int = 50_000) -> DataFrame:
+    """(type, a, b, distance): for each type of pairs at most `most`, those of the least hashes."""
+    out = None
+    for name, pairs in groups.items():
+        own = pairs.sample(most).select(F.lit(name).alias("type"), "a", "b", "distance")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def paired_share(leakage: DataFrame) -> DataFrame:
@@ -156,27 +116,6 @@ def pca(rows: DataFrame, keep: list[str], x: str = "x", k: int = 2) -> tuple[Dat
 # within one batch
 
 
-def batch_correlations(df: DataFrame, keys: list[str], step: str = "step", high: float = 0.95, value: str = "value") -> DataFrame:
-    """Per key: households that vary, mean and largest correlation of their pairs, pairs above `high`. Nulls count as 0."""
-    base = df.select(*keys, "household_id", step, F.coalesce(value, F.lit(0.0)).alias("v"))
-    live = base.groupBy(*keys, "household_id").agg(F.stddev_pop("v").alias("_s")).where("_s > 0").select(*keys, "household_id")
-    a, b = (base.join(live, [*keys, "household_id"]).select(*keys, step, F.col("household_id").alias(h), F.col("v").alias(v)) for h, v in (("ha", "x"), ("hb", "y")))
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    pairs = a.join(b, [*keys, step]).where("ha < hb").groupBy(*keys, "ha", "hb").agg(r.alias("r"))
-    return pairs.groupBy(*keys).agg(F.count("r").alias("pairs"), F.avg("r").alias("mean_corr"), F.max("r").alias("max_corr"), F.count_if(F.col("r") > high).alias("high_pairs"))
-
-
-def batch_distances(df: DataFrame, keys: list[str], step: str = "step", near: float = 0.01, value: str = "value") -> DataFrame:
-    """Per key: mean and least Euclidean distance of series scaled by their mean absolute value, pairs under `near` of the mean."""
-    base = df.select(*keys, "household_id", step, F.coalesce(value, F.lit(0.0)).alias("v"))
-    scale = base.groupBy(*keys, "household_id").agg(F.avg(F.abs("v")).alias("_m"))
-    scaled = base.join(scale, [*keys, "household_id"]).withColumn("v", F.coalesce(F.try_divide("v", F.col("_m")), F.lit(0.0)))
-    a, b = (scaled.select(*keys, step, F.col("household_id").alias(h), F.col("v").alias(v)) for h, v in (("ha", "x"), ("hb", "y")))
-    pairs = a.join(b, [*keys, step]).where("ha < hb").groupBy(*keys, "ha", "hb").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("d"))
-    mean = pairs.groupBy(*keys).agg(F.avg("d").alias("mean_distance"), F.min("d").alias("least_distance"))
-    return pairs.join(mean, keys).groupBy(*keys, "mean_distance", "least_distance").agg(F.count_if(F.col("d") < near * F.col("mean_distance")).alias("near_identical"))
-
-
 def peak_diversity(df: DataFrame, keys: list[str], step: str = "step", value: str = "value") -> DataFrame:
     """Per key: distinct peak steps of its households and the share of the commonest. Nulls count as 0, first peak on ties."""
     v = F.coalesce(value, F.lit(0.0))

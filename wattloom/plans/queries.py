@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, features, filters, generate, grade, privacy, sequences, splits, stats, vocab
+from ..operators import compare, features, filters, generate, grade, pairs, privacy, sequences, splits, stats, vocab
 from ..sources import fixtures
 from ..sources.readers import event_readings, household_metadata, join_metadata, line_readings, table, wide_to_long
 from ..sources.writers import wide_month
@@ -290,22 +290,30 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 _V = "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, CASE vec_id % 3 WHEN 0 THEN 'synth' WHEN 1 THEN 'train' ELSE 'test' END AS g FROM embeddings)"
 _group = lambda s, d, g: _vectors(s, d).where(F.col("g") == g).select("id", "x")
-_dist = lambda s, d, g: features.cross_distances(_group(s, d, "synth"), _group(s, d, g))
+_dist = lambda s, d, g: pairs.Pairs(_group(s, d, "synth"), _group(s, d, g))
 _DIST = f"{_V}, d AS (SELECT a.id AS a_id, b.id AS b_id, b.g, list_distance(a.x, b.x) AS distance FROM v a, v b WHERE a.g = 'synth' AND b.g <> 'synth')"
-add("cross_distances", lambda s, d: features.distance_summary(_dist(s, d, "train").withColumn("g", F.lit("train")).unionByName(_dist(s, d, "test").withColumn("g", F.lit("test"))), "g"), f"""{_DIST} SELECT g, count(*) AS n, avg(distance) AS mean, stddev_pop(distance) AS sd, min(distance) AS least, quantile_cont(distance, 0.25) AS q25, median(distance) AS median, quantile_cont(distance, 0.75) AS q75, max(distance) AS most,
+add("cross_distances", lambda s, d: _dist(s, d, "train").summary().withColumn("g", F.lit("train")).unionByName(_dist(s, d, "test").summary().withColumn("g", F.lit("test"))), f"""{_DIST} SELECT g, count(*) AS n, avg(distance) AS mean, stddev_pop(distance) AS sd, min(distance) AS least, quantile_cont(distance, 0.25) AS q25, median(distance) AS median, quantile_cont(distance, 0.75) AS q75, max(distance) AS most,
  quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS iqr FROM d GROUP BY g""", "mean sd least q25 median q75 most iqr")
-add("within_distances", lambda s, d: features.distance_summary(features.within_distances(_group(s, d, "train"))), f"{_V}, d AS (SELECT list_distance(a.x, b.x) AS distance FROM v a, v b WHERE a.g = 'train' AND b.g = 'train' AND a.id < b.id) SELECT count(*) AS n, avg(distance) AS mean, stddev_pop(distance) AS sd, min(distance) AS least, quantile_cont(distance, 0.25) AS q25, median(distance) AS median, quantile_cont(distance, 0.75) AS q75, max(distance) AS most, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS iqr FROM d", "mean sd least q25 median q75 most iqr")
+add("within_distances", lambda s, d: pairs.Pairs(_group(s, d, "train")).summary(), f"{_V}, d AS (SELECT list_distance(a.x, b.x) AS distance FROM v a, v b WHERE a.g = 'train' AND b.g = 'train' AND a.id < b.id) SELECT count(*) AS n, avg(distance) AS mean, stddev_pop(distance) AS sd, min(distance) AS least, quantile_cont(distance, 0.25) AS q25, median(distance) AS median, quantile_cont(distance, 0.75) AS q75, max(distance) AS most, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS iqr FROM d", "mean sd least q25 median q75 most iqr")
 _LEAK = f"{_DIST}, r AS (SELECT a_id AS id, avg(CASE WHEN g = 'train' THEN distance END) AS mean_train, avg(CASE WHEN g = 'test' THEN distance END) AS mean_test, min(CASE WHEN g = 'train' THEN distance END) AS least_train, min(CASE WHEN g = 'test' THEN distance END) AS least_test FROM d GROUP BY 1)"
 _leak = lambda s, d: features.privacy_leakage(_group(s, d, "synth"), _group(s, d, "train"), _group(s, d, "test"))
 add("privacy_leakage", _leak, f"{_LEAK} SELECT *, mean_train - mean_test AS diff, least_train < least_test AS nearer_train, least_train < (SELECT quantile_cont(least_train, 0.25) FROM r) AS high_risk FROM r", "mean_train mean_test least_train least_test diff")
 add("paired_share", lambda s, d: features.paired_share(_leak(s, d)), f"{_LEAK} SELECT avg(CASE WHEN mean_train > mean_test THEN 1.0 ELSE 0.0 END) AS above, avg(CASE WHEN mean_train < mean_test THEN 1.0 ELSE 0.0 END) AS below FROM r", "above below")
 _OUT = f"{_DIST}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1)"
-add("distance_outliers", lambda s, d: features.outliers(_dist(s, d, "train")), f"{_OUT} SELECT m.a_id, m.mean, 100.0 * (SELECT count(*) FROM t WHERE t.distance < m.mean) / (SELECT count(*) FROM t) AS percentile, m.mean > (SELECT quantile_cont(distance, 0.95) FROM t) AS outlier FROM m", "mean percentile")
+add("distance_outliers", lambda s, d: features.outliers(_dist(s, d, "train")).withColumnRenamed("id", "a_id"), f"{_OUT} SELECT m.a_id, m.mean, 100.0 * (SELECT count(*) FROM t WHERE t.distance < m.mean) / (SELECT count(*) FROM t) AS percentile, m.mean > (SELECT quantile_cont(distance, 0.95) FROM t) AS outlier FROM m", "mean percentile")
 add("distance_report", lambda s, d: features.distance_report(_leak(s, d), features.outliers(_dist(s, d, "train"))), f"""{_LEAK}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1), c AS (SELECT quantile_cont(least_train, 0.25) AS c FROM r)
  SELECT count(*) AS rows, count_if(least_train < c) AS high_risk, count_if(least_train < least_test) AS nearer_train, (SELECT count_if(mean > (SELECT quantile_cont(distance, 0.95) FROM t)) FROM m) AS outliers FROM r, c""")
 add("memorisation", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean"))
 add("memorisation_effect", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean").drop("p", "memorised"), f"""{_LEAK}
  SELECT count(*) AS n, avg(mean_train - mean_test) AS mean_diff, avg(mean_train - mean_test) / (stddev_samp(mean_train - mean_test) / sqrt(count(*))) AS t, avg(mean_train - mean_test) / stddev_samp(mean_train - mean_test) AS cohens_d FROM r""", "mean_diff t cohens_d")
+_MD5 = "CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 16) AS UBIGINT)::HUGEINT"
+_HASH = f"((one * {pairs.FACTORS[0]} + two * {pairs.FACTORS[1]}) % 18446744073709551616) // 2"
+add("distance_distributions", lambda s, d: features.distance_distributions({"synth_train": _dist(s, d, "train"), "synth_test": _dist(s, d, "test"), "synth": pairs.Pairs(_group(s, d, "synth")), "train": pairs.Pairs(_group(s, d, "train"))}, 5000),
+    f"""{_V}, i AS (SELECT id, x, g, {_MD5} AS m FROM v), p AS (
+ SELECT 'synth_' || b.g AS type, a.id AS a, b.id AS b, list_distance(a.x, b.x) AS distance, a.m AS one, b.m AS two FROM i a, i b WHERE a.g = 'synth' AND b.g <> 'synth'
+ UNION ALL SELECT a.g, a.id, b.id, list_distance(a.x, b.x), a.m, b.m FROM i a, i b WHERE a.g = b.g AND a.g <> 'test' AND a.m < b.m),
+ r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {_HASH}, a, b) AS n FROM p)
+ SELECT type, a, b, distance FROM r WHERE n <= 5000""", "distance")
 add("pca", lambda s, d: features.pca(_vectors(s, d).select("id", "x"), ["id"])[0])
 _ZC = ["mean", "std", "skew", "rolling_volatility_std"]
 _z = lambda s, d: features.standardised(_feat(s, d).select("split", "household_id", "month", *_ZC), _ZC, ["split", "household_id", "month"])
@@ -316,15 +324,15 @@ add("standardised_features", lambda s, d: _z(s, d).select("split", "household_id
 _STEP = f"{LINES}, b AS (SELECT household_id // 10 AS batch_id, household_id, month AS step, avg(value) AS value FROM readings GROUP BY 1, 2, 3)"
 _step = lambda s, d: L(s, d).groupBy(F.floor(F.col("household_id") / 10).alias("batch_id"), "household_id", F.col("month").alias("step")).agg(F.avg("value").alias("value"))
 _COR = f"{_STEP}, p AS (SELECT x.batch_id, x.household_id AS ha, y.household_id AS hb, covar_pop(x.value, y.value) / nullif(stddev_pop(x.value) * stddev_pop(y.value), 0) AS r FROM b x JOIN b y ON x.batch_id = y.batch_id AND x.step = y.step AND x.household_id < y.household_id GROUP BY 1, 2, 3)"
-add("batch_correlations", lambda s, d: features.batch_correlations(_step(s, d), ["batch_id"]), f"{_COR} SELECT batch_id, count(r) AS pairs, avg(r) AS mean_corr, max(r) AS max_corr, count_if(r > 0.95) AS high_pairs FROM p GROUP BY 1", "mean_corr max_corr")
+add("batch_correlations", lambda s, d: pairs.batch_correlations(_step(s, d), ["batch_id"]), f"{_COR} SELECT batch_id, count(r) AS pairs, avg(r) AS mean_corr, max(r) AS max_corr, count_if(r > 0.95) AS high_pairs FROM p GROUP BY 1", "mean_corr max_corr")
 _DIS = f"{_STEP}, sc AS (SELECT *, value / avg(abs(value)) OVER (PARTITION BY batch_id, household_id) AS v FROM b), p AS (SELECT x.batch_id, x.household_id AS ha, y.household_id AS hb, sqrt(sum(pow(x.v - y.v, 2))) AS d FROM sc x JOIN sc y ON x.batch_id = y.batch_id AND x.step = y.step AND x.household_id < y.household_id GROUP BY 1, 2, 3), m AS (SELECT batch_id, avg(d) AS md FROM p GROUP BY 1)"
-add("batch_distances", lambda s, d: features.batch_distances(_step(s, d), ["batch_id"]), f"{_DIS} SELECT p.batch_id, avg(d) AS mean_distance, min(d) AS least_distance, count_if(d < 0.01 * md) AS near_identical FROM p JOIN m USING (batch_id) GROUP BY 1", "mean_distance least_distance")
+add("batch_distances", lambda s, d: pairs.batch_distances(_step(s, d), ["batch_id"]), f"{_DIS} SELECT p.batch_id, avg(d) AS mean_distance, min(d) AS least_distance, count_if(d < 0.01 * md) AS near_identical FROM p JOIN m USING (batch_id) GROUP BY 1", "mean_distance least_distance")
 _PEAK = f"{_STEP}, pk AS (SELECT batch_id, household_id, arg_max(step, (value, -step)) AS peak FROM b GROUP BY 1, 2), c AS (SELECT batch_id, peak, count(*) AS k FROM pk GROUP BY 1, 2)"
 add("peak_diversity", lambda s, d: features.peak_diversity(_step(s, d), ["batch_id"]), f"{_PEAK} SELECT batch_id, sum(k)::BIGINT AS households, count(*) AS distinct_peaks, max(k) / sum(k) AS concentration FROM c GROUP BY 1", "concentration")
 
 
 def _overfit(s: SparkSession, d: str) -> DataFrame:
-    c, x, p = (f(_step(s, d), ["batch_id"]) for f in (features.batch_correlations, features.batch_distances, features.peak_diversity))
+    c, x, p = (f(_step(s, d), ["batch_id"]) for f in (pairs.batch_correlations, pairs.batch_distances, features.peak_diversity))
     out = c.join(x, "batch_id").join(p, "batch_id")
     return features.overfitting(out.select("batch_id", *[F.col(n).alias(f"elec_{n}") for n in ("high_pairs", "mean_corr", "near_identical", "concentration")]), ("elec",))
 
