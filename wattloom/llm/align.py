@@ -36,7 +36,7 @@ BLOCK, PAIRS = 4096, 65_536
 HEAD, A, B = 0, 1, 2
 
 EVENTS = "key long, doc_id long, at long, side int, ids binary"
-SWEPT = "key long, doc_id long, n_a long, n_b long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,n:long>>"
+SWEPT = "key long, doc_id long, n_a long, n_b long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,n:long>>"  # a row's pairs are distinct
 
 
 def byte_level() -> dict[str, int]:
@@ -147,13 +147,16 @@ class Sweep:
         ends = self.last[s] + np.cumsum(self.length[s][ids])
         self.last[s], self.n[s] = int(ends[-1]), self.n[s] + len(ids)
         self.ids[s], self.ends[s] = np.r_[self.ids[s], ids], np.r_[self.ends[s], ends]
-        _, i, j = np.intersect1d(self.ends[A], self.ends[B], assume_unique=True, return_indices=True)
+        at = np.searchsorted(self.ends[B], self.ends[A])
+        i = np.flatnonzero(np.r_[self.ends[B], -1][at] == self.ends[A])
         if not len(i):
             return
+        j = at[i]
         a, b = self.ids[A][: i[-1] + 1], self.ids[B][: j[-1] + 1]
         # groups: A tokens up to i[g], B tokens up to j[g]; where each token stands among the tokens of both sides
-        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
-        first_a, first_b = np.r_[True, group_a[1:] != group_a[:-1]], np.r_[True, group_b[1:] != group_b[:-1]]
+        first_a, first_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        first_a[np.r_[0, i[:-1] + 1]] = first_b[np.r_[0, j[:-1] + 1]] = True
+        group_a, group_b = np.cumsum(first_a) - 1, np.cumsum(first_b) - 1
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.r_[0, j + 1][group_a]] = a + self.base[np.where(first_a, 1, 0)]
         code[np.arange(len(b)) + (i + 1)[group_b]] = b + self.base[np.where(first_b, 3, 2)]
@@ -168,15 +171,23 @@ class Sweep:
         self.pairs, at = np.unique(np.r_[self.pairs, pairs], return_inverse=True)
         self.times = np.bincount(at, np.r_[self.times, times], len(self.pairs)).astype(np.int64)
 
-    def flushed(self, done: bool) -> dict:
-        """A row of SWEPT: what has come so far of the pairs and, if done, the document's figures."""
-        links = [{"a": p >> 16, "b": p & 0xFFFF, "n": n} for p, n in zip(self.pairs.tolist(), self.times.tolist())]
+    def flushed(self, done: bool) -> tuple:
+        """A row of SWEPT, its pairs and their numbers apart: what has come so far and, if done, the document's figures."""
+        pairs, times = self.pairs, self.times
         self.pairs, self.times = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        row = {"key": self.key, "doc_id": self.doc_id, "n_a": 0, "n_b": 0, "n_links": 0, "groups_sha256": None, "links": links}
-        if done:
-            row |= {"n_a": self.n[A], "n_b": self.n[B], "n_links": self.links}
-            row["groups_sha256"] = self.hash.hexdigest() if self.n[A] else ""
-        return row
+        if not done:
+            return (self.key, self.doc_id, 0, 0, 0, None, pairs, times)
+        return (self.key, self.doc_id, self.n[A], self.n[B], self.links, self.hash.hexdigest() if self.n[A] else "", pairs, times)
+
+
+def _swept_batch(rows: list[tuple]) -> pa.RecordBatch:
+    *plain, pairs, times = zip(*rows)
+    every = np.concatenate(pairs)
+    fields = [(every >> 16).astype(np.int32), (every & 0xFFFF).astype(np.int32), np.concatenate(times)]
+    links = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["a", "b", "n"])
+    ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+    columns = [pa.array(c, pa.string() if k == 5 else pa.int64()) for k, c in enumerate(plain)]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, links)], names=[c.split()[0] for c in SWEPT.split(", ")])
 
 
 def sweep(events: DataFrame, a: str, b: str, pairs: int = PAIRS) -> DataFrame:
@@ -184,9 +195,6 @@ def sweep(events: DataFrame, a: str, b: str, pairs: int = PAIRS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, unpack, out = Sweep(side(a), side(b)), zstandard.ZstdDecompressor(), []
-        link = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
-        kinds = [pa.int64()] * 5 + [pa.string(), link]
-        schema = pa.schema([(c.split()[0], k) for c, k in zip(SWEPT.split(", "), kinds)])
         for part in slices(batches, 64):
             for key, doc_id, s, ids in zip(*(part.column(c).to_pylist() for c in ("key", "doc_id", "side", "ids"))):
                 if s == HEAD:
@@ -197,13 +205,13 @@ def sweep(events: DataFrame, a: str, b: str, pairs: int = PAIRS) -> DataFrame:
                 state.take(s, np.frombuffer(unpack.decompress(ids), "<u2").astype(np.int64))
                 if len(state.pairs) >= pairs:
                     out.append(state.flushed(False))
-            if sum(len(x["links"]) for x in out) > pairs or len(out) > 1000:
-                yield pa.RecordBatch.from_pylist(out, schema)
+            if sum(len(x[-1]) for x in out) > pairs or len(out) > 1000:
+                yield _swept_batch(out)
                 out = []
         if state.key is not None:
             out.append(state.flushed(True))
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield _swept_batch(out)
 
     dealt = events.repartition("key").sortWithinPartitions("key", "at", "side")
     return dealt.mapInArrow(run, SWEPT)
