@@ -164,3 +164,45 @@ def test_stream(spark, tmp_path):
     start(resample(stream), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
     got, whole = spark.read.parquet(f"{tmp_path}/out"), resample(rows)
     assert 0 < got.count() <= whole.count() and got.join(whole, ["household_id", "fuel", "start", "total", "n"]).count() == got.count()
+
+
+def test_masking_lattice(spark):
+    """Every prefix's group, counted plainly; the lattice drops what is under k with all that shows more."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), *[rng.choice(["x", "y", "z", None] if v == 2 else ["x", "y"]) for v in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "household_id long, r string, p string, q string, s string, t string")
+    got = privacy.masked_contexts(df, ["r"], ["p", "q", "s", "t"], 9, augmentations=3).collect()
+    known = [dict(zip(df.columns, r)) for r in rows if None not in r]
+    assert {r["household_id"] for r in got} <= {r["household_id"] for r in known}
+    by = {}
+    for r in got:
+        assert r["variables"][0] == "r" and len(r["variables"]) == r["var_count"]
+        same = sum(all(x[v] == w for v, w in zip(r["variables"], r["values"])) for x in known)
+        assert r["group_size"] == same >= 9
+        by.setdefault((r["household_id"], r["augmentation"]), {})[r["var_count"]] = r["variables"]
+    for (i, _), levels in by.items():
+        own = next(x for x in known if x["household_id"] == i)
+        longest = levels[max(levels)]
+        assert sorted(levels) == list(range(1, len(longest) + 1)) and all(v == longest[:n] for n, v in levels.items())
+        if len(longest) < 5:  # no variable that could come next is skipped silently: its group is too small for some
+            assert any(sum(all(x[v] == own[v] for v in [*longest, nxt]) for x in known) < 9 for nxt in "pqst" if nxt not in longest)
+
+
+def test_hash_ranks(spark):
+    df = spark.range(1000).select(F.col("id").alias("household_id"), (F.col("id") % 3).alias("g")).union(spark.createDataFrame([(5, 2), (5, 2)], "household_id long, g long"))
+    got = splits.hash_rank(df, ["g"], ["household_id"], rows=20).collect()
+    for g in range(3):
+        own = sorted((r["_r"] for r in got if r["g"] == g))
+        assert own == list(range(len(own)))
+    same = {(r["household_id"], r["_r"]) for r in got}
+    assert same == {(r["household_id"], r["_r"]) for r in splits.hash_rank(df.repartition(5), ["g"], ["household_id"]).collect()}
+
+
+def test_sample_each(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 4990, "big").otherwise(None).alias("g"), F.lit(7).alias("same"))
+    got = splits.sample_each(df, 20, ["g"], ["id"])
+    assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {"big": 20, None: 10}
+    assert splits.sample_each(df, 20, ["g"], ["same"]).count() == 30  # every row has one hash
+    assert splits.sample_each(df.where("false"), 20, ["g"], ["id"]).count() == 0

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import hash_bits
+from .shared import stored
+
 
 def k_groups(df: DataFrame, variables: list[str], k: int) -> DataFrame:
     """Tuples of known variables with their size and whether it reaches k."""
@@ -51,24 +54,39 @@ def masked_contexts(df: DataFrame, fixed: list[str], others: list[str], k: int,
     """One row for each household, augmentation and prefix of a hash-shuffled variable order whose group still has k rows.
 
     variables: the shown ones in order; var_count: how many; group_size: rows that share their values. The fixed variables
-    come first in every order. Prefix sizes are counted by grouping on the shown (variable, value) set."""
-    named = [F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value")) for v in others]
-    base = df.dropna(subset=[*fixed, *others]).select(key, F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value")) for v in fixed]).alias("_fixed"), F.array(*named).alias("_rest"))
-    base = base.withColumn("augmentation", F.explode(F.sequence(F.lit(0), F.lit(augmentations - 1))))
-    shuffled = F.transform(F.array_sort(F.transform("_rest", lambda x: F.struct(F.xxhash64(F.col(key), F.col("augmentation"), x["variable"], F.lit(seed)).alias("h"), x.alias("x")))), lambda y: y["x"])
-    rows = base.select(key, "augmentation", "_fixed", shuffled.alias("_order"), F.explode(F.sequence(F.lit(0), F.lit(len(others)))).alias("extra"))
-    rows = rows.withColumn("shown", F.concat("_fixed", F.slice("_order", F.lit(1), F.col("extra"))))
-    subsets = rows.select(F.array_sort(F.transform("shown", lambda x: x["variable"])).alias("names")).distinct()
-    # combinations of values first, then each under every shown subset of the variables (2 to the power of others, at most)
-    combos = df.dropna(subset=[*fixed, *others]).groupBy(F.array(*[F.col(v).cast("string") for v in [*fixed, *others]]).alias("vs")).agg(F.count(F.lit(1)).alias("n"))
-    combos = combos.select(F.map_from_arrays(F.array(*[F.lit(v) for v in [*fixed, *others]]), "vs").alias("m"), "n")
-    own = F.transform("names", lambda n: F.element_at(F.col("m"), n)).alias("own")
-    sizes = combos.crossJoin(F.broadcast(subsets)).groupBy("names", own).agg(F.sum("n").alias("group_size"))
-    sorted_shown = F.array_sort("shown")
-    rows = rows.withColumn("names", F.transform(sorted_shown, lambda x: x["variable"])).withColumn("own", F.transform(sorted_shown, lambda x: x["value"]))
-    out = rows.join(sizes, ["names", "own"]).where(F.col("group_size") >= k)
-    # a prefix counts only if all shorter ones do; groups shrink with length, so the test above is enough
-    return out.select(key, "augmentation", F.transform("shown", lambda x: x["variable"]).alias("variables"), F.transform("shown", lambda x: x["value"]).alias("values"), F.size("shown").alias("var_count"), "group_size")
+    come first in every order. Rows with a null in any variable take no part.
+
+    The lattice of shown sets is climbed a variable at a time. A level holds the combinations of values (with their numbers)
+    under the groups that some household has reached; those meet the variables that households of their group show next, are
+    counted, and what is under k goes, with all that would have shown more."""
+    every = [*fixed, *others]
+    base = df.dropna(subset=every).select(key, F.array(*[F.col(v).cast("string") for v in every]).alias("_vs"))
+    names = F.array(*[F.lit(v) for v in every])
+    combos = stored(base.groupBy("_vs").agg(F.count(F.lit(1)).alias("n")), "mask-combos")
+    shuffled = F.transform(
+        F.array_sort(F.array(*[F.struct(hash_bits(F.col(key), F.col("augmentation"), F.lit(v), seed=seed).alias("h"), F.lit(v).alias("v")) for v in others])), lambda x: x["v"]
+    )
+    rows = base.withColumn("augmentation", F.explode(F.sequence(F.lit(0), F.lit(augmentations - 1)))).withColumn("_order", shuffled)
+    value = lambda v: F.element_at(F.col("_vs"), F.array_position(names, v).cast("int"))
+    # a group is known by its shown variables, sorted, and their values
+    shown = lambda extra: F.array_sort(F.concat(F.array(*[F.lit(v) for v in fixed]).cast("array<string>"), extra))
+    level = combos.withColumn("_set", shown(F.array().cast("array<string>"))).withColumn("_own", F.transform("_set", value))
+    reached, out = rows, None
+    for extra in range(len(others) + 1):
+        sizes = level.groupBy("_set", "_own").agg(F.sum("n").alias("group_size")).where(F.col("group_size") >= k)
+        here = reached.withColumn("_set", shown(F.slice("_order", F.lit(1), F.lit(extra)))).withColumn("_own", F.transform("_set", value)).join(sizes, ["_set", "_own"])
+        reached = stored(here, "mask-reached")
+        out = reached if out is None else out.unionByName(reached)
+        if extra == len(others):
+            break
+        steps = reached.select("_set", "_own", F.element_at("_order", extra + 1).alias("_next")).distinct()
+        grown = level.join(steps, ["_set", "_own"]).withColumn("_set", F.array_sort(F.concat("_set", F.array("_next"))))
+        level = stored(grown.select("_vs", "n", "_set").distinct().withColumn("_own", F.transform("_set", value)), "mask-level")
+        reached = reached.drop("_set", "_own", "group_size")
+    variables = F.concat(F.array(*[F.lit(v) for v in fixed]).cast("array<string>"), F.slice("_order", F.lit(1), F.size("_set") - len(fixed)))
+    return out.withColumn("variables", variables).select(
+        key, "augmentation", "variables", F.transform("variables", value).alias("values"), F.size("variables").alias("var_count"), "group_size"
+    )
 
 
 def best_contexts(masked: DataFrame, most: int | None = None, key: str = "household_id") -> DataFrame:

@@ -139,8 +139,28 @@ add("k_aggregates", lambda s, d: privacy.k_aggregates(_half_hours(s, d), H(s, d)
 _trios = lambda s, d: E(s, d).select("household_id").distinct().withColumn("trio", F.floor(F.col("household_id") / 3))
 add("k_aggregate_trios", lambda s, d: privacy.k_aggregates(_half_hours(s, d), _trios(s, d), ["trio"], 3), f"""{EVENTS}, h AS (SELECT household_id, fuel, half_hour AS ts, avg(value) AS value FROM readings GROUP BY ALL)
  SELECT household_id // 3 AS trio, 3 AS k_group_size, fuel, ts, avg(value) AS value FROM h GROUP BY 1, fuel, ts HAVING count(DISTINCT household_id) = 3""", "value")
-add("masked_contexts", lambda s, d: privacy.masked_contexts(H(s, d), ["region"], ["segment", "nation"], 3))
-add("best_contexts", lambda s, d: privacy.best_contexts(privacy.masked_contexts(H(s, d), ["region"], ["segment", "nation"], 3), 2))
+_MASKED = f"""WITH {HOMES}, b AS (SELECT household_id, region, segment, nation, split FROM homes WHERE region IS NOT NULL AND segment IS NOT NULL AND nation IS NOT NULL),
+ l AS (SELECT household_id, a AS augmentation, v AS variable, CASE v WHEN 'nation' THEN nation WHEN 'segment' THEN segment ELSE split END AS value,
+  CAST('0x' || substr(md5(household_id || ':' || a || ':' || v || ':42'), 1, 12) AS BIGINT) AS h FROM b, range(2) t(a), (VALUES ('nation'), ('segment'), ('split')) u(v)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY household_id, augmentation ORDER BY h, variable) AS pos FROM l),
+ p AS (SELECT household_id, augmentation, e AS extra, coalesce(string_agg(variable, '|' ORDER BY pos) FILTER (pos <= e), '') AS vs, coalesce(string_agg(value, '|' ORDER BY pos) FILTER (pos <= e), '') AS vals,
+  coalesce(string_agg(variable || '=' || value, '|' ORDER BY variable) FILTER (pos <= e), '') AS k FROM o, range(4) t(e) GROUP BY 1, 2, 3),
+ w AS (SELECT household_id, region, concat_ws('|', CASE WHEN m & 1 > 0 THEN 'nation=' || nation END, CASE WHEN m & 2 > 0 THEN 'segment=' || segment END, CASE WHEN m & 4 > 0 THEN 'split=' || split END) AS k FROM b, range(8) t(m)),
+ z AS (SELECT region, k, count(*) AS group_size FROM w GROUP BY 1, 2),
+ masked AS (SELECT household_id, CAST(augmentation AS INTEGER) AS augmentation, 'region' || CASE WHEN extra > 0 THEN '|' || vs ELSE '' END AS variables, region || CASE WHEN extra > 0 THEN '|' || vals ELSE '' END AS "values",
+  CAST(extra + 1 AS INTEGER) AS var_count, group_size FROM p JOIN b USING (household_id) JOIN z USING (region, k) WHERE group_size >= 3)"""
+
+
+def _masked(s: SparkSession, d: str, most: int | None = None, best: bool = False) -> DataFrame:
+    out = privacy.masked_contexts(H(s, d), ["region"], ["segment", "nation", "split"], 3, augmentations=2)
+    out = privacy.best_contexts(out, most) if best else out
+    return out.withColumns({c: F.array_join(c, "|") for c in ("variables", "values")})
+
+
+_best = lambda most: f"{_MASKED} SELECT * FROM masked WHERE var_count <= {most} QUALIFY row_number() OVER (PARTITION BY household_id, augmentation ORDER BY var_count DESC) = 1"
+add("masked_contexts", _masked, f"{_MASKED} SELECT * FROM masked")
+add("best_contexts", lambda s, d: _masked(s, d, 2, True), _best(2))
+add("unconstrained_contexts", lambda s, d: _masked(s, d, None, True), _best(99))
 _excluded = lambda s, d: L(s, d).withColumn("batch_id", F.floor(F.col("household_id") / 10)).select("batch_id", "household_id", "month").distinct().where("(household_id * 7 + month) % 5 = 0 OR household_id % 9 = 0")
 _EXCL = f"{LINES}, b AS (SELECT *, household_id // 10 AS batch_id FROM readings), c AS (SELECT DISTINCT batch_id, household_id, month, (household_id * 7 + month) % 5 = 0 OR household_id % 9 = 0 AS x FROM b)"
 _batched = lambda s, d: L(s, d).withColumn("batch_id", F.floor(F.col("household_id") / 10))
@@ -392,10 +412,28 @@ add("evaluation_verdict", lambda s, d: _sections(s, d)["verdict"])
 # splits, sequences, model
 _use = lambda s, d: E(s, d).groupBy("household_id").agg(F.avg("value").alias("use"))
 add("energy_tiers", lambda s, d: splits.energy_tiers(_use(s, d)), f"{EVENTS}, u AS (SELECT household_id, avg(value) AS use FROM readings GROUP BY 1), q AS (SELECT quantile_cont(use, 0.33) AS a, quantile_cont(use, 0.66) AS b FROM u) SELECT household_id, use, CASE WHEN use <= a THEN 'low' WHEN use <= b THEN 'medium' ELSE 'high' END AS tier FROM u, q", "use")
-add("assign_splits", lambda s, d: splits.assign_splits(H(s, d).select("household_id"), 20, 30))
-add("training_shards", lambda s, d: splits.training_shards(splits.energy_tiers(_use(s, d)), 4, 30))
-add("shard_sizes", lambda s, d: splits.shard_sizes(splits.training_shards(splits.energy_tiers(_use(s, d)), 4, 30, replace=True)), "SELECT 30 AS smallest, 30 AS largest, 30.0 AS mean, 1.0 AS balance", "mean balance")
-add("value_reservoir", lambda s, d: splits.sample_each(E(s, d), 100, ["fuel"], ["event_id"]).select("fuel", "event_id", "value"))
+_rank = lambda *parts: "CAST('0x' || substr(md5(" + " || ':' || ".join([*(f"CAST({p} AS VARCHAR)" for p in parts), "'42'"]) + "), 1, 12) AS BIGINT)"
+add("assign_splits", lambda s, d: splits.assign_splits(H(s, d).select("household_id"), 20, 30), f"""WITH r AS (SELECT c_custkey AS household_id, row_number() OVER (ORDER BY {_rank('c_custkey')}, c_custkey) AS n FROM customer)
+ SELECT household_id, CASE WHEN n <= 20 THEN 'val' WHEN n <= 50 THEN 'test' ELSE 'train' END AS split FROM r""")
+_TIERS = f"""{EVENTS}, u AS (SELECT household_id, avg(value) AS use FROM readings GROUP BY 1), q AS (SELECT quantile_cont(use, 0.33) AS a, quantile_cont(use, 0.66) AS b FROM u),
+ t AS (SELECT household_id, CASE WHEN use <= a THEN 'low' WHEN use <= b THEN 'medium' ELSE 'high' END AS tier FROM u, q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY {_rank('household_id')}, household_id) - 1 AS r, count(*) OVER (PARTITION BY tier) AS n FROM t)"""
+_need = lambda size: f"CASE tier WHEN 'medium' THEN {size - 2 * (size // 3)} ELSE {size // 3} END"
+_shards = lambda shards, size: f"{_TIERS}, sh AS (SELECT CAST(r // {_need(size)} AS INTEGER) AS shard, household_id, tier FROM r WHERE r // {_need(size)} < {shards})"
+_redraw = lambda shards, size: f"""{_TIERS}, k AS (SELECT DISTINCT tier, n FROM r), slot AS (SELECT tier, n, unnest(range({_need(size)} * {shards})) AS slot FROM k),
+ sh AS (SELECT CAST(slot // {_need(size)} AS INTEGER) AS shard, household_id, tier FROM (SELECT tier, slot, {_rank('tier', 'slot')} % n AS r FROM slot) JOIN r USING (tier, r))"""
+add("training_shards", lambda s, d: splits.training_shards(splits.energy_tiers(_use(s, d)), 4, 30), f"{_shards(4, 30)} SELECT * FROM sh")
+add("training_shards_redrawn", lambda s, d: splits.training_shards(splits.energy_tiers(_use(s, d)), 4, 90, replace=True), f"{_redraw(4, 90)} SELECT * FROM sh")
+add("shard_sizes", lambda s, d: splits.shard_sizes(splits.training_shards(splits.energy_tiers(_use(s, d)), 40, 20)), f"{_shards(40, 20)}, z AS (SELECT shard, count(*) AS n FROM sh GROUP BY 1) SELECT min(n) AS smallest, max(n) AS largest, avg(n) AS mean, min(n) / max(n) AS balance FROM z", "mean balance")
+_reservoir = lambda source, n, by, order, columns: f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {_rank(order)}, {order}) AS _n FROM {source}) WHERE _n <= {n}"
+add("value_reservoir", lambda s, d: splits.sample_each(E(s, d), 100, ["fuel"], ["event_id"]).select("fuel", "event_id", "value"), f"{EVENTS} {_reservoir('readings', 100, 'fuel', 'event_id', 'fuel, event_id, value')}")
+add("difference_reservoir", lambda s, d: splits.sample_each(stats.differences(E(s, d), KEY, ORDER).where("diff is not null"), 50, ["batch_id", "fuel"], ["event_id"]).select("batch_id", "fuel", "event_id", "diff"),
+    f"""{EVENTS}, df AS (SELECT *, value - lag(value) OVER (PARTITION BY household_id, fuel ORDER BY ts, event_id) AS diff FROM readings), dn AS (SELECT * FROM df WHERE diff IS NOT NULL)
+ {_reservoir('dn', 50, 'batch_id, fuel', 'event_id', 'batch_id, fuel, event_id, diff')}""", "diff")
+add("template_households", lambda s, d: splits.templates(table(s, d, "orders").select(F.col("o_orderkey").alias("sample_id")), H(s, d).where("split = 'train'")), f"""WITH {HOMES}, p AS (SELECT household_id AS template_id, row_number() OVER (ORDER BY {_rank('household_id')}, household_id) - 1 AS r, count(*) OVER () AS n FROM homes WHERE split = 'train')
+ SELECT o_orderkey AS sample_id, template_id FROM orders JOIN p ON r = {_rank('o_orderkey')} % n""")
+add("quota_sample", lambda s, d: splits.quota_sample(H(s, d).select("household_id", "segment", "region"), {"segment": {"BUILDING": 20, "MACHINERY": 5}, "region": {"ASIA": 10}}), f"""WITH {HOMES}, r AS (SELECT household_id, segment, region, row_number() OVER (PARTITION BY segment ORDER BY {_rank('household_id')}, household_id) AS a, row_number() OVER (PARTITION BY region ORDER BY {_rank('household_id')}, household_id) AS b FROM homes)
+ SELECT household_id, segment, region FROM r WHERE (segment = 'BUILDING' AND a <= 20) OR (segment = 'MACHINERY' AND a <= 5) OR (region = 'ASIA' AND b <= 10)""")
 add("fixed_windows", lambda s, d: sequences.fixed_windows(_tokens(s, d).withColumn("seq", F.struct("ts", "event_id")), 12, "token", order="seq").select("household_id", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y")), f"""{_TOK}, w AS (SELECT household_id, ts, event_id, token, lead(token) OVER (PARTITION BY household_id ORDER BY ts, event_id) AS n, ((row_number() OVER (PARTITION BY household_id ORDER BY ts, event_id) - 1) // 12)::INTEGER AS block FROM t)
  SELECT household_id, block, string_agg(token::VARCHAR, ' ' ORDER BY ts, event_id) AS x, string_agg(n::VARCHAR, ' ' ORDER BY ts, event_id) AS y FROM w WHERE n IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 12""")
 add("month_windows", lambda s, d: sequences.month_windows(_tokens(s, d).withColumn("seq", F.struct("ts", "event_id")), 24, ["token", "half_hour", "dow"], ["token"], {"token": 17}, order="seq"))
