@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, features, filters, grade, privacy, splits, stats, vocab
+from ..functions.scalars import safe_corr
+from ..operators import compare, features, filters, grade, pairs, privacy, splits, stats, vocab
+from ..operators.shared import series_table
 
 
 def tokenise(readings: DataFrame, catalog: DataFrame, exporters: DataFrame, bins: dict[str, int], limit: float = 0.2, **options) -> tuple[DataFrame, DataFrame]:
@@ -34,13 +38,19 @@ def prepare(catalog: DataFrame, variables: list[str], k: int, val: int, test: in
     return {"catalog": kept, "report": report, "assignment": out, "dictionary": dictionary}
 
 
-def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1, 2, 4), exclusions: DataFrame | None = None, order: tuple[str, ...] = ("ts",), edges: dict[str, list[float]] | None = None) -> dict[str, DataFrame]:
+def evaluate(
+    readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1, 2, 4), exclusions: DataFrame | None = None, order: tuple[str, ...] = ("ts",),
+    edges: dict[str, list[float]] | None = None, temp: str | None = None, batches: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Report sections of readings with split: lazy DataFrames by name. Without real splits, comparisons are null.
 
-    edges: bin edges by fuel for the token section."""
+    Readings are stored once as a table bucketed by household, from which all sections of series come without a shuffle of theirs.
+    edges: bin edges by fuel for the token section. temp: a column of temperatures, for the sections ptg and correlations.
+    batches(batch_id, household_id, step, fuel, value): synthetic batches, for the section variance."""
     sections: dict[str, DataFrame] = {}
     if exclusions is not None:
         readings, sections["prefilter"] = privacy.prefilter(readings, exclusions)
+    readings = series_table(readings, order=order)
     series = ["split", "household_id", "month", "fuel"]
     sections["totals"] = readings.groupBy("split").agg(F.count_distinct("household_id").alias("households"), F.count_distinct("month").alias("months"))
     sections["marginal"] = stats.marginal_comparison(readings, "fuel")
@@ -65,6 +75,12 @@ def evaluate(readings: DataFrame, context: list[str], lags: tuple[int, ...] = (1
     sections["distances"] = compare.normalised(sections["distances"], readings.where("split = 'train'"), ["fuel"])
     if edges:
         sections["tokens"] = token_section(readings, edges)
+    if temp:
+        sections["ptg"] = stats.ptg(readings, "split", "fuel", temp=temp)
+        r = readings.groupBy("split", "household_id", "fuel").agg(safe_corr("value", temp).alias("r"))
+        sections["correlations"] = r.groupBy("split", "fuel").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count("r").alias("n"))
+    if batches is not None:
+        sections["variance"] = batch_variance(batches)
     sections["features"] = features.household_month_features(readings, series, list(order))
     sections["flags"] = flags(sections)
     sections["verdict"] = grade.verdict(sections["flags"])
@@ -86,12 +102,37 @@ def flags(s: dict[str, DataFrame]) -> DataFrame:
     ]
     moments = s["features"].groupBy("fuel", "split").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"))
     out += [grade.flags_from(wide(moments, ["fuel"], [m]), name(f"_{m}_ratio"), m) for m in ("mean", "std")]
+    if "ptg" in s:
+        slopes = wide(stats.ptg_slope(s["ptg"], "split", "fuel"), ["fuel"], ["slope"]).where("abs(slope_train) >= 1e-6 and slope_synth is not null")
+        out.append(grade.flags_from(slopes, name("_ptg_slope_diff"), "slope", "relative"))
+        r = wide(s["correlations"], ["fuel"], ["mean"]).where("mean_synth is not null and mean_train is not null")
+        out.append(grade.flags_from(r, name("_temp_correlation_diff"), "mean", "diff"))
+    if "variance" in s:  # a fixed test, without natural variation
+        report, none = features.variance_report(s["variance"]), F.lit(None).cast("double")
+        flagged = (F.col("medium") + F.col("high")).cast("double")
+        out.append(report.select(
+            F.lit("within_batch_variance").alias("metric"), "status", flagged.alias("value"), flagged.alias("deviation"),
+            *[none.alias(c) for c in ("train_val", "train_test", "val_test", "natural_variation")],
+        ))
     if "conditional" in s:
         cond = wide(s["conditional"], ["cond_var", "cond_value", "fuel"], ["mean", "n"])
         out.append(grade.worst_flag(cond, ["fuel"], name("_conditional_mean_ratio"), "mean", "n"))
     return grade.all_flags(*out)
 
 
+def batch_variance(batches: DataFrame) -> DataFrame:
+    """A row a batch: tests of its pairs by fuel, number of flags and severity."""
+    fuels = [r["fuel"] for r in batches.select("fuel").distinct().orderBy("fuel").collect()]  # a few
+    out = batches.select("batch_id").distinct()
+    for f in fuels:
+        own = batches.where(F.col("fuel") == f)
+        tests = [t(own, ["batch_id"]) for t in (pairs.batch_correlations, pairs.batch_distances, features.peak_diversity)]
+        part = reduce(lambda a, b: a.join(b, "batch_id", "full"), tests)
+        names = ("high_pairs", "mean_corr", "near_identical", "concentration")
+        out = out.join(part.select("batch_id", *[F.col(n).alias(f"{f}_{n}") for n in names]), "batch_id", "left")
+    return features.overfitting(out, tuple(fuels))
+
+
 def token_section(readings: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """(fuel, token, n_<split>, f_<split>, cdf_<split>) of values put into bins between edges."""
     out = None
@@ -110,9 +151,9 @@ def sanitised(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
     totals, marginal_counts, seasonal, weekly: counts of real splits are rounded. conditional: a group is suppressed if train
     or test or val has a small number of households. household_months: likewise across all splits, and rounded. tokens: bins
     that train has fewer than ten of lose all real values. profiles, monthly_profiles: their counts of values are dropped.
-    features and runs are about single households and are left out. The others hold no counts of households, or only of
+    features, runs and variance are about single households or batches and are left out. The others hold no counts of households, or only of
     synthetic ones, and stay. The input is not changed."""
-    out = {k: v for k, v in s.items() if k not in ("features", "runs")}
+    out = {k: v for k, v in s.items() if k not in ("features", "runs", "variance")}
     for k, counts in (("totals", ["households"]), ("marginal_counts", ["n"]), ("seasonal", ["n"]), ("weekly", ["n", "households"])):
         out[k] = privacy.real_rounded(out[k], counts)
     if "conditional" in out:

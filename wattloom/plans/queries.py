@@ -14,6 +14,7 @@ from ..sources.writers import wide_month
 from ..streaming.half_hours import resample
 from . import evaluate
 
+_STATUS_NV = "CASE WHEN natural_variation IS NULL OR deviation IS NULL THEN 'warn' WHEN deviation <= natural_variation THEN 'pass' WHEN deviation <= 3 * natural_variation THEN 'warn' ELSE 'fail' END"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -406,8 +407,6 @@ add("sdc_tokens", lambda s, d: _released(s, d)["tokens"], f"""{EVENTS}, r AS (SE
  c AS (SELECT split, fuel, gt.token, count(r.token) AS n FROM gt LEFT JOIN r USING (split, fuel, token) GROUP BY 1, 2, 3), q AS (SELECT *, n / sum(n) OVER (PARTITION BY split, fuel) AS f FROM c), x AS (SELECT *, sum(f) OVER (PARTITION BY split, fuel ORDER BY token) AS cdf FROM q),
  w AS (SELECT fuel, token, {_wide('n')}, {_wide('f')}, {_wide('cdf')} FROM x GROUP BY 1, 2), y AS (SELECT *, coalesce(n_train BETWEEN 1 AND 9, FALSE) AS small FROM w)
  SELECT fuel, token, n_synth, f_synth, cdf_synth, {', '.join(f"CASE WHEN NOT small THEN (round_even(n_{x} / 10.0, 0) * 10)::BIGINT END AS n_{x}" for x in ("train", "val", "test"))}, {', '.join(_hide(f"{v}_{x}") for v in ("f", "cdf") for x in ("train", "val", "test"))} FROM y""", " ".join(f"{v}_{x}" for v in ("f", "cdf") for x in ("synth", "train", "val", "test")))
-add("fidelity_flags", lambda s, d: _sections(s, d)["flags"])
-add("evaluation_verdict", lambda s, d: _sections(s, d)["verdict"])
 
 # splits, sequences, model
 _use = lambda s, d: E(s, d).groupBy("household_id").agg(F.avg("value").alias("use"))
@@ -472,3 +471,5 @@ def _tokenised(s: SparkSession, d: str) -> DataFrame:
 
 
 add("tokenise_plan", _tokenised)
+
+from . import reports  # noqa: E402, F401  it registers queries of its own
