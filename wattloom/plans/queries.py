@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, features, filters, generate, grade, pairs, privacy, sequences, splits, stats, vocab
+from ..operators.shared import shared_dir
 from ..sources import fixtures
+from ..sources.matrices import read_matrix, write_matrix
 from ..sources.readers import event_readings, household_metadata, join_metadata, line_readings, table, wide_to_long
 from ..sources.writers import wide_month
 from ..streaming.half_hours import resample
@@ -472,4 +475,14 @@ def _tokenised(s: SparkSession, d: str) -> DataFrame:
 
 add("tokenise_plan", _tokenised)
 
+
+def _feature_matrix(s: SparkSession, d: str) -> DataFrame:
+    """The standardised features as NumPy shards in the shared folder, read back."""
+    own, path = _z(s, d), f"{shared_dir(s)}/feature-matrix-{uuid.uuid4().hex}"
+    write_matrix(own, path)
+    return read_matrix(s, path, own.schema).select("split", "household_id", "month", *[F.col("x")[i].alias(c) for i, c in enumerate(_ZC)])
+
+
+add("feature_matrix", _feature_matrix, SQL["standardised_features"].split(" FROM (", 1)[1][:-1], " ".join(_ZC), 4)
+
 from . import reports  # noqa: E402, F401  it registers queries of its own

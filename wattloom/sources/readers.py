@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,43 @@ def readings(spark: SparkSession, path: str, columns: list[str] | None = None, h
     return out.select(*columns) if columns else out
 
 
+#: Names of files that hold no household; fixed values.
+OTHER_FILES = ("metadata", "catalog", "summary", "conditioning")
+
+
+def household_files(spark: SparkSession, folder: str, schema: str, patterns: tuple[str, ...] = ("*_tokenised.parquet", "*.parquet")) -> DataFrame:
+    """Readings stored a file a household: those of the first pattern that any file of a household matches, with household_id
+    from the file's name unless the schema has it. Spark prunes the files by their names; none of the others is opened."""
+    file = F.lower(F.col("_metadata.file_name"))
+    for pattern in patterns:
+        df = spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+        df = df.where(~file.rlike("|".join(OTHER_FILES)))
+        if df.select("_metadata.file_name").limit(1).count():
+            break
+    if "household_id" not in df.columns:
+        df = df.withColumn("household_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(_tokenised)?\.parquet$", 1))
+    return nan_to_null(df)
+
+
+def listed(readings: DataFrame, households: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(readings of the listed households only, listed households without readings).
+
+    A list of at most `most` ids becomes a filter: a table partitioned by household reads those partitions only. A longer one is
+    joined."""
+    ids = households.select("household_id").where("household_id is not null").distinct()
+    few = [r[0] for r in ids.limit(most + 1).collect()]
+    own = readings.where(F.col("household_id").isin(few)) if len(few) <= most else readings.join(ids, "household_id", "left_semi")
+    return own, ids.join(own.select("household_id"), "household_id", "left_anti")
+
+
+def household_list(spark: SparkSession, path: str) -> DataFrame | None:
+    """The households of the vocabulary at path; None where none were stored with it (all are used then)."""
+    try:
+        return spark.read.parquet(f"{path.rstrip('/')}_households")
+    except AnalysisException:
+        return None
+
+
 def some_households(df: DataFrame, n: int | None, seed: int = 42, key: str = "household_id") -> DataFrame:
     """The readings of n households chosen by a seeded hash: the same ones whatever the order of files."""
     if n is None:

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_tokens(df: DataFrame, path: str) -> None:
@@ -49,18 +50,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def section_rows(df: DataFrame, limit: int = 10_000) -> list[dict]:
-    """A report section as plain rows. Sections are small by construction; a larger one is an error, not a cut."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a report section has more than {limit} rows")
-    return [r.asDict(recursive=True) for r in rows]
+def write_report(sections: dict[str, DataFrame], path: str, **run) -> None:
+    """The results as JSON lines, a folder `section=<name>` a section, and the run's metadata as a section of its own.
 
+    Executors write the rows under Spark's commit protocol to whatever store the path names; the driver sees none of them."""
+    for name, df in sections.items():
+        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+        rows.write.mode("overwrite").text(f"{path}/section={name}")
+    if sections:
+        spark = next(iter(sections.values())).sparkSession
+        meta = run | {"written": datetime.now(timezone.utc).isoformat(), "sections": sorted(sections)}
+        spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/section=run")
 
-def report_json(sections: dict[str, DataFrame], path: str | None = None, **run) -> dict:
-    """{section: rows} with run metadata; written if a path is given."""
-    out = {"run": run | {"written": datetime.now(timezone.utc).isoformat()}} | {k: section_rows(v) for k, v in sections.items()}
-    if path:
-        with open(path, "w") as f:
-            json.dump(out, f, default=str, indent=1)
-    return out
+
+def read_report(spark: SparkSession, path: str, section: str, schema: str | StructType) -> DataFrame:
+    """One section of a written report."""
+    return spark.read.schema(schema).json(f"{path}/section={section}")
+
+
+def report_metadata(spark: SparkSession, path: str) -> dict:
+    """The run's metadata: one line."""
+    return json.loads(spark.read.text(f"{path}/section=run").first()["value"])
+
+
+def write_household_list(households: DataFrame, path: str) -> None:
+    """The households that a vocabulary was made from, beside it: tokenising is restricted to them."""
+    households.select("household_id").where("household_id is not null").distinct().write.mode("overwrite").parquet(f"{path.rstrip('/')}_households")
