@@ -130,9 +130,10 @@ def test_url_tree(spark, limit):
     assert url_filter.filter_urls(pages.limit(0), broadcast_rows=limit).count() == 0
 
 
+@pytest.mark.parametrize("search", [decontaminate.find_leaks, decontaminate.find_phrases])
 @pytest.mark.parametrize("limit", [500_000, 0])
-def test_leaks(spark, docs, benchmark, limit):
-    found = decontaminate.find_leaks(docs, benchmark.withColumn("ws", F.lit(1)), broadcast_rows=limit)
+def test_leaks(spark, docs, benchmark, limit, search):
+    found = search(docs, benchmark.withColumn("ws", F.lit(1)), broadcast_rows=limit)
     items = decontaminate.item_list(F.col("hits"))
     got = found.select("doc_id", "n_words", decontaminate.hit_words(F.col("hits")), F.size(items), F.sha2(F.array_join(items, ","), 256), F.size("hits") > 0).collect()
     own = texts(docs)
@@ -194,6 +195,32 @@ def test_long_and_self_repeating_items(spark):
     assert got[1]["hit"] == 20_000 and got[1]["items"] == ["7"] and got[2]["hit"] == 20_000 and got[2]["items"] == ["8"]
     assert got[3]["hit"] == 49 * 400 and got[3]["near"] == 20_000 and got[4]["hit"] == 0 and got[4]["near"] == 10
     assert got[5]["hit"] == 3000
+    whole = decontaminate.find_phrases(docs, items)
+    same = {r["doc_id"]: (r["hit"], r["items"]) for r in whole.select("doc_id", count("hits").alias("hit"), decontaminate.item_list(F.col("hits")).alias("items")).collect()}
+    assert same == {i: (r["hit"], r["items"]) for i, r in got.items()}
+
+
+def test_phrases_of_everyday_words(spark):
+    """Documents and items of the same twenty words: many places meet, few windows do."""
+    import random
+
+    rng = random.Random(8)
+    say = lambda n: [f"e{rng.randrange(20)}" for _ in range(n)]
+    items = [(i, say(60)) for i in range(40)] + [(40, say(4)), (41, say(1)), (42, say(2))]
+    rows = [(i, say(800)) for i in range(3)] + [(9, [*say(500), *items[7][1][11:30], *say(300)]), (10, say(5)), (None, say(12))]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    found = decontaminate.find_phrases(docs, bench)
+    listed = decontaminate.item_list(F.col("hits"))
+    got = found.select("doc_id", "n_words", decontaminate.hit_words(F.col("hits")), F.size(listed), F.sha2(F.array_join(listed, ","), 256), F.size("hits") > 0).collect()
+    want = brute.leaks([" ".join(ws) for _, ws in rows], [(i, " ".join(ws)) for i, ws in items])
+    assert by_key(map(tuple, got)) == by_key((i, *w) for (i, _), w in zip(rows, want))
+
+
+@pytest.mark.parametrize("search", [decontaminate.find_leaks, decontaminate.find_phrases])
+def test_leaks_of_empty_tables(docs, benchmark, search):
+    assert search(docs.where("false"), benchmark).count() == 0
+    assert search(docs, benchmark.where("false")).where("size(hits) > 0").count() == 0
 
 
 def test_proximity_query(spark, folder):

@@ -20,6 +20,8 @@ term or row. Nothing grows with pairs of documents.
 Nulls: a null text has no words; a null doc_id is a key like any other; a null item_id counts as the id "". Items or
 documents without words match nothing. Equal rows share candidates. Repeated items count once per item_id. Empty tables
 give empty results or no hits. Other columns are not read.
+
+Where only exact hits are asked for, ``find_phrases`` finds them over an index of fewer terms, chosen by counts taken first.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ WIDTH = 10
 NEAR = 8
 #: Rarest words that a window names beyond those that may differ.
 MORE = 3
+#: Rarest words that a window names where nothing may differ.
+PHRASE = 2
 #: Diagonals that are grouped.
 BAND = 4
 
@@ -61,8 +65,8 @@ def spare(w: Column, width: int = WIDTH, near: int = NEAR) -> Column:
     return F.floor(w * (width - near) / width).cast("int")
 
 
-def rare_places(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR) -> DataFrame:
-    """(k, need, place, t): the places in the item that are, for some window, among its rarest, MORE more than may differ.
+def rare_places(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int = NEAR, more: int = MORE) -> DataFrame:
+    """(k, need, place, t): the places in the item that are, for some window, among its rarest, `more` more than may differ.
 
     tf: (term, t, tf). Windows with more words that never occur than may differ are left out. need: of these places, how
     many at least a match of any window that holds this place has. Ties go to the earlier."""
@@ -75,7 +79,7 @@ def rare_places(items: DataFrame, tf: DataFrame, width: int = WIDTH, near: int =
     each = placed.groupBy("k", "w", "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "t"))).alias("r"))
     may = spare(F.col("w"), width, near)  # r: at most `width` words
     each = each.withColumn("spare", may - F.size(F.filter("r", lambda x: x["tf"] == 0))).where("spare >= 0")
-    rarest = F.filter(F.slice("r", F.lit(1), may + MORE), lambda x: x["tf"] > 0)
+    rarest = F.filter(F.slice("r", F.lit(1), may + more), lambda x: x["tf"] > 0)
     places = each.select("k", F.explode(F.transform(rarest, lambda x: F.struct((F.col("s") + x["i"]).alias("place"), x["t"].alias("t")))).alias("x")).select("k", "x.*").distinct()
     inside = each.select("k", "spare", "s", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("w") - 1)).alias("place")).join(places, ["k", "place"])
     chosen = F.count(F.lit(1)).over(Window.partitionBy("k", "s"))  # at most `width` rows
@@ -190,6 +194,47 @@ def find_leaks(
     return restore(out.select(*names, "n_words", "hits", F.filter("_near", lambda x: ~covered(x)).alias("near")), "n_words", "hits", "near")
 
 
+def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with the columns n_words and hits as of find_leaks: exact phrases only, from a smaller index.
+
+    The corpus frequencies of the benchmark's words are counted first. Only postings of words that are among the PHRASE rarest of
+    some window are stored then; a diagonal is a candidate if all such places of a window meet on it. Candidates carry hashes of
+    the item's words, and runs of equal hashes of a window or more are the hits (64 bits a word, ten of them a window)."""
+    docs, restore = shielded(docs, "doc_id", "text")
+    names = docs.columns
+    row = F.xxhash64("doc_id", "text")
+    items = stored(items_of(benchmark), "bench-items")
+    terms = stored(items.select(F.explode("ws").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "bench-terms")
+    tokens = docs.select(F.explode(words(F.col("text"))).alias("term")).join(sized(terms, broadcast_rows), "term")
+    tf = tokens.groupBy("term", "t").agg(F.count(F.lit(1)).alias("tf"))
+    places = stored(rare_places(items, tf, width, width, PHRASE), "bench-windows")
+    chosen = terms.join(places.select("t").distinct(), "t", "left_semi")
+    index = stored(postings(docs.select(row.alias("row"), "text"), chosen, broadcast_rows), "positional-index")
+    on = index.join(sized(places, broadcast_rows), "t").withColumn("diag", F.col("pos") - F.col("place"))
+    found = on.groupBy("row", "k", "diag").agg(
+        F.min("need").alias("need"), F.min("place").alias("p"), F.max("place").alias("q"), F.count(F.lit(1)).alias("n")
+    ).where("n >= need")
+    hashed = items.select("k", "item", F.size("ws").alias("size"), F.transform("ws", lambda x: F.xxhash64(x)).alias("hs"))
+    found = found.join(sized(hashed, broadcast_rows), "k")
+    first, last = F.greatest(F.col("p") - (width - 1), F.lit(0)), F.least(F.col("q") + width, F.col("size"))
+    one = F.struct("item", F.least(F.lit(width), F.col("size")).alias("w"), (F.col("diag") + first).alias("at"), F.slice("hs", first + 1, last - first).alias("hs"))
+    lists = stored(found.select("row", one.alias("c")).groupBy(F.col("row").alias("_row")).agg(F.collect_list("c").alias("_cands")), "bench-candidates")
+    discard(index, places, terms, items)
+    out = docs.join(sized(lists, broadcast_rows), row == F.col("_row"), "left")
+    out = out.select(*names, "_cands", words(F.coalesce("text", F.lit(""))).alias("_ws"))
+
+    def spans(c: Column, own: Column) -> Column:
+        same = F.transform(c["hs"], lambda h, i: F.coalesce(F.get(own, c["at"] + i) == h, F.lit(False)))
+        tell = lambda x: F.struct(c["item"].alias("item"), (c["at"] + x["start"]).alias("start"), (c["at"] + x["end"]).alias("end"))
+        return _let(same, lambda flags: F.transform(_runs(flags, c["w"]), tell))
+
+    # the document's hashes are bound once: as a column they would be made anew for each word they are compared with
+    found = _let(F.transform("_ws", lambda x: F.xxhash64(x)), lambda own: F.flatten(F.transform("_cands", lambda c: spans(c, own))))
+    hits = F.when(F.col("_cands").isNotNull(), F.array_distinct(found))
+    out = out.select(*names, F.size("_ws").cast("long").alias("n_words"), F.coalesce(hits, F.array()).cast(_SPANS).alias("hits"))
+    return restore(out, "n_words", "hits")
+
+
 def hit_words(hits: Column) -> Column:
     """Number of distinct words inside any hit."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
@@ -208,5 +253,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without any exact hit, with their columns."""
     docs, restore = shielded(docs, "doc_id", "text")
     # a row number in the test keeps it from being moved below, where the words of a text would be cut anew for each comparison
-    found = find_leaks(docs, benchmark, **options).withColumn("_row", F.monotonically_increasing_id())
+    found = find_phrases(docs, benchmark, **options).withColumn("_row", F.monotonically_increasing_id())
     return restore(found.where((F.size("hits") == 0) & (F.col("_row") >= 0)))

@@ -40,7 +40,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    found = decontaminate.find_phrases(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
     items = decontaminate.item_list(F.col("hits"))
     found = found.select("doc_id", "n_words", "hits", items.alias("items"))
     return found.select(
