@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, features, filters, generate, grade, pairs, privacy, sequences, splits, stats, vocab
+from ..operators import compare, features, filters, generate, grade, pairs, privacy, sequences, splits, stats, training, vocab
 from ..operators.shared import shared_dir
 from ..sources import fixtures
 from ..sources.matrices import read_matrix, write_matrix
@@ -447,13 +447,58 @@ add("cross_entropy", lambda s, d: sequences.cross_entropy(sequences.probabilitie
 add("value_metrics", lambda s, d: sequences.value_metrics(_tokens(s, d).select("token", F.greatest(F.col("token") - 1, F.lit(0)).alias("predicted"), "value", (F.col("value") * 0.9).alias("expected"))), f"{_TOK} SELECT count(*) AS n, avg(greatest(token - 1, 0) - token) AS token_bias, avg(abs(greatest(token - 1, 0) - token)) AS token_mad, avg(abs(value * 0.9 - value)) AS mae, avg(value * 0.9) / avg(value) AS mean_ratio FROM t", "token_bias token_mad mae mean_ratio")
 
 
-def _generated(s: SparkSession, d: str) -> DataFrame:
-    model = sequences.transitions(_tr(s, d, "train"), ["dow"], order="seq")
-    steps = s.range(4).select(F.col("id").cast("int").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(335))).alias("pos")).withColumn("dow", F.floor(F.col("pos") / 48).cast("int"))
-    return generate.generate(steps, model, ["dow"], 16, ["sample_id"])
+def _day_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of clicks and views as the two fuels, a row a household and day that has both; ten days stand for a month."""
+    mean = lambda f: F.avg(F.when(F.col("fuel") == f, F.col("value")))
+    days = E(s, d).groupBy("household_id", "split", F.dayofmonth("ts").alias("day")).agg(mean("click").alias("e"), mean("view").alias("g")).where("e is not null and g is not null")
+    token = lambda c: F.least(F.floor(F.col(c) / 20), F.lit(7)).cast("int")
+    return days.select("household_id", "split", F.floor((F.col("day") - 1) / 10).cast("int").alias("month"), "day", (F.col("day") % 2).alias("odd"), token("e").alias("elec"), token("g").alias("gas"), (F.col("household_id") % 6).alias("shard"))
+
+
+_DAYS = f"""{EVENTS}, dy AS (SELECT household_id, split, CAST(day(ts) AS INTEGER) AS day, avg(CASE WHEN fuel = 'click' THEN value END) AS e, avg(CASE WHEN fuel = 'view' THEN value END) AS g FROM readings GROUP BY 1, 2, 3),
+ tok AS (SELECT household_id, split, (day - 1) // 10 AS month, day, day % 2 AS odd, CAST(least(floor(e / 20), 7) AS INTEGER) AS elec, CAST(least(floor(g / 20), 7) AS INTEGER) AS gas, household_id % 6 AS shard FROM dy WHERE e IS NOT NULL AND g IS NOT NULL)"""
+_joint = lambda s, d: generate.joint_transitions(_day_tokens(s, d).where("split = 'train'"), ["month"], ["odd"], ["household_id"], "day")
+_JOINT = f"""{_DAYS}, lg AS (SELECT month, odd, elec, gas, lag(elec) OVER w AS pe, lag(gas) OVER w AS pg FROM tok WHERE split = 'train' WINDOW w AS (PARTITION BY household_id ORDER BY day)),
+ jt AS (SELECT month, odd, fuel, pe AS prev_elec, pg AS prev_gas, next, count(*) AS n FROM (SELECT *, 'elec' AS fuel, elec AS next FROM lg UNION ALL SELECT *, 'gas', gas FROM lg) WHERE pe IS NOT NULL GROUP BY ALL)"""
+add("joint_transitions", _joint, f"{_JOINT} SELECT * FROM jt")
 
 
-add("generated_week", _generated)
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    """Each test household's days as the steps of a sample, by month."""
+    own = _day_tokens(s, d).where("split = 'test'").select(F.col("household_id").alias("sample_id"), "month", "day", "odd")
+    return own.withColumn("pos", F.row_number().over(Window.partitionBy("sample_id", "month").orderBy("day")) - 1)
+
+
+def _generated(s: SparkSession, d: str) -> DataFrame:
+    return generate.generate(_steps(s, d), _joint(s, d), ["month"], ["odd"], {"elec": 8, "gas": 8})
+
+
+_cdf = lambda name, state: f"""{name} AS (SELECT {state}, next, (sum(k) OVER w - k) / sum(k) OVER (PARTITION BY {state}) AS lo, sum(k) OVER w / sum(k) OVER (PARTITION BY {state}) AS hi FROM
+  (SELECT {state}, next, sum(n) AS k FROM own GROUP BY ALL) WINDOW w AS (PARTITION BY {state} ORDER BY next))"""
+_unit = lambda fuel: f"(CAST('0x' || substr(md5(concat_ws(':', st.sample_id, st.month, st.pos, '{fuel}', 42)), 1, 12) AS BIGINT) / 281474976710656.0)"
+_pick = lambda fuel, own: " ".join(
+    f"LEFT JOIN {t} AS {t}_{fuel} ON {t}_{fuel}.fuel = '{fuel}' AND {t}_{fuel}.month = st.month AND {t}_{fuel}.odd = st.odd{state} AND {_unit(fuel)} >= {t}_{fuel}.lo AND {_unit(fuel)} < {t}_{fuel}.hi"
+    for t, state in (("c0", f" AND c0_{fuel}.prev_elec = g.elec AND c0_{fuel}.prev_gas = g.gas"), ("c1", f" AND c1_{fuel}.own = g.{own}"), ("c2", ""))
+)
+_token = lambda fuel: f"CAST(coalesce(c0_{fuel}.next, c1_{fuel}.next, c2_{fuel}.next, floor({_unit(fuel)} * 8)) AS INTEGER)"
+_GENERATED = f"""{_JOINT.replace('WITH ', 'WITH RECURSIVE ', 1)}, own AS (SELECT *, CASE fuel WHEN 'elec' THEN prev_elec ELSE prev_gas END AS own FROM jt WHERE next BETWEEN 0 AND 7),
+ {_cdf('c0', 'month, odd, fuel, prev_elec, prev_gas')}, {_cdf('c1', 'month, odd, fuel, own')}, {_cdf('c2', 'month, odd, fuel')},
+ st AS (SELECT household_id AS sample_id, month, day, odd, row_number() OVER (PARTITION BY household_id, month ORDER BY day) - 1 AS pos FROM tok WHERE split = 'test'),
+ g AS (SELECT DISTINCT sample_id, month, CAST(NULL AS INTEGER) AS day, CAST(NULL AS INTEGER) AS odd, CAST(-1 AS BIGINT) AS pos, 0 AS elec, 0 AS gas FROM st
+  UNION ALL SELECT st.sample_id, st.month, st.day, st.odd, st.pos, {_token('elec')}, {_token('gas')} FROM g JOIN st ON st.sample_id = g.sample_id AND st.month = g.month AND st.pos = g.pos + 1 {_pick('elec', 'elec')} {_pick('gas', 'gas')})
+ SELECT sample_id, month, day, odd, CAST(pos AS INTEGER) AS pos, elec, gas FROM g WHERE pos >= 0"""
+add("generated_week", _generated, _GENERATED)
+_counts = lambda s, d: training.shard_transitions(_day_tokens(s, d).where("split = 'train'"), ["month"], order="day", token="elec")
+_held = lambda s, d: sequences.transitions(_day_tokens(s, d).where("split = 'val'"), ["month"], token="elec", order="day")
+_at = lambda keys, wanted: f"(SELECT coalesce(sum(n), 0) FROM tr t JOIN ep x USING (shard) WHERE x.epoch <= e.epoch AND {' AND '.join(f't.{k} = h.{k}' for k in keys.split())})"
+_LOSSES = f"""{_DAYS}, pt AS (SELECT split, shard, month, lag(elec) OVER (PARTITION BY household_id ORDER BY day) AS prev, elec AS next FROM tok),
+ tr AS (SELECT shard, month, prev, next, count(*) AS n FROM pt WHERE split = 'train' AND prev IS NOT NULL GROUP BY ALL), held AS (SELECT month, prev, next, count(*) AS k FROM pt WHERE split = 'val' AND prev IS NOT NULL GROUP BY ALL),
+ ep AS (SELECT shard, row_number() OVER (ORDER BY {_rank('shard')}, shard) AS epoch FROM (SELECT DISTINCT shard FROM tr)),
+ pp AS (SELECT e.epoch, e.shard, h.k, {_at('month prev next', 1)} AS n1, {_at('month prev', 1)} AS t1, {_at('prev next', 1)} AS n0, {_at('prev', 1)} AS t0 FROM ep e, held h),
+ lo AS (SELECT epoch, shard, -sum(ln((n1 + 2 * ((n0 + 2 / 8) / (t0 + 2))) / (t1 + 2)) * k) / sum(k) AS loss FROM pp GROUP BY 1, 2)"""
+add("training_losses", lambda s, d: training.losses(_counts(s, d), _held(s, d), ["month"], 8), f"{_LOSSES} SELECT CAST(epoch AS INTEGER) AS epoch, shard, (SELECT sum(n)::BIGINT FROM tr JOIN ep x USING (shard) WHERE x.epoch <= lo.epoch) AS n_train, loss FROM lo", "loss")
+add("trained_model", lambda s, d: training.train(_counts(s, d), _held(s, d), ["month"], 8, patience=99)[0], f"""{_LOSSES}, b AS (SELECT epoch FROM lo ORDER BY round(loss, 12), epoch LIMIT 1)
+ SELECT month, prev, next, sum(n)::BIGINT AS n FROM tr JOIN ep USING (shard) WHERE ep.epoch <= (SELECT epoch FROM b) GROUP BY 1, 2, 3""")
 add("fixture_readings", lambda s, d: fixtures.readings(fixtures.household_ids(s, 2)))
 
 
