@@ -61,3 +61,37 @@ def test_small_groups_are_suppressed(readings):
     hist = extracts.volatility_histogram(stats.differences(few, SERIES, ["ts"]), s)
     assert hist.groupBy("fuel").count().where("count <> 79").count() == 0
     assert hist.where("suppressed and (synth_count is not null or train_density is not null)").count() == 0
+
+
+def test_suite_goes_on_after_a_failure(readings):
+    from wattloom.plans.diagnostics import suite
+
+    edges = {"gas": [0.0, 30.0, 60.0, 1e9], "electricity": [0.0, 10.0, 90.0, 1e9]}
+
+    def keep(name, df):
+        if name == "daily_patterns.weekly":
+            raise OSError("disk\nfull")
+        return df.cache()
+
+    report, tables = suite(readings, ["segment"], edges, length=10, keep=keep)
+    rows = report.collect()
+    assert {r["diagnostic"]: (r["status"], r["error"]) for r in rows} == {
+        "collapse": ("completed", None), "daily_patterns": ("failed", "OSError: disk"), "household_month_fidelity": ("completed", None), "token_distribution": ("completed", None)
+    }
+    assert not any(k.startswith("daily") for k in tables) and tables["token_distribution.gaps"].count() == 2
+    lone, _ = suite(readings.where("split = 'synth'"), [], None, length=10)
+    assert {r["diagnostic"] for r in lone.where("status = 'failed'").collect()} == {"token_distribution"}
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_quantiles_of_many_groups(spark, rows, monkeypatch):
+    import numpy as np
+
+    from wattloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(1)
+    data = [(int(g), float(v)) for g, v in zip(rng.integers(0, 40, 3000), rng.normal(size=3000))] + [(99, None), (7, None)]
+    got = {r["g"]: (r["a"], r["b"]) for r in ranks.quantiles(spark.createDataFrame(data, "g int, v double"), ["g"], "v", {"a": 0.1, "b": 0.9}).collect()}
+    for g in range(40):
+        assert np.allclose(got[g], np.quantile([v for k, v in data if k == g and v is not None], [0.1, 0.9]))

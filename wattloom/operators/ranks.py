@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group is dealt into.
-RANGES = 64
+from .shared import stored
+
+#: Ranges that a group is dealt into; rows of ranges, counted, up to which they are broadcast.
+RANGES, BROADCAST_ROWS = 64, 500_000
 
 
 def running(df: DataFrame, by: list[str], value: str, counts: list[str], ranges: int = RANGES) -> DataFrame:
@@ -18,8 +20,10 @@ def running(df: DataFrame, by: list[str], value: str, counts: list[str], ranges:
     keys = by or ["_one"]
     df = df if by else df.withColumn("_one", F.lit(0))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 2000).alias("_cuts"))
+    cuts = stored(cuts, "range-cuts") if by else cuts  # without groups one row
+    own = F.broadcast if not by or cuts.count() * ranges <= BROADCAST_ROWS else (lambda x: x)
     v = F.col(value)
-    dealt = df.join(F.broadcast(cuts), keys).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")  # a row a group
+    dealt = df.join(own(cuts), keys).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")  # a row a group
     parts = dealt.groupBy(*keys, "_r").agg(*[F.sum(c).alias(f"_{c}") for c in counts], F.min(value).alias("_least"))
     w = Window.partitionBy(*keys).orderBy("_r")  # at most `ranges` rows a group
     whole = Window.partitionBy(*keys)
@@ -27,12 +31,12 @@ def running(df: DataFrame, by: list[str], value: str, counts: list[str], ranges:
         *keys, "_r", F.lead("_least").over(w).alias("_after"),
         *[(F.sum(f"_{c}").over(w) - F.col(f"_{c}")).alias(f"_{c}_before") for c in counts], *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in counts],
     )
-    own = Window.partitionBy(*keys, "_r").orderBy(value)
-    out = dealt.join(F.broadcast(parts), [*keys, "_r"])  # `ranges` rows a group
-    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "_r").orderBy(value)
+    out = dealt.join(own(parts), [*keys, "_r"])  # `ranges` rows a group
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return out.select(
         *df.columns, *[(F.col(f"_{c}_before") + F.sum(c).over(upto)).alias(f"{c}_upto") for c in counts], *[f"{c}_all" for c in counts],
-        F.coalesce(F.lead(value).over(own), F.col("_after")).alias(f"{value}_next"),
+        F.coalesce(F.lead(value).over(inside), F.col("_after")).alias(f"{value}_next"),
     ).drop("_one")
 
 

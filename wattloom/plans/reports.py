@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import privacy, stats
-from . import evaluate, extracts
+from ..operators import stats
+from . import diagnostics, evaluate, extracts
 from .queries import _STATUS_NV, E, EVENTS, H, HOMES, _Q7, add
 
 ORDER = ("ts", "event_id")
@@ -129,3 +129,39 @@ add("extract_volatility_histogram", lambda s, d: extracts.volatility_histogram(s
     "bin_left bin_right synth_density train_density test_density")
 add("extract_ptg", lambda s, d: extracts.ptg(sections(s, d)), f"{_E}, {_PTG}, {_N} SELECT fuel, split, month, temperature AS mean_temperature, consumption AS mean_consumption, n_households FROM ptg JOIN own USING (split)", "mean_temperature mean_consumption")
 add("extract_seasonal", lambda s, d: extracts.seasonal(sections(s, d)), f"{_E}, {_SEASON}, {_N} SELECT fuel, split, month, mean, median, sd AS std, low AS ci_lower, high AS ci_upper, n_households FROM se JOIN own USING (split)", "mean median std ci_lower ci_upper")
+
+# diagnostics
+_HMF = f"""{_E}, hm AS (SELECT split, fuel, household_id, month, segment, region, avg(value) AS v FROM e GROUP BY ALL HAVING avg(value) IS NOT NULL),
+ lg AS (SELECT split, fuel, household_id, v, CAST(NULL AS VARCHAR) AS cond_var, CAST(NULL AS VARCHAR) AS cond_value FROM hm UNION ALL SELECT split, fuel, household_id, v, 'segment', segment FROM hm WHERE segment IS NOT NULL
+  UNION ALL SELECT split, fuel, household_id, v, 'region', region FROM hm WHERE region IS NOT NULL),
+ hmf AS (SELECT fuel, split, cond_var, cond_value, count(*) AS n, count(DISTINCT household_id) AS households, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS sd, coalesce(stddev_samp(v), 0) / sqrt(count(*)) AS se,
+  avg(v) - 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)) AS low, avg(v) + 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)) AS high, {', '.join(f'quantile_cont(v, {q / 100}) AS q{q}' for q in diagnostics.SHARES)} FROM lg GROUP BY 1, 2, 3, 4)"""
+add("household_month_fidelity", lambda s, d: diagnostics.household_month_fidelity(_readings(s, d), ["segment", "region"]), f"{_HMF} SELECT * FROM hmf", "mean sd se low high q20 q40 q60 q80")
+_TOKEN = "CAST(least(floor(value / 25), 7) AS INTEGER)"
+
+
+def _week_tokens(s: SparkSession, d: str) -> DataFrame:
+    own = E(s, d).withColumn("token", F.least(F.floor(F.col("value") / 25), F.lit(7)).cast("int"))
+    weeks = own.where("split = 'synth'").withColumn("week", (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("int"))
+    means = s.range(8).select(F.col("id").cast("int").alias("token"), (F.col("id") * 25 + 12.5).alias("value"))
+    return diagnostics.weekly_tokens(weeks, own.where("split = 'train'"), 8, means)
+
+
+add("weekly_token_metrics", _week_tokens, f"""{EVENTS}, t AS (SELECT CAST((day(ts) - 1) // 7 + 1 AS INTEGER) AS week, {_TOKEN} AS token FROM readings WHERE split = 'synth' UNION ALL SELECT 0, {_TOKEN} FROM readings WHERE split = 'train'),
+ fq AS (SELECT week, token, n, n / sum(n) OVER (PARTITION BY week) AS f FROM (SELECT w.week, b AS token, count(t.token) AS n FROM (SELECT DISTINCT week FROM t) w CROSS JOIN range(8) r(b) LEFT JOIN t ON t.week = w.week AND t.token = b GROUP BY 1, 2)),
+ m AS (SELECT week, sum(n)::BIGINT AS n, stddev_pop(f) AS sd, sum(CASE WHEN token < 4 THEN f ELSE 0 END) AS lower_half, sum(CASE WHEN token >= 4 THEN f ELSE 0 END) AS upper_half, -sum(CASE WHEN f > 0 THEN f * log2(f) ELSE 0 END) AS entropy,
+  sum(f * (token * 25 + 12.5)) AS implied_mean FROM fq GROUP BY 1)
+ SELECT m.*, m.entropy - b.entropy AS entropy_diff, m.implied_mean - b.implied_mean AS mean_diff FROM m, (SELECT * FROM m WHERE week = 0) b""", "sd lower_half upper_half entropy implied_mean entropy_diff mean_diff")
+add("daily_pattern_findings", lambda s, d: diagnostics.daily_patterns(_readings(s, d), ORDER, 12)["findings"], f"""{_E}, p AS (SELECT fuel, half_hour, avg(CASE WHEN split = 'synth' THEN value END) AS x, avg(CASE WHEN split = 'train' THEN value END) AS y FROM e GROUP BY 1, 2),
+ c AS (SELECT fuel, (stddev_pop(x) / avg(x)) / (stddev_pop(y) / avg(y)) AS cv_ratio, covar_pop(x, y) / nullif(stddev_pop(CASE WHEN y IS NOT NULL THEN x END) * stddev_pop(CASE WHEN x IS NOT NULL THEN y END), 0) AS corr, (max(x) - min(x)) / (max(y) - min(y)) AS amplitude FROM p GROUP BY 1)
+ SELECT *, concat_ws('; ', CASE WHEN cv_ratio < 0.5 THEN 'flat' END, CASE WHEN corr < 0.5 THEN 'shape mismatch' END, CASE WHEN amplitude < 0.7 THEN 'reduced amplitude' END) AS findings FROM c""", "cv_ratio corr amplitude")
+_count = lambda name, position, result, n: f"SELECT '{name}' AS diagnostic, {position} AS position, 'completed' AS status, '{result}' AS result, ({n}) AS rows, CAST(NULL AS VARCHAR) AS error"
+_groups = lambda keys, where="value IS NOT NULL", source="e": f"SELECT count(*) FROM (SELECT DISTINCT {keys} FROM {source} WHERE {where})"
+_SUITE = " UNION ALL ".join([
+    _count("collapse", 1, "seasonal", _groups("split, fuel, month")), _count("collapse", 1, "collapse", _groups("split, fuel")), _count("daily_patterns", 2, "profile", _groups("split, fuel, half_hour", "true")),
+    _count("daily_patterns", 2, "patterns", _groups("split, fuel", "true")), _count("daily_patterns", 2, "findings", _groups("fuel", "true")), _count("daily_patterns", 2, "weekly", _groups("split, fuel, week", "true", "wk")),
+    _count("daily_patterns", 2, "degraded", _groups("split, fuel", "week = 1", "wk")), _count("household_month_fidelity", 3, "household_months", "SELECT count(*) FROM hmf"),
+    "SELECT 'token_distribution', 4, 'failed', CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), 'ValueError: bin edges are needed for the token distribution'",
+])
+add("diagnostics_suite", lambda s, d: diagnostics.suite(_readings(s, d), ["segment", "region"], None, ORDER, 12)[0], f"""{_HMF}, wk AS (SELECT *, (row_number() OVER (PARTITION BY split, household_id, fuel ORDER BY ts, event_id) - 1) // 12 + 1 AS week FROM e)
+ SELECT diagnostic, CAST(position AS INTEGER) AS position, status, result, rows, error FROM ({_SUITE})""")
