@@ -105,3 +105,30 @@ def test_training(spark):
     best = min(range(1, stop + 1), key=lambda e: (want[e], e))
     assert [r["epoch"] for r in rows if r["is_best"]] == [best]
     assert model.agg({"n": "sum"}).first()[0] == sum(r[4] for r in train if r[0] in order[:best])
+
+
+def test_whole_run(spark, tokens, tmp_path):
+    from wattloom.plans import synthesis
+
+    _, df = tokens
+    df = df.withColumn("month", (df["ts"] / 20).cast("int") + 1)
+    means = spark.createDataFrame([(f, t, t * 10.0) for f in generate.FUELS for t in range(5)], "fuel string, token int, value double")
+    pool = df.select("household_id").distinct().where("household_id < 5")
+    made = synthesis.run(pool, df, df.where("household_id > 8").select("household_id", "month", "ts", "kind", "slot"), means, 12, BINS, ["kind"], ["slot"])
+    samples = made["samples"].collect()
+    assert len({r["sample_id"] for r in samples}) == 12 and {r["template_id"] for r in samples} <= {9, 10, 11}
+    assert made["series"].count() == 12 * 40 and made["summary"].where("failed or months <> 2 or steps <> 40").count() == 0
+    assert made["series"].where("elec > 4 or gas > 3").count() == 0
+    synthesis.write(made, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run" / "values")).count() == 12 * 40 * 2
+    assert synthesis.run(pool.where("false"), df, df.select("household_id", "month", "ts", "kind", "slot"), means, 12, BINS, ["kind"], ["slot"])["series"].count() == 0
+
+
+def test_vocabulary_edges_and_tuples(spark):
+    from wattloom.sources import readers
+
+    vocab = spark.createDataFrame([("gas", [1.0, 2.0]), ("electricity", None)], "modality string, boundaries array<double>")
+    assert readers.bin_edges(vocab) == {"gas": [-math.inf, 1.0, 2.0, math.inf]} and readers.bin_edges(None) is None and readers.bin_edges(vocab.drop("boundaries")) is None
+    survey = spark.createDataFrame([("a", 3, None), ("b", None, 2)], "PUPRN string, B5 int, C1_new int")
+    assert {tuple(r) for r in readers.context_tuples(survey).collect()} == {("a", 3, 0), ("b", 0, 2)}
+    assert [tuple(r) for r in readers.survey_row(survey, "b", ["B5"]).collect()] == [("b", None)]

@@ -86,6 +86,7 @@ def generate(
     sizes = steps.groupBy(*keys).agg(F.count_distinct("sample_id", "month").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / part).cast("int")).drop("_n")
     dealt = steps.join(sizes, keys).withColumn("_part", F.pmod(F.xxhash64("sample_id", "month"), F.col("_parts"))).drop("_parts")
     slices = model.join(sizes, keys).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - F.lit(1).cast("long")))).drop("_parts")
+    slices = slices.select(*[F.col(c).alias(c) for c in slices.columns])  # columns of its own, should both come from one table
     names = [c for c in dealt.columns if c not in ("_part", "_all")]
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", elec int, gas int"

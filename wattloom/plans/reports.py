@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from . import diagnostics, evaluate, extracts
-from .queries import _STATUS_NV, E, EVENTS, H, HOMES, _Q7, add
+from ..sources.readers import context_tuples, table
+from . import diagnostics, evaluate, extracts, synthesis
+from .queries import _DAYS, _STATUS_NV, E, EVENTS, H, HOMES, _day_tokens, _Q7, _rank, add
 
 ORDER = ("ts", "event_id")
 SERIES = ["split", "household_id", "month", "fuel"]
@@ -165,3 +166,24 @@ _SUITE = " UNION ALL ".join([
 ])
 add("diagnostics_suite", lambda s, d: diagnostics.suite(_readings(s, d), ["segment", "region"], None, ORDER, 12)[0], f"""{_HMF}, wk AS (SELECT *, (row_number() OVER (PARTITION BY split, household_id, fuel ORDER BY ts, event_id) - 1) // 12 + 1 AS week FROM e)
  SELECT diagnostic, CAST(position AS INTEGER) AS position, status, result, rows, error FROM ({_SUITE})""")
+
+# a generation run, context tuples
+
+
+def _run(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    days = _day_tokens(s, d)
+    train = days.where("split = 'train'")
+    pool = days.where("split = 'test'").select("household_id").distinct()
+    means = s.range(8).select(F.col("id").cast("int").alias("token"), (F.col("id") * 20 + 10.0).alias("value"), F.explode(F.array(F.lit("elec"), F.lit("gas"))).alias("fuel"))
+    return synthesis.run(pool, train, train.select("household_id", "month", "day", "odd"), means, 60, {"elec": 8, "gas": 8}, ["month"], ["odd"], order="day")
+
+
+_RUN = f"""{_DAYS}, pool AS (SELECT DISTINCT household_id FROM tok WHERE split = 'test'), k AS (SELECT count(*) AS have FROM pool),
+ cp AS (SELECT household_id, c FROM pool, k, range(60) t(c) WHERE c < greatest(1, ceil(60.0 / greatest(have, 1)))),
+ sm AS (SELECT household_id || '-' || c AS sample_id FROM cp ORDER BY c, {_rank('household_id')}, household_id LIMIT 60),
+ tp AS (SELECT household_id, row_number() OVER (ORDER BY {_rank('household_id')}, household_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT household_id FROM tok WHERE split = 'train')),
+ pk AS (SELECT sample_id, household_id AS template_id FROM sm JOIN tp ON r = {_rank('sample_id')} % n)"""
+add("synthesis_samples", lambda s, d: _run(s, d)["samples"].select("sample_id", "template_id"), f"{_RUN} SELECT * FROM pk")
+add("synthesis_summary", lambda s, d: _run(s, d)["summary"], f"""{_RUN} SELECT sample_id, count(DISTINCT month) AS months, count(*) AS steps, false AS failed FROM pk JOIN tok ON household_id = template_id GROUP BY 1""")
+add("context_tuples", lambda s, d: context_tuples(table(s, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")).alias("B5"), F.lit(None).cast("int").alias("C1_new")), H(s, d), "val", key="c_custkey"),
+    "SELECT c_custkey AS household_id, CASE WHEN c_nationkey > 4 THEN c_nationkey ELSE 0 END AS B5, 0 AS C1_new FROM customer WHERE c_custkey % 4 = 2")

@@ -164,6 +164,29 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", *[F.expr(e).alias(c) for c, e in defaults.items() if c not in df.columns])
 
 
+def bin_edges(vocab: DataFrame | None) -> dict[str, list[float]] | None:
+    """{modality: edges of its bins} of a stored vocabulary, the outer ones infinite: a row a modality. None without one, or where
+    it holds no boundaries: token analyses are left out then."""
+    if vocab is None or "boundaries" not in vocab.columns:
+        return None
+    rows = vocab.where("boundaries is not null").select("modality", "boundaries").collect()
+    return {r["modality"]: [float("-inf"), *r["boundaries"], float("inf")] for r in rows} or None
+
+
+def survey_row(survey: DataFrame, household, columns: list[str] | None = None, key: str = "PUPRN") -> DataFrame:
+    """The survey's columns of one household."""
+    own = survey.where(F.col(key) == household)
+    return own.select(key, *[c for c in columns if c != key]) if columns else own
+
+
+def context_tuples(survey: DataFrame, assignment: DataFrame | None = None, split: str | None = None, columns: tuple[str, ...] = ("B5", "C1_new"), key: str = "PUPRN") -> DataFrame:
+    """(household_id, columns...), unknown answers as 0; of one split, if named."""
+    out = survey.select(F.col(key).alias("household_id"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in columns])
+    if split is None:
+        return out
+    return out.join(assignment.where(F.col("split") == split).select("household_id"), "household_id", "left_semi")
+
+
 def one_complete_household(df: DataFrame, limit: float, seed: int = 42) -> DataFrame:
     """Readings of one household whose every fuel is under the missingness limit, chosen by hash."""
     worst = df.groupBy("household_id", "fuel").agg(F.avg(F.col("value").isNull().cast("int")).alias("m")).groupBy("household_id").agg(F.max("m").alias("m"))
