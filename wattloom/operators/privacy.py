@@ -37,7 +37,7 @@ def assert_k(df: DataFrame, variables: list[str], k: int) -> None:
 
 def k_aggregates(readings: DataFrame, members: DataFrame, variables: list[str], k: int, method: str = "mean", most_groups: int | None = None, seed: int = 42) -> DataFrame:
     """Mean or median of k aligned households (nulls as 0) of each qualifying group; steps that not all k have are left out."""
-    order = Window.partitionBy(*variables).orderBy(F.xxhash64("household_id", F.lit(seed)), "household_id")
+    order = Window.partitionBy(*variables).orderBy(hash_bits("household_id", seed=seed), "household_id")  # Spark keeps k rows a task
     chosen = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     groups = members.groupBy(*variables).agg(F.count(F.lit(1)).alias("k_group_size")).where(F.col("k_group_size") >= k)
     if most_groups is not None:

@@ -12,8 +12,8 @@ from ..operators import compare, features, filters, generate, grade, pairs, priv
 from ..operators.shared import shared_dir
 from ..sources import fixtures
 from ..sources.matrices import read_matrix, write_matrix
-from ..sources.readers import event_readings, household_metadata, join_metadata, line_readings, table, wide_to_long
-from ..sources.writers import wide_month
+from ..sources.readers import event_readings, household_list, household_metadata, join_metadata, line_readings, listed, table, wide_to_long
+from ..sources.writers import wide_month, write_household, write_household_list
 from ..streaming.half_hours import resample
 from . import evaluate
 
@@ -139,7 +139,19 @@ def _half_hours(s: SparkSession, d: str) -> DataFrame:
     return E(s, d).groupBy("household_id", "fuel", "half_hour").agg(F.avg("value").alias("value")).withColumnRenamed("half_hour", "ts")
 
 
-add("k_aggregates", lambda s, d: privacy.k_aggregates(_half_hours(s, d), H(s, d), ["region"], 3))
+_days_of = lambda s, d: E(s, d).groupBy("household_id", "fuel", F.col("dow").alias("ts")).agg(F.avg("value").alias("value"))
+_rank = lambda *parts: "CAST('0x' || substr(md5(" + " || ':' || ".join([*(f"CAST({p} AS VARCHAR)" for p in parts), "'42'"]) + "), 1, 12) AS BIGINT)"
+_KAGG = f"""{EVENTS}, {HOMES}, m AS (SELECT household_id, region FROM homes WHERE household_id IN (SELECT household_id FROM readings)), g AS (SELECT region, count(*) AS k_group_size FROM m GROUP BY 1 HAVING count(*) >= 3),
+ ch AS (SELECT household_id, region FROM m QUALIFY row_number() OVER (PARTITION BY region ORDER BY {_rank('household_id')}, household_id) <= 3), dw AS (SELECT household_id, fuel, dow AS ts, avg(value) AS value FROM readings GROUP BY ALL)"""
+
+
+def _k_aggregates(s: SparkSession, d: str, method: str = "mean") -> DataFrame:
+    members = H(s, d).join(E(s, d).select("household_id").distinct(), "household_id", "left_semi")
+    return privacy.k_aggregates(_days_of(s, d), members, ["region"], 3, method)
+
+
+add("k_aggregates", _k_aggregates, f"{_KAGG} SELECT region, k_group_size, fuel, ts, avg(value) AS value FROM ch JOIN g USING (region) JOIN dw USING (household_id) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT household_id) = 3", "value")
+add("k_aggregates_median", lambda s, d: _k_aggregates(s, d, "median"), f"{_KAGG} SELECT region, k_group_size, fuel, ts, median(value) AS value FROM ch JOIN g USING (region) JOIN dw USING (household_id) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT household_id) = 3", "value")
 _trios = lambda s, d: E(s, d).select("household_id").distinct().withColumn("trio", F.floor(F.col("household_id") / 3))
 add("k_aggregate_trios", lambda s, d: privacy.k_aggregates(_half_hours(s, d), _trios(s, d), ["trio"], 3), f"""{EVENTS}, h AS (SELECT household_id, fuel, half_hour AS ts, avg(value) AS value FROM readings GROUP BY ALL)
  SELECT household_id // 3 AS trio, 3 AS k_group_size, fuel, ts, avg(value) AS value FROM h GROUP BY 1, fuel, ts HAVING count(DISTINCT household_id) = 3""", "value")
@@ -364,7 +376,6 @@ def _overfit(s: SparkSession, d: str) -> DataFrame:
 _OF = f"{_COR}, c1 AS (SELECT batch_id, avg(r) AS mc, count_if(r > 0.95) AS hp FROM p GROUP BY 1), {_DIS.split('GROUP BY 1, 2, 3), ', 1)[1].replace('p AS', 'p2 AS').replace('FROM p GROUP', 'FROM p2 GROUP')}, x1 AS (SELECT p2.batch_id, count_if(d < 0.01 * md) AS ni FROM p2 JOIN m USING (batch_id) GROUP BY 1), {_PEAK.split('GROUP BY 1, 2, 3), ', 1)[1]}, k1 AS (SELECT batch_id, max(k) / sum(k) AS cc FROM c GROUP BY 1), fl AS (SELECT batch_id, (hp > 0)::INTEGER + (coalesce(mc > 0.8, FALSE))::INTEGER + (ni > 0)::INTEGER + (cc > 0.7)::INTEGER AS n_flags FROM c1 JOIN x1 USING (batch_id) JOIN k1 USING (batch_id)), sv AS (SELECT *, CASE WHEN n_flags = 0 THEN 'none' WHEN n_flags <= 2 THEN 'low' WHEN n_flags <= 4 THEN 'medium' ELSE 'high' END AS severity FROM fl)"
 add("overfitting_flags", lambda s, d: _overfit(s, d).select("batch_id", "n_flags", "severity"), f"{_OF} SELECT * FROM sv")
 add("variance_report", lambda s, d: features.variance_report(_overfit(s, d)), f"{_OF} SELECT count(*) AS batches, count_if(severity = 'none') AS \"none\", count_if(severity = 'low') AS low, count_if(severity = 'medium') AS medium, count_if(severity = 'high') AS high, CASE WHEN count_if(severity = 'high') > 0 THEN 'fail' WHEN count_if(severity = 'medium') > 0.1 * count(*) THEN 'warn' ELSE 'pass' END AS status FROM sv")
-add("worst_batches", lambda s, d: features.worst_batches(_overfit(s, d)).select("batch_id", "n_flags"), f"{_OF} SELECT batch_id, n_flags FROM sv WHERE n_flags > 0 ORDER BY n_flags DESC, batch_id LIMIT 20")
 
 # grading
 _moments = lambda s, d: stats.by_split(stats.fuel_stats(E(s, d), "split", "fuel"), ["fuel"], ["mean", "sd"])
@@ -414,7 +425,6 @@ add("sdc_tokens", lambda s, d: _released(s, d)["tokens"], f"""{EVENTS}, r AS (SE
 # splits, sequences, model
 _use = lambda s, d: E(s, d).groupBy("household_id").agg(F.avg("value").alias("use"))
 add("energy_tiers", lambda s, d: splits.energy_tiers(_use(s, d)), f"{EVENTS}, u AS (SELECT household_id, avg(value) AS use FROM readings GROUP BY 1), q AS (SELECT quantile_cont(use, 0.33) AS a, quantile_cont(use, 0.66) AS b FROM u) SELECT household_id, use, CASE WHEN use <= a THEN 'low' WHEN use <= b THEN 'medium' ELSE 'high' END AS tier FROM u, q", "use")
-_rank = lambda *parts: "CAST('0x' || substr(md5(" + " || ':' || ".join([*(f"CAST({p} AS VARCHAR)" for p in parts), "'42'"]) + "), 1, 12) AS BIGINT)"
 add("assign_splits", lambda s, d: splits.assign_splits(H(s, d).select("household_id"), 20, 30), f"""WITH r AS (SELECT c_custkey AS household_id, row_number() OVER (ORDER BY {_rank('c_custkey')}, c_custkey) AS n FROM customer)
  SELECT household_id, CASE WHEN n <= 20 THEN 'val' WHEN n <= 50 THEN 'test' ELSE 'train' END AS split FROM r""")
 _TIERS = f"""{EVENTS}, u AS (SELECT household_id, avg(value) AS use FROM readings GROUP BY 1), q AS (SELECT quantile_cont(use, 0.33) AS a, quantile_cont(use, 0.66) AS b FROM u),
@@ -521,6 +531,18 @@ def _tokenised(s: SparkSession, d: str) -> DataFrame:
 add("tokenise_plan", _tokenised)
 
 
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    """Readings stored a partition a household, of the households that a stored list names."""
+    path = f"{shared_dir(s)}/listed-{uuid.uuid4().hex}"
+    own = L(s, d).select("household_id", "fuel", "month", "value")
+    write_household(own.repartition("household_id"), f"{path}/readings")
+    write_household_list(own.where("household_id % 3 = 1 and month = 12").select("household_id"), f"{path}/vocabulary")
+    return listed(s.read.parquet(f"{path}/readings"), household_list(s, f"{path}/vocabulary"))[0].groupBy("household_id", "fuel").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+
+
+add("listed_readings", _listed, f"{LINES} SELECT household_id, fuel, count(value) AS n, sum(value) AS total FROM readings WHERE household_id IN (SELECT household_id FROM readings WHERE household_id % 3 = 1 AND month = 12) GROUP BY 1, 2", "total")
+
+
 def _feature_matrix(s: SparkSession, d: str) -> DataFrame:
     """The standardised features as NumPy shards in the shared folder, read back."""
     own, path = _z(s, d), f"{shared_dir(s)}/feature-matrix-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import features, stats
 from ..sources.readers import context_tuples, table
 from . import diagnostics, evaluate, extracts, synthesis
 from .queries import _DAYS, _STATUS_NV, E, EVENTS, H, HOMES, _day_tokens, _Q7, _rank, add
@@ -104,6 +104,8 @@ add("fidelity_flags", lambda s, d: sections(s, d, True)["flags"], f"{_FLAGS} SEL
 add("evaluation_verdict", lambda s, d: sections(s, d, True)["verdict"], f"""{_FLAGS} SELECT count(*) AS metrics, count_if(status = 'pass') AS passed, count_if(status = 'warn') AS warned, count_if(status = 'fail') AS failed,
  CASE WHEN count_if(status = 'fail') > 0 THEN 'fail' WHEN count_if(status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS overall FROM flags""")
 
+add("worst_batches", lambda s, d: features.worst_batches(evaluate.batch_variance(_batches(s, d))).select("batch_id", "n_flags"), f"{_E}, {_VARIANCE} SELECT batch_id, CAST(k AS INTEGER) AS n_flags FROM sv WHERE k > 0 ORDER BY k DESC, batch_id LIMIT 20")
+
 # companion extracts
 _HH = ", ".join(f"coalesce(max(CASE WHEN split = '{x}' THEN {'n' if x == 'synth' else _TEN.format('n')} END), 0) AS n_households_{x}" for x in ("synth", *_REAL))
 _N = f"tot AS (SELECT split, count(DISTINCT household_id) AS n FROM e GROUP BY 1), hh AS (SELECT {_HH} FROM tot), own AS (SELECT split, CASE WHEN split = 'synth' THEN n ELSE {_TEN.format('n')} END AS n_households FROM tot)"
