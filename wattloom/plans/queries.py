@@ -522,13 +522,18 @@ add("fixture_catalog", _fixture_catalog)
 
 
 def _tokenised(s: SparkSession, d: str) -> DataFrame:
-    r = E(s, d).where("fuel IN ('click', 'view')").withColumn("fuel", F.when(F.col("fuel") == "click", "electricity").otherwise("gas"))
+    """All readings; every event type is a fuel, so a household is complete if it has readings of each."""
+    r = E(s, d)
+    fuels = sorted(x["fuel"] for x in r.select("fuel").where("fuel is not null").distinct().collect())  # a few
     homes = r.select("household_id").distinct()
-    _, out = evaluate.tokenise(r, homes, homes.where("household_id % 7 = 0").select(F.col("household_id").alias("puprn")), {"electricity": 16, "gas": 16})
+    _, out = evaluate.tokenise(r, homes, homes.where("household_id % 7 = 0").select(F.col("household_id").alias("puprn")), dict.fromkeys(fuels, 16))
     return out.groupBy("fuel", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-add("tokenise_plan", _tokenised)
+_OWN = """, missing AS (SELECT household_id, fuel, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS m FROM readings GROUP BY 1, 2),
+ kept AS (SELECT household_id FROM missing WHERE m < 0.2 AND household_id % 7 <> 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT fuel) FROM readings)),
+ own AS (SELECT * FROM readings WHERE household_id IN (SELECT household_id FROM kept))"""
+add("tokenise_plan", _tokenised, f"""{EVENTS}{_OWN}{_TOK[len(EVENTS):].replace('FROM readings', 'FROM own')} SELECT fuel, token, count(*) AS n FROM t GROUP BY 1, 2""")
 
 
 def _listed(s: SparkSession, d: str) -> DataFrame:
