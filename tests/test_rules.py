@@ -115,10 +115,10 @@ def test_windows_and_generation(spark):
     assert len(got) == 3
     for r in got:
         assert len(r["x"]) == 10 and r["x"][0][0] == 9 and [x[0] for x in r["x"][1:]] == [y[0] for y in r["y"][:-1]]
-    model = sequences.transitions(df, [])
-    steps = spark.range(2).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(50))).alias("pos"))
-    a, b = (sorted(map(tuple, generate.generate(steps, model, [], 4, ["g"], temperature=0.2).collect())) for _ in range(2))
-    assert a == b and all(0 <= r[2] < 4 for r in a)
+    model = generate.joint_transitions(df.withColumn("elec", F.col("token")).withColumn("gas", F.col("dow")), [], [], ["household_id"])
+    steps = spark.range(2).select(F.col("id").alias("sample_id"), F.lit(1).alias("month"), F.explode(F.sequence(F.lit(0), F.lit(50))).alias("pos"))
+    a, b = (sorted(map(tuple, generate.generate(steps, model, [], [], {"elec": 4, "gas": 7}, temperature=0.2).collect())) for _ in range(2))
+    assert a == b and len(a) == 102 and all(0 <= r[3] < 4 and 0 <= r[4] < 7 for r in a)
     losses = spark.createDataFrame([(i, x) for i, x in enumerate([3.0, 2.0, 2.5, 2.0, 2.4])], "epoch int, loss double")
     assert [r["epoch"] for r in sequences.best_epoch(losses, 3).where("is_best").collect()] == [1]
 
