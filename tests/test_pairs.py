@@ -101,3 +101,24 @@ def test_batches(spark, monkeypatch):
     assert set(got) == set(want_d)
     for b, d in want_d.items():
         assert np.allclose([got[b]["mean_distance"], got[b]["least_distance"]], [np.mean(d), min(d)], atol=1e-9) and got[b]["near_identical"] == (d < 0.01 * np.mean(d)).sum()
+
+
+def test_rows_move_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCKS", 3)
+    df = spark.range(400).selectExpr("id", "array(double(id % 7), double(id % 11)) AS x")
+    for p, copies in ((pairs.Pairs(df, df, block_rows=8), 3), (pairs.Pairs(df, block_rows=8), 2)):  # within a group: with itself and half the others
+        moved = p.fold(lambda meet: pairs.pa.table([[meet.a.num_rows]], ["n"]), "n long").groupBy().sum("n").first()[0]
+        assert moved <= 1.2 * copies * 400
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_ranges_are_cut_until_few_values_are_left(vectors, within, monkeypatch):
+    monkeypatch.setattr(pairs, "VALUES", 5)  # many distances tie, so every level is needed
+    p, want = split(vectors, within)
+    d, shares = np.array([x[2] for x in want]), {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    assert np.allclose(list(p.quantiles(shares).first()), np.quantile(d, list(shares.values())))
+
+
+def test_copies_are_at_distance_zero(spark):
+    p = pairs.Pairs(spark.range(300).selectExpr("id", "array(0.1D, 0.7D, 1e5D) AS x"), block_rows=100)
+    assert list(p.summary().first()) == [300 * 299 // 2] + [0.0] * 8
