@@ -13,6 +13,7 @@ from ..functions.scalars import adjusted_kurtosis, adjusted_skew
 from .compare import student_p
 from .pairs import Pairs
 from .ranks import quantiles
+from .shared import stored
 from .stats import differences, rolling_sd
 
 #: Hours of the day's parts: from, to.
@@ -61,7 +62,7 @@ def privacy_leakage(synth: DataFrame, train: DataFrame, test: DataFrame, key: st
     """Per synthetic row: mean and least distance to train and test, their difference, nearer to train, high risk (least
     distance to train under its 25th percentile)."""
     a, b = (Pairs(synth, other, key, x).row_stats().select(key, F.col("mean").alias(f"mean_{n}"), F.col("least").alias(f"least_{n}")) for other, n in ((train, "train"), (test, "test")))
-    out = a.join(b, key)
+    out = stored(a.join(b, key), "leakage")  # a row a synthetic row, of two passes over all pairs
     cut = quantiles(out, [], "least_train", {"_c": 0.25})
     return out.crossJoin(F.broadcast(cut)).select(
         key, "mean_train", "mean_test", "least_train", "least_test", (F.col("mean_train") - F.col("mean_test")).alias("diff"), (F.col("least_train") < F.col("least_test")).alias("nearer_train"), (F.col("least_train") < F.col("_c")).alias("high_risk")
@@ -78,12 +79,19 @@ def memorisation(leakage: DataFrame) -> dict:
     return {"n": r["n"], "mean_diff": r["m"], "t": t, "p": p, "cohens_d": r["m"] / r["s"], "memorised": p < 0.05 and r["m"] < 0}
 
 
+def outlier_flags(pairs: Pairs) -> DataFrame:
+    """(key, mean, outlier): rows whose mean distance is above the 95th percentile of all distances."""
+    survey = pairs.survey(by_row=True)
+    cut = pairs.quantiles({"cut": 0.95}, survey)
+    means = pairs.row_stats(survey).select(pairs.key, "mean").crossJoin(F.broadcast(cut))  # a row
+    return stored(means.select(pairs.key, "mean", (F.col("mean") > F.col("cut")).alias("outlier")), "outliers")
+
+
 def outliers(pairs: Pairs) -> DataFrame:
-    """Rows whose mean distance is above the 95th percentile of all distances, with their percentile rank (left search)."""
-    cut = pairs.quantiles({"cut": 0.95})
-    means = pairs.row_stats().select(pairs.key, "mean")
-    out = means.join(pairs.below(means, "mean"), "mean").crossJoin(F.broadcast(cut))  # a row
-    return out.select(pairs.key, "mean", (100 * F.col("below") / F.col("total")).alias("percentile"), (F.col("mean") > F.col("cut")).alias("outlier"))
+    """outlier_flags with the percentile rank of the means among all distances (left search)."""
+    flags = outlier_flags(pairs)
+    out = flags.join(pairs.below(flags, "mean"), "mean")
+    return out.select(pairs.key, "mean", (100 * F.col("below") / F.col("total")).alias("percentile"), "outlier")
 
 
 def distance_distributions(groups: dict[str, Pairs], most: int = 50_000) -> DataFrame:

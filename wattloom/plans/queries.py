@@ -337,7 +337,7 @@ add("privacy_leakage", _leak, f"{_LEAK} SELECT *, mean_train - mean_test AS diff
 add("paired_share", lambda s, d: features.paired_share(_leak(s, d)), f"{_LEAK} SELECT avg(CASE WHEN mean_train > mean_test THEN 1.0 ELSE 0.0 END) AS above, avg(CASE WHEN mean_train < mean_test THEN 1.0 ELSE 0.0 END) AS below FROM r", "above below")
 _OUT = f"{_DIST}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1)"
 add("distance_outliers", lambda s, d: features.outliers(_dist(s, d, "train")).withColumnRenamed("id", "a_id"), f"{_OUT} SELECT m.a_id, m.mean, 100.0 * (SELECT count(*) FROM t WHERE t.distance < m.mean) / (SELECT count(*) FROM t) AS percentile, m.mean > (SELECT quantile_cont(distance, 0.95) FROM t) AS outlier FROM m", "mean percentile")
-add("distance_report", lambda s, d: features.distance_report(_leak(s, d), features.outliers(_dist(s, d, "train"))), f"""{_LEAK}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1), c AS (SELECT quantile_cont(least_train, 0.25) AS c FROM r)
+add("distance_report", lambda s, d: features.distance_report(_leak(s, d), features.outlier_flags(_dist(s, d, "train"))), f"""{_LEAK}, t AS (SELECT * FROM d WHERE g = 'train'), m AS (SELECT a_id, avg(distance) AS mean FROM t GROUP BY 1), c AS (SELECT quantile_cont(least_train, 0.25) AS c FROM r)
  SELECT count(*) AS rows, count_if(least_train < c) AS high_risk, count_if(least_train < least_test) AS nearer_train, (SELECT count_if(mean > (SELECT quantile_cont(distance, 0.95) FROM t)) FROM m) AS outliers FROM r, c""")
 add("memorisation", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean"))
 add("memorisation_effect", lambda s, d: s.createDataFrame([features.memorisation(_leak(s, d))], "n long, mean_diff double, t double, p double, cohens_d double, memorised boolean").drop("p", "memorised"), f"""{_LEAK}
