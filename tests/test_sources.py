@@ -72,3 +72,20 @@ def test_listed_households_prune_partitions(spark, tmp_path):
     assert "household_id" in scan.split("PartitionFilters: [")[1].split("]")[0]
     assert own.count() == 20 and [r[0] for r in missing.collect()] == [77]
     assert readers.listed(stored, missing, most=0)[0].count() == 0
+
+
+def test_listed_readings_are_stored_in_few_files(spark, tmp_path):
+    from wattloom.plans.queries import QUERIES
+
+    spark.range(4000).selectExpr(
+        "id AS l_orderkey", "id % 200 AS l_suppkey", "int(id) AS l_linenumber", "double(id % 50) AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax",
+        "'A' AS l_returnflag", "CAST(TIMESTAMP '1995-12-05' AS TIMESTAMP_NTZ) AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("wattloom.tables.dir", None)
+    spark.conf.set("wattloom.tables.dir", f"file://{tmp_path}/tables")
+    try:
+        got = QUERIES["listed_readings"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("wattloom.tables.dir", before) if before else spark.conf.unset("wattloom.tables.dir")
+    assert sorted(r["household_id"] for r in got) == list(range(1, 200, 3)) and {r["n"] for r in got} == {20}
+    assert len(list((tmp_path / "tables").rglob("*.parquet"))) < 20  # a file a household were 200

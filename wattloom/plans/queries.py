@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, features, filters, generate, grade, pairs, privacy, sequences, splits, stats, training, vocab
-from ..operators.shared import shared_dir
+from ..operators.shared import series_table, shared_dir
 from ..sources import fixtures
 from ..sources.matrices import read_matrix, write_matrix
 from ..sources.readers import event_readings, household_list, household_metadata, join_metadata, line_readings, listed, table, wide_to_long
-from ..sources.writers import wide_month, write_household, write_household_list
+from ..sources.writers import wide_month, write_household_list
 from ..streaming.half_hours import resample
 from . import evaluate
 
@@ -537,12 +537,13 @@ add("tokenise_plan", _tokenised, f"""{EVENTS}{_OWN}{_TOK[len(EVENTS):].replace('
 
 
 def _listed(s: SparkSession, d: str) -> DataFrame:
-    """Readings stored a partition a household, of the households that a stored list names."""
+    """Stored readings of the households that a stored list names. They are stored in buckets of households: a folder a
+    household would make as many files as there are households, whatever the cluster."""
     path = f"{shared_dir(s)}/listed-{uuid.uuid4().hex}"
     own = L(s, d).select("household_id", "fuel", "month", "value")
-    write_household(own.repartition("household_id"), f"{path}/readings")
+    readings = series_table(own, order=())
     write_household_list(own.where("household_id % 3 = 1 and month = 12").select("household_id"), f"{path}/vocabulary")
-    return listed(s.read.parquet(f"{path}/readings"), household_list(s, f"{path}/vocabulary"))[0].groupBy("household_id", "fuel").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    return listed(readings, household_list(s, f"{path}/vocabulary"))[0].groupBy("household_id", "fuel").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
 
 
 add("listed_readings", _listed, f"{LINES} SELECT household_id, fuel, count(value) AS n, sum(value) AS total FROM readings WHERE household_id IN (SELECT household_id FROM readings WHERE household_id % 3 = 1 AND month = 12) GROUP BY 1, 2", "total")
