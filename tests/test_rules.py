@@ -206,3 +206,10 @@ def test_sample_each(spark):
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {"big": 20, None: 10}
     assert splits.sample_each(df, 20, ["g"], ["same"]).count() == 30  # every row has one hash
     assert splits.sample_each(df.where("false"), 20, ["g"], ["id"]).count() == 0
+
+
+def test_masking_is_dealt_over_tasks(spark):
+    df = spark.range(500).coalesce(1).selectExpr("id AS household_id", "'x' AS r", "string(id % 2) AS p", "string(id % 3) AS q")
+    masked = privacy.masked_contexts(df, ["r"], ["p", "q"], 3)
+    assert masked.where("var_count = 3").count() == 500
+    assert len({r[0] for r in masked.where("var_count = 2").select(F.input_file_name()).distinct().collect()}) > 1  # one task's file before

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import hash_bits
+from .ranks import BROADCAST_ROWS
 from .shared import stored
 
 
@@ -59,34 +60,36 @@ def masked_contexts(df: DataFrame, fixed: list[str], others: list[str], k: int,
     The lattice of shown sets is climbed a variable at a time. A level holds the combinations of values (with their numbers)
     under the groups that some household has reached; those meet the variables that households of their group show next, are
     counted, and what is under k goes, with all that would have shown more."""
-    every = [*fixed, *others]
+    every, spark = [*fixed, *others], df.sparkSession
+    vs = F.col("_vs")
     base = df.dropna(subset=every).select(key, F.array(*[F.col(v).cast("string") for v in every]).alias("_vs"))
-    names = F.array(*[F.lit(v) for v in every])
     combos = stored(base.groupBy("_vs").agg(F.count(F.lit(1)).alias("n")), "mask-combos")
-    shuffled = F.transform(
-        F.array_sort(F.array(*[F.struct(hash_bits(F.col(key), F.col("augmentation"), F.lit(v), seed=seed).alias("h"), F.lit(v).alias("v")) for v in others])), lambda x: x["v"]
-    )
-    rows = base.withColumn("augmentation", F.explode(F.sequence(F.lit(0), F.lit(augmentations - 1)))).withColumn("_order", shuffled)
-    value = lambda v: F.element_at(F.col("_vs"), F.array_position(names, v).cast("int"))
-    # a group is known by its shown variables, sorted, and their values
-    shown = lambda extra: F.array_sort(F.concat(F.array(*[F.lit(v) for v in fixed]).cast("array<string>"), extra))
-    level = combos.withColumn("_set", shown(F.array().cast("array<string>"))).withColumn("_own", F.transform("_set", value))
-    reached, out = rows, None
+    # a group is known by the bits of its shown variables and all values, hidden ones emptied
+    own = F.array(*[vs[i] for i in range(len(fixed))], *[F.when(F.col("_mask").bitwiseAND(1 << i) != 0, vs[len(fixed) + i]).otherwise("") for i in range(len(others))])
+    drawn = [F.struct(hash_bits(F.col(key), F.col("augmentation"), F.lit(v), seed=seed).alias("h"), F.lit(v).alias("v"), F.lit(i).alias("i")) for i, v in enumerate(others)]
+    order = F.sort_array(F.array(*drawn))["i"] if others else F.array().cast("array<int>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file of a few MB is one task's, its orders are not
+    rows = base.repartition(tasks, key).withColumn("augmentation", F.explode(F.sequence(F.lit(0), F.lit(augmentations - 1)))).withColumn("_order", order)
+    level, reached, out = combos.withColumn("_mask", F.lit(0)).withColumn("_own", own), rows.withColumn("_mask", F.lit(0)), None
+    grow = lambda i: F.col("_mask").bitwiseOR(F.element_at(F.array(*[F.lit(1 << x) for x in range(len(others))]), i + 1))
     for extra in range(len(others) + 1):
-        sizes = level.groupBy("_set", "_own").agg(F.sum("n").alias("group_size")).where(F.col("group_size") >= k)
-        here = reached.withColumn("_set", shown(F.slice("_order", F.lit(1), F.lit(extra)))).withColumn("_own", F.transform("_set", value)).join(sizes, ["_set", "_own"])
-        reached = stored(here, "mask-reached")
-        out = reached if out is None else out.unionByName(reached)
+        sizes = stored(level.groupBy("_mask", "_own").agg(F.sum("n").alias("group_size")).where(F.col("group_size") >= k), "mask-sizes")
+        few = F.broadcast if sizes.count() <= BROADCAST_ROWS else (lambda x: x)  # a few groups may hold all rows
+        reached = stored(reached.withColumn("_own", own).join(few(sizes), ["_mask", "_own"]), "mask-reached")
+        shown = [F.col("_order")[i] for i in range(extra)]
+        here = reached.select(
+            key, "augmentation", F.array(*[F.lit(v) for v in fixed], *[F.element_at(F.array(*[F.lit(v) for v in others]), i + 1) for i in shown]).cast("array<string>").alias("variables"),
+            F.array(*[vs[i] for i in range(len(fixed))], *[F.element_at(vs, i + len(fixed) + 1) for i in shown]).cast("array<string>").alias("values"),
+            F.lit(len(fixed) + extra).alias("var_count"), "group_size",
+        )
+        out = here if out is None else out.unionByName(here)
         if extra == len(others):
             break
-        steps = reached.select("_set", "_own", F.element_at("_order", extra + 1).alias("_next")).distinct()
-        grown = level.join(steps, ["_set", "_own"]).withColumn("_set", F.array_sort(F.concat("_set", F.array("_next"))))
-        level = stored(grown.select("_vs", "n", "_set").distinct().withColumn("_own", F.transform("_set", value)), "mask-level")
-        reached = reached.drop("_set", "_own", "group_size")
-    variables = F.concat(F.array(*[F.lit(v) for v in fixed]).cast("array<string>"), F.slice("_order", F.lit(1), F.size("_set") - len(fixed)))
-    return out.withColumn("variables", variables).select(
-        key, "augmentation", "variables", F.transform("variables", value).alias("values"), F.size("variables").alias("var_count"), "group_size"
-    )
+        steps = reached.select("_mask", "_own", F.col("_order")[extra].alias("_next")).distinct()
+        grown = level.join(steps, ["_mask", "_own"]).select("_vs", "n", grow(F.col("_next")).alias("_mask")).distinct()
+        level = stored(grown.withColumn("_own", own), "mask-level")
+        reached = reached.drop("_own", "group_size").withColumn("_mask", grow(F.col("_order")[extra]))
+    return out
 
 
 def best_contexts(masked: DataFrame, most: int | None = None, key: str = "household_id") -> DataFrame:
