@@ -85,3 +85,10 @@ def test_state_stays_small():
         state.take(s, ids.astype("int64"))
         held = max(held, len(state.ids[align.A]) + len(state.ids[align.B]))
     assert held <= 3 * 4096 and not len(state.ids[align.A]) and not len(state.ids[align.B])
+
+
+def test_tables_spell_what_the_lists_do():
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        s = align.side(name)
+        ids = s("Ein naïver Text, 12 kWh ▁ \U0001f600.")
+        assert align.gathered(s.table, ids) == b"".join(s.bytes[i] for i in ids.tolist()) and align.gathered(s.table, ids[:0]) == b""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,11 @@ EVENTS = "key long, doc_id long, at long, side int, ids binary"
 SWEPT = "key long, doc_id long, n_a long, n_b long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,n:long>>"  # a row's pairs are distinct
 
 
+def gathered(table: np.ndarray, ids: np.ndarray) -> bytes:
+    """The joined bytes of table (an array of bytes objects) at ids."""
+    return b"".join(table[ids].tolist())
+
+
 def byte_level() -> dict[str, int]:
     """The published map of byte-level vocabularies: printable characters are themselves, others follow from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -59,6 +65,7 @@ class SideA:
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(decode[c] for c in token) if all(c in decode for c in token) else token.encode()
+        self.table = np.array(self.bytes, object)
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoder(" " + text), "<u4")
@@ -75,9 +82,10 @@ class SideB:
         self.bytes = [
             bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.table = np.array(self.bytes, object)
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), "<u4")
+        return np.frombuffer(array("I", self.model.encode(text, num_threads=1)), "<u4")
 
 
 _SIDES: dict[str, SideA | SideB] = {}
@@ -105,7 +113,7 @@ def events_of(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
                     continue
                 ids = {A: one(text), B: two(text)}
                 whole = b" " + text.encode()
-                spelt = (b"".join(map(t.bytes.__getitem__, ids[s].tolist())) for s, t in ((A, one), (B, two)))
+                spelt = (gathered(t.table, ids[s]) for s, t in ((A, one), (B, two)))
                 if any(x != whole for x in spelt):
                     continue
                 for s, tokens in ids.items():
@@ -130,7 +138,7 @@ class Sweep:
         #: What a token writes: of A after a comma, a semicolon (it opens a group) or nothing; of B after a comma or a bar.
         self.spell = [[p + x for x in t] for t, marks in zip(text, ((b",", b";"), (b",", b"|"))) for p in marks]
         self.base = np.cumsum([0, *map(len, self.spell)])
-        self.spell = [x for part in self.spell for x in part]
+        self.spell = np.array([x for part in self.spell for x in part], object)
         self.length = {A: np.array([len(x) for x in one.bytes]), B: np.array([len(x) for x in two.bytes])}
         self.start(None, None)
 
@@ -160,7 +168,7 @@ class Sweep:
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.r_[0, j + 1][group_a]] = a + self.base[np.where(first_a, 1, 0)]
         code[np.arange(len(b)) + (i + 1)[group_b]] = b + self.base[np.where(first_b, 3, 2)]
-        out = b"".join(map(self.spell.__getitem__, code.tolist()))
+        out = gathered(self.spell, code)
         self.hash.update(out if self.links else out[1:])
         self.links += len(i)
         self.add((a[i].astype(np.uint32) << np.uint32(16)) | b[j].astype(np.uint32), np.ones(len(i), np.int64))
