@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -132,3 +135,25 @@ def test_quality_plainly(spark, hot):
         assert got[i]["keep"] == (want >= 0.5)
         right += got[i]["keep"] == bool(i % 3)
     assert right > 380
+
+
+FREED = """
+import re, pyarrow as pa
+from wattloom.llm.common import slices
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+list(slices(iter([pa.record_batch({"x": [1]})])))
+before, rows = mb(), [bytes(3000) for _ in range(50_000)]
+last = rows.pop()  # what lies above the freed memory
+rows.clear()
+list(slices(iter([pa.record_batch({"x": [1]})])))
+print(mb() - before)
+"""
+
+
+def test_worker_gives_back_memory():
+    """An idle worker counts in its executor's memory: after its last batch it holds nothing of the texts it has seen."""
+    out = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert float(out.stdout) < 30

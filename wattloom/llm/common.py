@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -110,13 +111,20 @@ def shielded(df: DataFrame, *need: str):
     return df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names]), restore
 
 
+def trim() -> None:
+    """Gives back to the system what this process has freed: Spark keeps idle workers, and all count in their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts: what a worker holds as Python objects at once stays small, whatever the batch size."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
         del b
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def release(spark: SparkSession) -> None:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, shielded, sized, slices, stored
+from .common import discard, release, shielded, sized, slices, stored, trim
 from .components import components
 
 #: Words of a shingle; at least this similarity (as a fraction NUM / DEN).
@@ -204,6 +204,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
     if held:
         yield frequent()
+        held = []
+    trim()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +272,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = tuple(x[:0] for x in rest)
     if len(rest[0]) and (out := whole(*rest)):
         yield out
+    trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +347,7 @@ def _crossing(most: int | None):
                 rest = b.slice(starts[-2])
         if rest is not None and rest.num_rows:
             yield _tested(rest, np.array([0, rest.num_rows]), most)
+        trim()
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shielded, sized
+from .common import shielded, sized, trim
 
 #: Bound of the labelled rows that the document classifier is fitted on.
 MAX_LABELLED = 20_000
@@ -130,8 +130,10 @@ def site_posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _features(texts: pa.Array) -> pa.Array:
-    return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
+def _features(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in parts:
+        yield pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
+        trim()
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict | None:
@@ -158,7 +160,7 @@ def score_quality(
     def logit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([_logit(shared.value, t.as_py()) for t in texts], pa.float64())
-            pa.default_memory_pool().release_unused()
+            trim()
 
     hosts, paths, rate = site_posteriors(docs, labels)
     paths = sized(paths.select("_host", "_path", "path_rate"))
