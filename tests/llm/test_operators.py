@@ -457,6 +457,21 @@ def test_lm_score_keeps_all_words(spark, limits):
         assert g[:2] == w[:2] and (g[2:4] == w[2:] or np.allclose(g[2:4], w[2:], atol=1e-9))
 
 
+def test_lm_score_own(spark, docs, labels):
+    """Chunks that get the sums of their own keys back score as the models with look-ups do, whatever is dealt where."""
+    target = labels.where("quality = 1")
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, ""), (None, None), (-1, "."), (-2, "Same same SAME"), (-2, "Same same SAME")], "doc_id long, text string"))
+    key = lambda r: (str(r[0]), r[1], r[2] or 0)
+    want = sorted(map(tuple, lm_score.score(some, target, buckets=1 << 20).collect()), key=key)
+    for limits in ({}, {"tokens": 300, "keys": 2000}):
+        got = sorted(map(tuple, lm_score.score_own(some, target, **limits).collect()), key=key)
+        assert len(got) == len(want) == some.count()
+        for g, w in zip(got, want):
+            assert g[:2] == w[:2] and g[5] == w[5] and (g[2:5] == w[2:5] or np.allclose(g[2:5], w[2:5], atol=1e-9))
+    plan = lm_score.score(some, target)._jdf.queryExecution().toString()
+    assert "sums" in plan and "seen" not in plan and plan.count("MapInArrow") < 5
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(1)
     for k in net.p:

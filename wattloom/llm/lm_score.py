@@ -2,14 +2,19 @@
 
 The target model counts the documents of a target set (by default those labelled quality 1), the background model all
 documents. Both share one vocabulary, all words of all documents, and the same smoothing: a bigram's probability is its
-count shrunk to the unigram's, which is shrunk to uniform. Words and bigrams are told apart by 64-bit hashes. Counts of
-all of them are summed within tasks and then by grouped aggregation into a table in the shared folder.
+count shrunk to the unigram's, which is shrunk to uniform. Words and bigrams are told apart by 64-bit hashes. Documents are dealt by a hash into chunks of about ``OWN_CHUNK`` tokens.
 
-The most frequent words and bigrams (about ``VOCABULARY`` and ``BUCKETS``, at most) are broadcast with their counts; all others
-are looked up by a shuffle join. Documents are dealt by a hash into chunks of about ``CHUNK`` tokens; what is found returns to
-its chunk, and so do the texts. What occurs once is counted but not stored:
-without the document's own count it is zero. A filter of ``BITS`` bits, broadcast, spares most look-ups that would find
-nothing; once it is full it spares fewer. These numbers decide what is moved, not any result.
+A corpus that is scored by its own models (`score_own`): each chunk sends its distinct keys with their counts to ranges of
+about ``RANGE`` keys, where the counts of all chunks are summed by key. Each chunk gets the sums of its own keys back in
+their order, without the keys; the texts meet them by chunk and are counted again, which gives the order. Nothing is
+broadcast, and no key is looked up.
+
+Models of another corpus, or with limits given (`fit`, `score`): counts are summed within tasks and then by grouped
+aggregation into a table in the shared folder. The most frequent words and bigrams (about ``VOCABULARY`` and ``BUCKETS``, at
+most) are broadcast with their counts; all others are looked up by a shuffle join; what is found returns to its chunk, and so
+do the texts. What occurs once is counted but not stored: without the document's own count it is zero. A filter of ``BITS``
+bits, broadcast, spares most look-ups that would find nothing; once it is full it spares fewer. These numbers decide what is
+moved, not any result.
 
 Each token's loss is taken under both models without the document's own counts (leave one out), and the score is the
 mean of loss(target) - loss(background) in nats: the lower, the closer to the target.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import release, sized, slices, stored, word_list
+from .common import release, sized, slices, stored, trim, word_list
 
 VOCABULARY, BUCKETS = 1 << 16, 1 << 20
 #: Pseudo-counts of the lower-order distribution.
@@ -41,6 +47,9 @@ START = np.uint64(0)
 BITS = 1 << 28
 #: Keys that a task holds at once, tokens of a chunk, and found keys that are packed together.
 HELD, CHUNK, PACKED = 2_000_000, 1_000_000, 1_000_000
+#: Tokens of a chunk and keys of a range where a corpus is scored by its own models, and bytes of text that a token takes at least.
+OWN_CHUNK, RANGE, TOKEN_BYTES = 500_000, 1_000_000, 6
+SCORES = "doc_id long, n_tokens long, h_target double, h_background double, score double, in_target boolean"
 #: Finer than powers of two: classes of counts from which the broadcast ones are chosen.
 CLASSES = 8
 
@@ -252,6 +261,8 @@ def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **options) -> DataFrame:
     """doc_id, n_tokens, h_target, h_background, score, in_target: one row for each row of docs."""
+    if models is None and not options:
+        return score_own(docs, target)
     models = models or fit(docs, target, **options)
     release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models.hot)
@@ -324,5 +335,203 @@ def score(docs: DataFrame, target: DataFrame, models: Models | None = None, **op
         none = F.lit(None).cast("long")
         texts = texts.unionByName(found.select("chunk", none.alias("key"), none.alias("b"), "keys", "counts", F.lit(None).cast("string").alias("text")))
         texts = texts.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
-    schema = "doc_id long, n_tokens long, h_target double, h_background double, score double, in_target boolean"
-    return texts.mapInArrow(scored, schema)
+    return texts.mapInArrow(scored, SCORES)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Counts by place value, as few bytes each as the largest needs: most are small."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    """What _planes() packed."""
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8")[:, 0].astype(np.int64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[int, pa.Array, np.ndarray, Tokens, list]]:
+    """From rows sorted by chunk: (chunk, doc_ids, flags, tokens, rows that hold `extra`), one a chunk."""
+    hashes, last, parts, more = Hashes(), None, [], []
+
+    def whole() -> tuple:
+        ids, flags, counts, word = zip(*parts)
+        counts, word = np.concatenate(counts), np.concatenate(word)
+        before = np.r_[START, word[:-1]] if len(word) else word
+        before[(np.cumsum(counts) - counts)[counts > 0]] = START
+        own = Tokens(counts, np.repeat(np.arange(len(counts)), counts), word, before, mixed(before, word) | np.uint64(1))
+        return last, pa.concat_arrays(ids), np.concatenate(flags), own, more
+
+    for b in slices(batches, 256):
+        chunk = b.column("chunk").to_numpy(zero_copy_only=False)
+        cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)].tolist()
+        for a, e in zip(cuts[:-1], cuts[1:]):
+            if e == a:
+                continue
+            if chunk[a] != last:
+                if parts:
+                    yield whole()
+                last, parts, more = int(chunk[a]), [], []
+            rows = b.slice(a, e - a)
+            if extra:
+                held = rows.filter(rows.column(extra).is_valid())
+                more += held.column(extra).to_pylist()
+                rows = rows.filter(rows.column(extra).is_null())
+            if rows.num_rows:
+                lists = [word_list(t) for t in rows.column("text").to_pylist()]
+                counts = np.array([len(ws) for ws in lists], np.int64)
+                word = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(counts.sum()))
+                parts.append((rows.column("key"), rows.column("b").to_numpy(zero_copy_only=False).astype(np.int64), counts, word))
+    if parts:
+        yield whole()
+
+
+def _sent(ranges: int):
+    """From chunks of texts: (range, chunk, keys, b, t), the distinct keys of a chunk with their counts; ranges ascend with the keys."""
+    step = -(-(1 << 64) // ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, flags, own, _ in _chunks(batches):
+            inside = flags[own.text] == 1
+            started = (own.counts > 0).astype(np.int64)
+            all_keys = np.concatenate([own.word, own.pair, np.full(int(started.sum()), START)])
+            keys, b = np.unique(all_keys, return_counts=True)
+            mine, n = np.unique(np.concatenate([own.word[inside], own.pair[inside], np.full(int(started[flags == 1].sum()), START)]), return_counts=True)
+            t = np.zeros(len(keys), np.int64)
+            t[np.searchsorted(keys, mine)] = n
+            cuts = np.searchsorted(keys, np.array([i * step for i in range(1, ranges)], np.uint64))
+            cuts = np.r_[0, cuts, len(keys)]
+            full = np.flatnonzero(cuts[1:] > cuts[:-1])
+            for i in range(0, len(full), 64):
+                some = full[i : i + 64]
+                packs = [[f(x[cuts[r] : cuts[r + 1]]) for r in some] for f, x in ((_planes, keys), (_planes, b), (_planes, t))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int32()), *[pa.array(x, pa.binary()) for x in packs]],
+                    ["range", "chunk", "keys", "b", "t"],
+                )
+
+    return run
+
+
+SUMS = "chunk int, range int, sums binary, words long, b long, t long"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From _sent()'s rows sorted by range: SUMS; sums are those of both counts for the keys of the row it answers.
+
+    words, b and t, in one row of a range: how many words it has and the sums of their counts."""
+    last, held = None, []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, b, t = ([_counts(x[i]) for x in held] for i in (1, 2, 3))
+        ends = np.cumsum([len(k) for k in keys])
+        every = np.concatenate(keys).view(np.uint64)
+        order = np.argsort(every)
+        ranked = every[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        sizes = np.diff(np.r_[first, len(ranked)])
+        word = (ranked[first] & np.uint64(1) == 0) & (ranked[first] != START)
+        sums, of_words = [], []
+        for x in (b, t):
+            total = np.add.reduceat(np.concatenate(x)[order], first)
+            of_words.append(int(total[word].sum()))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.repeat(total, sizes)
+            sums.append(np.split(back, ends[:-1]))
+        for i in range(0, len(held), 256):
+            rows = held[i : i + 256]
+            n = len(rows)
+            packs = [len(p).to_bytes(8, "little") + p + _planes(y) for x, y in zip(sums[0][i : i + n], sums[1][i : i + n]) for p in (_planes(x),)]
+            extra = [[x if not i and not j else 0 for j in range(n)] for x in (int(word.sum()), *of_words)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([last] * n, pa.int32()), pa.array(packs, pa.binary()), *[pa.array(x, pa.int64()) for x in extra]],
+                [x.split()[0] for x in SUMS.split(", ")],
+            )
+        held.clear()
+
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("range", "chunk", "keys", "b", "t"))):
+            if row[0] != last and held:
+                yield from out()
+            last = row[0]
+            held.append(row[1:])
+    if held:
+        yield from out()
+    trim()
+
+
+def _repeats(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often a token's `at`, a number under 2^32, occurs in its text."""
+    code = text << 32 | at
+    order = np.argsort(code)
+    ranked = code[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    sizes = np.diff(np.r_[first, len(code)])
+    out = np.empty(len(code), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
+def _own_losses(own: Tokens, flags: np.ndarray, sums: np.ndarray, size: int, totals: tuple) -> np.ndarray:
+    """losses() of a chunk; sums: 2 x its distinct keys, in their order."""
+    out = np.zeros((2, len(own.counts)))
+    if not len(own.word):
+        return out
+    n = len(own.word)
+    started = own.counts > 0
+    ends = np.cumsum(own.counts)[started] - 1
+    keys, at = np.unique(np.concatenate([own.word, own.pair, [START]]), return_inverse=True)
+    if len(keys) != sums.shape[1]:
+        raise ValueError("the texts of a chunk have changed between two reads")
+    word, pair, start = at[:n], at[n:-1], at[-1]
+    head = np.zeros(n, bool)
+    head[np.r_[0, ends[:-1] + 1]] = True
+    before = np.where(head, start, np.r_[start, word[:-1]])
+    mine_word, mine_pair = _repeats(own.text, word), _repeats(own.text, pair)
+    last = np.zeros(len(own.counts), np.int64)
+    last[started] = word[ends]
+    mine_before = np.where(head, 1, np.r_[1, mine_word[:-1]] - (before == last[own.text]))  # a text's last word precedes none
+    for m, minus in enumerate((np.ones(len(flags), np.int64), flags)):
+        each = minus[own.text]
+        total = np.maximum(totals[m] - minus * own.counts, 0)[own.text]
+        p = (np.maximum(sums[m][word] - each * mine_word, 0) + UNIFORM) / (total + UNIFORM * size)
+        c = np.maximum(sums[m][pair] - each * mine_pair, 0)
+        k = np.maximum(np.maximum(sums[m][before] - each * mine_before, 0), c)
+        loss = -np.log((c + SHRINK * p) / (k + SHRINK))
+        out[m] = np.bincount(own.text, weights=loss, minlength=len(own.counts)) / np.maximum(own.counts, 1)
+    return out
+
+
+def score_own(docs: DataFrame, target: DataFrame, tokens: int = OWN_CHUNK, keys: int = RANGE) -> DataFrame:
+    """score() by the matched models of docs itself; tokens: of a chunk, keys: of a range, about."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks, ranges = (max(1, -(-size // (TOKEN_BYTES * n))) for n in (tokens, keys))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+    texts = flagged(docs, target).select(chunk, F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), "text")
+    sent = texts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sent(ranges), "range int, chunk int, keys binary, b binary, t binary")
+    sums = stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_summed, SUMS), "lm-sums")
+    release(docs.sparkSession)
+    of_words = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "b", "t")]).first()
+    vocabulary, totals = of_words[0] + 1, (float(of_words[1]), float(of_words[2]))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, flags, own, packs in _chunks(batches, "sums"):
+            both = [(p[8 : 8 + n], p[8 + n :]) for p in packs for n in (int.from_bytes(p[:8], "little"),)]
+            known = np.stack([np.concatenate([_counts(x) for x in y]) for y in zip(*both)]) if both else np.zeros((2, 0), np.int64)
+            background, target_loss = _own_losses(own, flags, known, vocabulary, totals)
+            empty = own.counts == 0
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids, pa.array(own.counts), pa.array(target_loss, mask=empty), pa.array(background, mask=empty),
+                    pa.array(np.where(empty, 0.0, target_loss - background)), pa.array(flags == 1),
+                ],
+                [x.split()[0] for x in SCORES.split(", ")],
+            )
+
+    none = F.lit(None)
+    rows = texts.select("*", none.cast("int").alias("range"), none.cast("binary").alias("sums"))
+    back = sums.select("chunk", none.cast("long").alias("key"), none.cast("long").alias("b"), none.cast("string").alias("text"), "range", "sums")
+    rows = rows.unionByName(back).repartition("chunk").sortWithinPartitions("chunk", "range")
+    return rows.mapInArrow(scored, SCORES)
