@@ -10,10 +10,11 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from wattloom.llm import quality, secrets
+from wattloom.llm import packing, quality, secrets
 
 from . import brute
 
@@ -157,3 +158,17 @@ def test_worker_gives_back_memory():
     """An idle worker counts in its executor's memory: after its last batch it holds nothing of the texts it has seen."""
     out = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
     assert float(out.stdout) < 30
+
+
+def test_short_batches(spark):
+    """No more rows with texts go to Python at once than BATCH_ROWS; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "cast(id AS string) AS text", "'a' AS lang", "'b' AS source")
+    sent = lambda: docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").agg({"n": "max"}).first()[0]
+    for before, most in (("10000", 1000), ("0", 1000), ("50", 50)):
+        spark.conf.set(name, before)
+        try:
+            packing.pieces_of(docs)
+            assert sent() == most
+        finally:
+            spark.conf.unset(name)

@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows and bytes that a broadcast may hold.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Rows with texts that go to Python at once.
+BATCH_ROWS = 1000
 
 #: Where stored() has put the tables that are still in use.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -111,6 +113,13 @@ def shielded(df: DataFrame, *need: str):
     return df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names]), restore
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on Spark sends at most BATCH_ROWS rows at once to Python: buffers outside the heap hold a batch of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def trim() -> None:
     """Gives back to the system what this process has freed: Spark keeps idle workers, and all count in their executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, shielded, sized, slices, stored, trim
+from .common import discard, release, shielded, short_batches, sized, slices, stored, trim
 from .components import components
 
 #: Words of a shingle; at least this similarity (as a fraction NUM / DEN).
@@ -451,6 +451,7 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, items: int, br
 def _grouped(docs: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
     """(members: row, doc_id, n, cls of each row of docs(row, doc_id, text), labels: node, comp of linked classes), both stored."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = stored(docs.mapInArrow(_members, MEMBERS), "members")
     classes = rows.where("df IS NULL AND cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")

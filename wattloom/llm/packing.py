@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import short_batches, slices, stored
 
 #: Fixed by the query's contract: tokens of a sequence and the id that ends a document.
 LENGTH, END = 2048, 1
@@ -106,6 +106,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = END) -> DataFrame:
     """PIECE rows: each document's tokens cut into full pieces and one rest. No shuffle."""
     last = np.array([end], "<u4").tobytes()
+    short_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path(name))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shielded, sized, trim
+from .common import shielded, short_batches, sized, trim
 
 #: Bound of the labelled rows that the document classifier is fitted on.
 MAX_LABELLED = 20_000
@@ -154,6 +154,7 @@ def score_quality(
     Of columns of docs with these names the new ones stay."""
     docs, restore = shielded(docs, "doc_id", "text", "source", "lang")
     names = docs.columns
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, max_labelled))
 
     @F.arrow_udf("double")
