@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 import pytest
 
 import corpus_pipeline
@@ -172,3 +173,37 @@ def test_short_batches(spark):
             assert sent() == most
         finally:
             spark.conf.unset(name)
+
+
+POOLS = """
+import psutil
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline
+
+conf = {"spark.master": "local-cluster[1,1,1024]", "spark.checkpoint.dir": f"file://{sys.argv[1]}/shared", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.host": "127.0.0.1", "spark.executor.memory": "600m"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+corpus_pipeline.run(spark, sys.argv[1]).count()
+daemons, workers = 0, 0
+for p in psutil.Process().children(recursive=True):
+    if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()):
+        daemons += len(p.children())
+        workers += sum(len(x.children()) for x in p.children())
+print(daemons, workers)
+"""
+
+
+def test_executor_keeps_one_worker_a_core(spark, docs, labels, benchmark, tmp_path):
+    """Idle Python processes count in their executor's memory: all stages share one pool, and a task needs one worker."""
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    root = os.path.dirname(corpus_pipeline.__file__)
+    home = tmp_path / "home"  # executors' logs go to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for name in os.listdir(os.path.dirname(pyspark.__file__)):
+        if name != "work":
+            (home / name).symlink_to(os.path.join(os.path.dirname(pyspark.__file__), name))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    env |= {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", POOLS, str(tmp_path)], capture_output=True, text=True, cwd=root, env=env, timeout=600)
+    assert out.stdout.split() == ["1", "1"], out.stdout + out.stderr[-2000:]

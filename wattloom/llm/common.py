@@ -22,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Rows with texts that go to Python at once.
 BATCH_ROWS = 1000
+#: Bytes of a table's rows that a writing task holds in the heap before they go to the file.
+ROW_GROUP = 16 << 20
 
 #: Where stored() has put the tables that are still in use.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -70,7 +72,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -80,7 +82,8 @@ def discard(*tables: DataFrame) -> None:
     """Frees the disk of tables that stored() wrote and nothing reads any more: an empty table takes their place."""
     for df in tables:
         if path := _PATHS.pop(df, None):
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+            empty = df.sparkSession.range(0)  # an empty list of rows would start Python on executors, in a pool of its own
+            empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("overwrite").parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -485,6 +485,8 @@ def _grouped(docs: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame
                 yield _flat(keys, ids)
             if len(seen) > 2_000_000:
                 seen.clear()
+        del table
+        trim()
 
     buckets = stored(
         docs.mapInArrow(keyed, "key long, n int, cls long").repartition("key").sortWithinPartitions("key", "n", "cls")

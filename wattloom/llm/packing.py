@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import short_batches, slices, stored
 
@@ -228,12 +227,12 @@ def placed(pieces: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFra
             taken[k] += times * each
             slot += each
         sequence += times
-    rows = [(k, v) for k, v in slots.items()]
-    kind = T.StructType([
-        T.StructField("_c", T.IntegerType()),
-        T.StructField("_runs", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("first", "sequence", "each", "slot")]))),
-    ])
-    runs = F.broadcast(spark.createDataFrame(rows, kind))  # one row a class, at most as many runs as patterns
+    runs = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "sequence", "each", "slot")]))
+    rows = pa.table({
+        "_c": pa.array(list(slots), pa.int32()),
+        "_runs": pa.array([[dict(zip(("first", "sequence", "each", "slot"), x)) for x in v] for v in slots.values()], runs),
+    })  # as an Arrow table: a list of rows would start Python on executors, in a pool of its own
+    runs = F.broadcast(spark.createDataFrame(rows))  # one row a class, at most as many runs as patterns
     window = Window.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("_rank", F.row_number().over(window) - 1).join(F.broadcast(before) if salts < 1000 else before, ["_class", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).join(runs, F.col("_class") == F.col("_c"))

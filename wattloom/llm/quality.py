@@ -166,8 +166,9 @@ def score_quality(
     hosts, paths, rate = site_posteriors(docs, labels)
     paths = sized(paths.select("_host", "_path", "path_rate"))
     hosts = sized(hosts.select("_host", "host_rate"))
+    # never null: what tests for that would be moved below and evaluate each text twice, in two workers a task
     own = docs.select(
-        *names, logit("text").alias("doc_logit"), F.coalesce("source", F.lit("")).alias("_host"),
+        *names, F.coalesce(logit("text"), F.lit(0.0)).alias("doc_logit"), F.coalesce("source", F.lit("")).alias("_host"),
         F.coalesce("lang", F.lit("")).alias("_path"),
     )
     out = own.join(hosts, "_host", "left").join(paths, ["_host", "_path"], "left")
