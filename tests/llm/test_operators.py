@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.llm import ann, components, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
+from wattloom.llm import ann, common, components, decontaminate, jaccard, licenses, lm_score, packing, quality, secrets, toxicity, url_filter
 from wattloom.llm.queries import op2_secret_scan, op3_license_scan, op6_decontamination, op6_proximity, op7_jaccard_join
 
 from . import brute
@@ -472,6 +474,21 @@ def test_lm_score_own(spark, docs, labels):
     assert "sums" in plan and "seen" not in plan and plan.count("MapInArrow") < 5
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    """They go with the write itself, without a collection of garbage; the session's setting stays as it was."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    rows, before = spark.range(20_000).repartition(7, "id"), files()
+    out = common.stored(rows.select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), "test-stored")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == rows.distinct().count() == 20_000
+    assert spark.conf.get(common.CLEANUP, "false") == "false"
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(1)
     for k in net.p:

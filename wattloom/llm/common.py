@@ -24,6 +24,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 BATCH_ROWS = 1000
 #: Bytes of a table's rows that a writing task holds in the heap before they go to the file.
 ROW_GROUP = 16 << 20
+#: With it Spark removes the shuffle files of a query as soon as the query ends, not when they happen to be collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Where stored() has put the tables that are still in use.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -69,10 +71,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut, lost executors lose nothing."""
+    """Writes df as a table in the shared folder and reads it back: lineage is cut, lost executors lose nothing.
+
+    The shuffle files of the write go at once; what reads df again would make them anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -388,9 +388,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iter
         yield whole()
 
 
+def _step(ranges: int) -> int:
+    """Width of a range of keys."""
+    return -(-(1 << 64) // ranges)
+
+
 def _sent(ranges: int):
-    """From chunks of texts: (range, chunk, keys, b, t), the distinct keys of a chunk with their counts; ranges ascend with the keys."""
-    step = -(-(1 << 64) // ranges)
+    """From chunks of texts: (range, chunk, keys, b, t), the distinct keys of a chunk with their counts; ranges ascend with the keys.
+
+    Keys are sent as gaps, the first one's from the start of its range: the more keys a row or ranges there are, the fewer bytes."""
+    step = _step(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, flags, own, _ in _chunks(batches):
@@ -406,7 +413,8 @@ def _sent(ranges: int):
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
             for i in range(0, len(full), 64):
                 some = full[i : i + 64]
-                packs = [[f(x[cuts[r] : cuts[r + 1]]) for r in some] for f, x in ((_planes, keys), (_planes, b), (_planes, t))]
+                gaps = [_planes(np.diff(keys[cuts[r] : cuts[r + 1]], prepend=np.uint64(r * step))) for r in some.tolist()]
+                packs = [gaps, *[[_planes(x[cuts[r] : cuts[r + 1]]) for r in some] for x in (b, t)]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int32()), *[pa.array(x, pa.binary()) for x in packs]],
                     ["range", "chunk", "keys", "b", "t"],
@@ -418,48 +426,53 @@ def _sent(ranges: int):
 SUMS = "chunk int, range int, sums binary, words long, b long, t long"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(ranges: int):
     """From _sent()'s rows sorted by range: SUMS; sums are those of both counts for the keys of the row it answers.
 
     words, b and t, in one row of a range: how many words it has and the sums of their counts."""
-    last, held = None, []
+    step = _step(ranges)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        keys, b, t = ([_counts(x[i]) for x in held] for i in (1, 2, 3))
-        ends = np.cumsum([len(k) for k in keys])
-        every = np.concatenate(keys).view(np.uint64)
-        order = np.argsort(every)
-        ranked = every[order]
-        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        sizes = np.diff(np.r_[first, len(ranked)])
-        word = (ranked[first] & np.uint64(1) == 0) & (ranked[first] != START)
-        sums, of_words = [], []
-        for x in (b, t):
-            total = np.add.reduceat(np.concatenate(x)[order], first)
-            of_words.append(int(total[word].sum()))
-            back = np.empty(len(order), np.int64)
-            back[order] = np.repeat(total, sizes)
-            sums.append(np.split(back, ends[:-1]))
-        for i in range(0, len(held), 256):
-            rows = held[i : i + 256]
-            n = len(rows)
-            packs = [len(p).to_bytes(8, "little") + p + _planes(y) for x, y in zip(sums[0][i : i + n], sums[1][i : i + n]) for p in (_planes(x),)]
-            extra = [[x if not i and not j else 0 for j in range(n)] for x in (int(word.sum()), *of_words)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([last] * n, pa.int32()), pa.array(packs, pa.binary()), *[pa.array(x, pa.int64()) for x in extra]],
-                [x.split()[0] for x in SUMS.split(", ")],
-            )
-        held.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, b, t = ([_counts(x[i]) for x in held] for i in (1, 2, 3))  # keys: gaps
+            ends = np.cumsum([len(k) for k in keys])
+            every = np.concatenate([np.cumsum(k.view(np.uint64)) for k in keys]) + np.uint64(last * step)
+            order = np.argsort(every)
+            ranked = every[order]
+            first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            sizes = np.diff(np.r_[first, len(ranked)])
+            word = (ranked[first] & np.uint64(1) == 0) & (ranked[first] != START)
+            sums, of_words = [], []
+            for x in (b, t):
+                total = np.add.reduceat(np.concatenate(x)[order], first)
+                of_words.append(int(total[word].sum()))
+                back = np.empty(len(order), np.int64)
+                back[order] = np.repeat(total, sizes)
+                sums.append(np.split(back, ends[:-1]))
+            for i in range(0, len(held), 256):
+                rows = held[i : i + 256]
+                n = len(rows)
+                packs = [len(p).to_bytes(8, "little") + p + _planes(y) for x, y in zip(sums[0][i : i + n], sums[1][i : i + n]) for p in (_planes(x),)]
+                extra = [[x if not i and not j else 0 for j in range(n)] for x in (int(word.sum()), *of_words)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([last] * n, pa.int32()), pa.array(packs, pa.binary()), *[pa.array(x, pa.int64()) for x in extra]],
+                    [x.split()[0] for x in SUMS.split(", ")],
+                )
+            held.clear()
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("range", "chunk", "keys", "b", "t"))):
+                if row[0] != last and held:
+                    yield from out()
+                last = row[0]
+                held.append(row[1:])
+        if held:
+            yield from out()
+        trim()
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("range", "chunk", "keys", "b", "t"))):
-            if row[0] != last and held:
-                yield from out()
-            last = row[0]
-            held.append(row[1:])
-    if held:
-        yield from out()
-    trim()
+    return run
 
 
 def _repeats(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -511,7 +524,7 @@ def score_own(docs: DataFrame, target: DataFrame, tokens: int = OWN_CHUNK, keys:
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
     texts = flagged(docs, target).select(chunk, F.col("doc_id").cast("long").alias("key"), F.col("target").cast("long").alias("b"), "text")
     sent = texts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sent(ranges), "range int, chunk int, keys binary, b binary, t binary")
-    sums = stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_summed, SUMS), "lm-sums")
+    sums = stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(_summed(ranges), SUMS), "lm-sums")
     release(docs.sparkSession)
     of_words = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "b", "t")]).first()
     vocabulary, totals = of_words[0] + 1, (float(of_words[1]), float(of_words[2]))
