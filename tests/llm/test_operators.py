@@ -219,6 +219,24 @@ def test_phrases_of_everyday_words(spark):
     assert by_key(map(tuple, got)) == by_key((i, *w) for (i, _), w in zip(rows, want))
 
 
+def test_word_rule_listed(spark):
+    """Words by singly listed ASCII are those by ranges, for every code point, and take much less time."""
+    blocks = [" ".join(chr(c) + "x" + chr(c) for c in range(a, a + 4096) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 4096)]
+    lower = common.ascii_lower(F.col("text"))
+    by_ranges = F.regexp_extract_all(lower, F.lit(common.WORD), F.lit(0))
+    every = spark.createDataFrame([(b,) for b in blocks], "text string")
+    assert every.where(~(common.words(F.col("text")) == by_ranges)).count() == 0
+    long = spark.range(400).select(F.repeat(F.concat(F.lit("Every word, of some (long) text: Ünder-9! "), F.col("id").cast("string")), 1000).alias("text")).cache()
+
+    def took(cut):
+        began = time.time()
+        assert long.agg(F.sum(F.size(cut))).first()[0] > 400 * 7000
+        return time.time() - began
+
+    assert min(took(common.words(F.col("text"))) for _ in range(3)) < min(took(by_ranges) for _ in range(3)) / 1.5
+    long.unpersist()
+
+
 @pytest.mark.parametrize("search", [decontaminate.find_leaks, decontaminate.find_phrases])
 def test_leaks_of_empty_tables(docs, benchmark, search):
     assert search(docs.where("false"), benchmark).count() == 0
